@@ -30,6 +30,8 @@ FAMILIES = {
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 BINS = 4096
+#: Frequencies are fitted and weighed as so many times as much.
+SCALE = 256
 #: Labelled rows of each language that the fit takes at most.
 MAX_ROWS = 600
 #: Rows of all languages together that the fit takes at most.
@@ -53,7 +55,7 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def profile(column: pa.Array) -> np.ndarray:
-    """(texts, BINS): square roots of relative trigram frequencies are not linear in position, so plain frequencies."""
+    """(texts, BINS) relative frequencies of trigrams."""
     data, offsets = common.raw(column)
     out = np.zeros((len(column), BINS), np.float32)
     for lo, hi in common.chunks(offsets):
@@ -102,7 +104,7 @@ class Model:
             take = np.minimum(edge[:-1], len(bins) - 1)
             sums = np.add.reduceat(self.weights[bins], take, axis=0)
             size = np.maximum(np.minimum(edge[1:], len(bins)) - edge[:-1], 1)
-            margin[lo:hi] = sums / size[:, None]
+            margin[lo:hi] = sums / size[:, None] * SCALE
         margin += self.bias
         family = np.argmax(margin[:, : len(self.families)], axis=1)
         sigmoid = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
@@ -160,7 +162,7 @@ def fit(docs: DataFrame, most: int = MAX_ROWS) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.astype(np.float16).tobytes() for v in profile(batch.column(2)) * 256], pa.binary())], names=["doc_id", "lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.astype(np.float16).tobytes() for v in profile(batch.column(2)) * SCALE], pa.binary())], names=["doc_id", "lang", "x"])
 
     drawn = learn.where(F.xxhash64("doc_id") <= cut[F.col("lang")]).select("doc_id", "lang", "text")
     rows = drawn.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, x binary").limit(2 * MAX_TOTAL).collect()
