@@ -107,7 +107,7 @@ class Model:
             margin[lo:hi] = sums / size[:, None] * SCALE
         margin += self.bias
         family = np.argmax(margin[:, : len(self.families)], axis=1)
-        sigmoid = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+        sigmoid = 1 / (1 + np.exp(-np.clip(4 * margin, -30, 30)))
         out, score, at = np.empty(len(column), object), np.zeros(len(column)), len(self.families)
         for f, names in enumerate(self.languages):
             pairs = list(itertools.combinations(range(len(names)), 2))

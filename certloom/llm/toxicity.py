@@ -3,8 +3,8 @@
 P(grade <= g) = logistic(threshold[g] - w.x) over sparse text features: the distinct words of a text and the beginnings
 of its words. All thresholds share the weights w; the result is the expected severity grade.
 
-Labels say toxic or not. Grade 0 is not toxic; toxic texts are graded 1 to 3 by how dense they are in words that toxic
-texts have far more often than others (terciles of the fitted rows).
+Labels say toxic or not. Grade 0 is not toxic; toxic texts are graded 1 to 3 by how many different features they have
+that toxic texts have far more often than others (terciles of the fitted rows).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, fingerprints
 
 #: Features are hashed to 2^18; word beginnings of 4, 5 and 6 bytes count besides the word.
 SPACE = 1 << 18
@@ -26,11 +26,13 @@ GRADES = 4
 #: Labelled rows that the fit takes at most, half of them toxic if there are as many.
 MAX_ROWS = 6000
 #: Features that the fit keeps at most: the most telling ones.
-MAX_FEATURES = 20_000
+MAX_FEATURES = 300
+#: Twice the log-likelihood that a feature's counts must gain.
+LEAST_GAIN = 20.0
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, feature) of every word and word beginning, with repeats; words of each document."""
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) of every word and word beginning, with repeats."""
     words = common.Words(data, offsets, common.LETTERS)
     sizes = words.end - words.start
     docs, found = [words.doc], [(words.hash64() & np.uint64(SPACE - 1)).astype(np.int64)]
@@ -39,7 +41,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         part = common.mix(words.hash64(n)[long] + np.uint64(n))
         docs.append(words.doc[long])
         found.append((part & np.uint64(SPACE - 1)).astype(np.int64))
-    return np.concatenate(docs), np.concatenate(found), words.counts
+    return np.concatenate(docs), np.concatenate(found)
 
 
 @dataclass
@@ -52,7 +54,7 @@ class Model:
         data, offsets = common.raw(column)
         score = np.zeros(len(column))
         for lo, hi in common.chunks(offsets):
-            doc, found, _ = features(data, offsets[lo : hi + 1])
+            doc, found = features(data, offsets[lo : hi + 1])
             tell = self.weights[found] != 0
             pair = np.unique(doc[tell] * SPACE + found[tell])
             score[lo:hi] = np.bincount(pair // SPACE, self.weights[pair % SPACE], minlength=hi - lo)
@@ -60,43 +62,41 @@ class Model:
         return above.sum(axis=1), above[:, 0]
 
 
-def fit_rows(texts: list[str], toxic: np.ndarray, rounds: int = 300, ridge: float = 1e-3) -> Model:
+def fit_rows(texts: list[str], toxic: np.ndarray, rounds: int = 600, ridge: float = 1e-5) -> Model:
     """Fit on labelled texts. With one class only, or no rows, every text has severity 0 (or is as unlikely toxic)."""
     weights, none = np.zeros(SPACE, np.float32), np.array([20.0] * (GRADES - 1))
     if not len(texts) or toxic.min() == toxic.max():
         return Model(weights, none)
-    docs, found, counts, at = [], [], [], 0
+    docs, found, at = [], [], 0
     data, offsets = common.raw(pa.array(texts, pa.string()))
     for lo, hi in common.chunks(offsets):
-        d, f, c = features(data, offsets[lo : hi + 1])
+        d, f = features(data, offsets[lo : hi + 1])
         docs.append(d + at)
         found.append(f)
-        counts.append(c)
         at = hi
-    counts = np.concatenate(counts)
     doc, feature = np.concatenate(docs), np.concatenate(found)
-    pair, times = np.unique(doc * SPACE + feature, return_counts=True)
+    pair = np.unique(doc * SPACE + feature)
     doc, feature = pair // SPACE, pair % SPACE
     n1, n0 = toxic.sum(), (1 - toxic).sum()
     in1, in0 = np.bincount(feature, toxic[doc], SPACE), np.bincount(feature, 1 - toxic[doc], SPACE)
+    rate, all_ = (in1 + in0) / (n1 + n0), n1 / (n1 + n0)
+    with np.errstate(divide="ignore", invalid="ignore"):  # how much likelier the counts are if the two kinds differ
+        gain = 2 * sum(np.where(x > 0, x * np.log(x / e), 0) for x, e in ((in1, rate * n1), (in0, rate * n0), (n1 - in1, (1 - rate) * n1), (n0 - in0, (1 - rate) * n0)))
+    gain[(in1 * (1 - all_) <= in0 * all_) | (in1 < 3) | (gain < LEAST_GAIN)] = 0  # only what speaks for toxic
     odds = np.log((in1 + 0.5) / (n1 - in1 + 0.5)) - np.log((in0 + 0.5) / (n0 - in0 + 0.5))
-    error = np.sqrt(1 / (in1 + 0.5) + 1 / (n1 - in1 + 0.5) + 1 / (in0 + 0.5) + 1 / (n0 - in0 + 0.5))
-    z = np.where(in1 + in0 >= 3, np.abs(odds) / error, 0)
-    z[z < 2.5] = 0
-    keep = np.argsort(-z, kind="stable")[:MAX_FEATURES]
-    keep = np.sort(keep[z[keep] > 0])
+    keep = np.argsort(-gain, kind="stable")[:MAX_FEATURES]
+    keep = np.sort(keep[gain[keep] > 0])
     if not len(keep):
         return Model(weights, none)
     number = np.full(SPACE, -1)
     number[keep] = np.arange(len(keep))
     used = number[feature] >= 0
-    doc, col, times = doc[used], number[feature[used]], times[used]
-    strong = (odds[keep] > 1.5)[col]
-    density = np.bincount(doc, times * strong, len(toxic)) / np.maximum(counts, 1)
-    cuts = np.quantile(density[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
-    grade = np.where(toxic == 1, 1 + (density[:, None] > cuts[None, :]).sum(axis=1), 0)
-    # gradient descent with momentum-free adaptive steps on the penalised log-likelihood; class weights are even
-    share = np.where(toxic == 1, 0.5 / n1, 0.5 / n0)
+    doc, col = doc[used], number[feature[used]]
+    telling = np.bincount(doc, (odds[keep] > 1.5)[col], len(toxic))
+    cuts = np.quantile(telling[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
+    grade = np.where(toxic == 1, 1 + (telling[:, None] > cuts[None, :]).sum(axis=1), 0)
+    # ascent of the penalised log-likelihood by adaptive steps
+    share = np.full(len(toxic), 1 / len(toxic))
     w, sw = np.zeros(len(keep)), np.full(len(keep), 1e-8)
     steps = np.array([0.0, 0.5, 0.5][: GRADES - 1])  # first threshold, then increments
     ss = np.full(len(steps), 1e-8)
@@ -112,16 +112,28 @@ def fit_rows(texts: list[str], toxic: np.ndarray, rounds: int = 300, ridge: floa
         g_score = -(upper - lower) * share  # of the log-likelihood
         g_theta = np.array([(upper * share)[grade == k].sum() - (lower * share)[grade == k + 1].sum() for k in range(GRADES - 1)])
         g_steps = np.array([g_theta[i:].sum() * (1 if i == 0 else np.exp(steps[i])) for i in range(len(steps))])
-        g_w = np.bincount(col, g_score[doc], len(keep)) - ridge * w / len(keep) ** 0.5
+        g_w = np.bincount(col, g_score[doc], len(keep)) - ridge * w
         sw += g_w**2
         ss += g_steps**2
-        w += 0.1 * g_w / np.sqrt(sw)
-        steps += 0.1 * g_steps / np.sqrt(ss)
+        w += 0.5 * g_w / np.sqrt(sw)
+        steps += 0.5 * g_steps / np.sqrt(ss)
     w[np.abs(w) < 1e-4] = 0
     weights[keep] = w
     return Model(weights, np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])])))
 
 
+def distinct_texts(texts: list[str]) -> list[int]:
+    """Indices of texts of which less than half of a small sketch is known from earlier ones: copies would count as evidence."""
+    known: set[int] = set()
+    out = []
+    for i, sketch in enumerate(fingerprints.sketches(pa.array(texts, pa.string()), 8)):
+        own = sketch.tolist()
+        if 2 * sum(h in known for h in own) < len(own):
+            out.append(i)
+            known.update(own)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Model:
     """Fit on a sample of at most `most` labelled rows, drawn by a hash of doc_id; half toxic if there are as many.
 
@@ -139,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Model:
     chosen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r[0])
+    rows = [rows[i] for i in distinct_texts([r[1] for r in rows])]
     return fit_rows([r[1] for r in rows], np.array([r[2] for r in rows], float))
 
 
