@@ -117,3 +117,33 @@ def seen_twice(packed: DataFrame, max_bits: int = MAX_BITS) -> Broadcast:
 
     rows = packed.select("slice", "hashes").repartition(SLICES, "slice").mapInArrow(run, "slice int, bits binary").collect()
     return spark.sparkContext.broadcast(Twice(bits, {r[0]: bytes(r[1]) for r in rows}))
+
+
+class Members(Twice):
+    """A set of ids; test() takes ids and may also hold for some others."""
+
+    def test(self, ids: np.ndarray) -> np.ndarray:
+        return super().test(common.mix(ids.astype(np.int64).view(U64)))
+
+
+def members(ids: DataFrame, max_bits: int = MAX_BITS) -> Broadcast:
+    """The filter of a column of ids as a broadcast variable, of at most max_bits."""
+    spark = ids.sparkSession
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packing(batches, lambda batch: common.mix(np.unique(np.asarray(batch.column(0))).astype(np.int64).view(U64)))
+
+    packed = common.shared_table(ids.mapInArrow(hashes, PACKED), "ids")
+    n = packed.agg(F.sum("n")).first()[0] or 0
+    bits = min(max_bits, max(1 << 16, 1 << int(BITS_PER_KEY * n).bit_length())) // SLICES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, h in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                put(own.setdefault(s, np.zeros(bits // 8, np.uint8)), probes(np.frombuffer(h.as_buffer(), U64), bits))
+        for s, x in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["slice", "bits"])
+
+    rows = packed.select("slice", "hashes").repartition(SLICES, "slice").mapInArrow(run, "slice int, bits binary").collect()
+    return spark.sparkContext.broadcast(Members(bits, {r[0]: bytes(r[1]) for r in rows}))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fingerprints, language_id, line_dedup, mixing, pii, toxicity
+from . import chat, decontamination, fingerprints, language_id, line_dedup, mixing, near_dedup, pii, toxicity
 
 #: The key of op6's pseudonyms; a deployment passes its own.
 DEMO_KEY = "certloom-demo-key"
@@ -31,6 +31,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(_read(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_read(spark, sf_dir, "documents"), DEMO_KEY)
 
@@ -52,6 +56,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_mixing, op4_fingerprints, op6_pii, op7_language_id, op8_chat, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_mixing, op4_fingerprints, op5_near_dedup, op6_pii, op7_language_id, op8_chat, op10_toxicity)}
 
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE}
