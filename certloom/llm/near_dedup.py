@@ -217,7 +217,6 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one document of each component, that of the least doc_id; repeated rows of that doc_id stay once."""
+    """docs with one document of each component, that of the least doc_id; all rows that have this doc_id stay, as they are one document."""
     lost = near_duplicates(docs, text).where(~F.col("kept")).select(F.col("doc_id").alias("__lost")).distinct()
-    kept = docs.join(lost, docs["doc_id"] == lost["__lost"], "left_anti")
-    return kept
+    return docs.join(lost, docs["doc_id"] == lost["__lost"], "left_anti")

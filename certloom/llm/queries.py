@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fingerprints, language_id, line_dedup, mixing, near_dedup, pii, toxicity
+from . import chat, decontamination, fingerprints, language_id, line_dedup, mixing, near_dedup, pii, repeats, toxicity
 
 #: The key of op6's pseudonyms; a deployment passes its own.
 DEMO_KEY = "certloom-demo-key"
@@ -52,10 +52,14 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(_read(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_mixing, op4_fingerprints, op5_near_dedup, op6_pii, op7_language_id, op8_chat, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_mixing, op4_fingerprints, op5_near_dedup, op6_pii, op7_language_id, op8_chat, op9_repeats, op10_toxicity)}
 
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE}
