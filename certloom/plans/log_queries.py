@@ -150,11 +150,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 _HISTORY = "SELECT 'log' || user_id % 50 AS log_url, event_id AS seen, event_id - CASE WHEN event_id % 11 = 0 THEN 900 ELSE 0 END AS size, 'r' || (event_id - CASE WHEN event_id % 11 = 0 THEN 900 ELSE 0 END) AS root_hash FROM events"
 
 
-@query("ckpt_rollback", f"SELECT log_url, seen AS "at", CASE WHEN size < prev THEN 'rollback' END AS problem FROM (SELECT *, lag(size) OVER (PARTITION BY log_url ORDER BY seen) AS prev FROM ({_HISTORY}))")
+@query("ckpt_rollback", f"SELECT log_url, seen, CASE WHEN size < prev THEN 'rollback' END AS problem FROM (SELECT *, lag(size) OVER (PARTITION BY log_url ORDER BY seen) AS prev FROM ({_HISTORY}))")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     size = F.col("event_id") - F.when(F.col("event_id") % 11 == 0, 900).otherwise(0)
     history = events(spark, sf).select(F.concat(F.lit("log"), (F.col("user_id") % 50).cast("string")).alias("log_url"), F.col("event_id").alias("at"), size.alias("size"), F.concat(F.lit("r"), size.cast("string")).alias("root_hash"))
-    return state.rollbacks(history).select("log_url", "at", "problem")
+    return state.rollbacks(history).select("log_url", F.col("at").alias("seen"), "problem")
 
 
 # --- bytes ---------------------------------------------------------------------------------------------------------
