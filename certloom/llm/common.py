@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..ship import ship
+
 #: Rows of a batch sent to a Python worker. Texts have no bound, so batches stay short.
 BATCH_ROWS = "500"
 #: Bytes of text whose 64-bit hashes are in memory at once.
@@ -21,7 +23,8 @@ U64 = np.uint64
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lower the batch size of Arrow transfers, unless the session sets one itself."""
+    """Lower the batch size of Arrow transfers, unless the session sets one itself, and see that tasks find this package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, "10000") == "10000":
         spark.conf.set(key, BATCH_ROWS)
@@ -120,15 +123,15 @@ _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0xD1B54A32D192ED03))
 _FOLD = np.arange(256)
 _FOLD[0x41:0x5B] += 32
 _BYTE = _BYTE[_FOLD]  # A-Z count as a-z
-_powers = np.ones(64, U64)
+_powers = np.ones(1, U64)
 
 
 def powers(n: int) -> np.ndarray:
+    """At least n powers of a constant, from the zeroth on."""
     global _powers
     if len(_powers) < n:
         size = 1 << (n - 1).bit_length()
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate([[U64(1)], np.full(size - 1, _P, U64)]), dtype=U64)
+        _powers = np.cumprod(np.concatenate([[U64(1)], np.full(size - 1, _P, U64)]), dtype=U64)
     return _powers
 
 
