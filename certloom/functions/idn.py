@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..ship import ship
 from . import domains as D
 
 
@@ -66,6 +67,7 @@ def _is_plain(c: Column) -> Column:
 
 def normalize(df: DataFrame, raw: str = "raw", domain: str = "domain") -> DataFrame:
     """df with the domain of each raw name, null if it has none. Plain ASCII rows never leave the JVM: the two kinds are parted by a filter."""
+    ship(df.sparkSession)
     plain = df.where(F.col(raw).isNull() | _is_plain(F.col(raw))).withColumn(domain, D.normalize(F.col(raw)))
     rest = df.where(F.col(raw).isNotNull() & ~_is_plain(F.col(raw))).withColumn(domain, D.normalize(_ascii(D.unchecked(F.col(raw)))))
     return plain.unionByName(rest)
@@ -73,6 +75,7 @@ def normalize(df: DataFrame, raw: str = "raw", domain: str = "domain") -> DataFr
 
 def readable(features: DataFrame) -> DataFrame:
     """features with unicode and skeleton of IDN rows by Unicode rules."""
+    ship(features.sparkSession)
     idn = D.has_idn(F.col("domain"))
     rest = features.where(idn).withColumn("unicode", _unicode("domain"))
     return features.where(~idn).unionByName(rest.withColumn("skeleton", _skeleton("unicode")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import domains as D
+from ..ship import ship
 
 
 class DecodeError(ValueError):
@@ -96,6 +97,7 @@ def decode_tiles(tiles: DataFrame, strict: bool = True) -> DataFrame:
                     rows.append({"index": tile * 256, "error": str(e)})
             yield pa.RecordBatch.from_pylist(rows, _ENTRY)
 
+    ship(tiles.sparkSession)
     return tiles.select(F.col("index").cast("bigint"), F.col("width").cast("int"), "bytes").mapInArrow(run, schemas.ENTRIES + ", error string")
 
 
@@ -200,6 +202,7 @@ def parse_certificates(entries: DataFrame) -> DataFrame:
             rows = [{"index": i, "timestamp_millis": t} | read_certificate(der or b"") for i, t, der in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
             yield pa.RecordBatch.from_pylist(rows, _CERTIFICATE)
 
+    ship(entries.sparkSession)
     return entries.select("index", "timestamp_millis", "certificate_der").mapInArrow(run, f"index bigint, timestamp_millis bigint, {schemas.CERTIFICATE}, error string")
 
 

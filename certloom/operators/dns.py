@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import domains as D
+from ..ship import ship
 
 #: Providers whose names can be claimed when left dangling.
 _PROVIDERS = """
@@ -96,6 +97,7 @@ def resolve(domains: DataFrame, concurrency: int = 16, lookup: Callable[[str], d
                 rows = list(pool.map(lookup, batch["domain"]))
                 yield pd.DataFrame(rows, columns=["domain", "resolved", "status", "ips", "cname_chain", "errors"])
 
+    ship(domains.sparkSession)
     return domains.select("domain").mapInPandas(run, schemas.DNS)
 
 
