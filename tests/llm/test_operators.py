@@ -113,7 +113,7 @@ def test_near_dedup(spark, docs, plain, none):
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(0, 300) if i % 100 != 99] + [(5, 5), (400, 401), (401, 400)]
     got = {r[0]: r[1] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got == {i: i // 100 * 100 for i in range(300)} | {300: 200, 400: 400, 401: 400}
+    assert got == {i: i // 100 * 100 for i in range(300)} | {400: 400, 401: 400}
 
 
 def test_signatures_find_pairs_at_the_limit():
@@ -314,7 +314,7 @@ def test_pipeline(spark, docs, texts, tmp_path):
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(7, 0), (14, 0)], "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    item = next(t for t in texts if t and len(t) > 100_000).split(" ")[200:240]
+    item = next(t for t in texts if t and len(t) > 50_000).split(" ")[200:240]
     spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.columns == [*docs.columns, "n_tokens", "weight", "n_copies"]
