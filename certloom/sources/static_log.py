@@ -203,7 +203,7 @@ class _Stream(_Reader, DataSourceStreamReader):
         self.at = int(options.get("firstentry", 0))
 
     def initialOffset(self) -> dict:
-        return {"entry": self.at, "size": 0}
+        return {"entry": int(self.options.get("firstentry", 0)), "size": 0}
 
     def latestOffset(self) -> dict:
         size = self.size()
