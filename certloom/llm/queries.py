@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fingerprints, language_id, line_dedup, mixing, near_dedup, pii, repeats, toxicity
+from . import chat, decontamination, fingerprints, language_id, line_dedup, mixing, near_dedup, oracles, pii, repeats, toxicity
 
 #: The key of op6's pseudonyms; a deployment passes its own.
 DEMO_KEY = "certloom-demo-key"
@@ -62,4 +62,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_mixing, op4_fingerprints, op5_near_dedup, op6_pii, op7_language_id, op8_chat, op9_repeats, op10_toxicity)}
 
-ORACLES = {"op2_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op1_decontamination": oracles.DECONTAMINATION, "op2_line_dedup": line_dedup.ORACLE, "op5_near_dedup": oracles.NEAR_DEDUP, "op8_chat": oracles.chat(CONTROL)}
