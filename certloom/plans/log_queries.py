@@ -25,18 +25,23 @@ def _o_index(n: str) -> str:
     return f"regexp_replace(rtrim(regexp_replace({p}, '([0-9]{{3}})', 'x\\1/', 'g'), '/'), 'x([0-9]{{3}})$', '\\1')"
 
 
-_SIZE, _BIG = "(idx * 7919 + idx * idx)", F.col("idx") * 7919 + F.col("idx") * F.col("idx")
-_W = "nullif(({0} // 256 ** {1})::BIGINT % 256, 0)"
+_SIZE = "(idx * 7919 + idx * idx)"
+
+
+def _big() -> Column:
+    return F.col("idx") * 7919 + F.col("idx") * F.col("idx")
+
+
 simple("tile_index", lambda: tiles.tile_index(F.col("idx") * 7919), _o_index("idx * 7919"), _ids, _EVENTS, "ids")
 simple("tile_path", lambda: tiles.tile_path(F.when(F.col("idx") % 3 != 0, F.col("idx") % 8), F.col("idx") * 311, F.when(F.col("idx") % 2 == 0, F.col("idx") % 300)), f"CASE WHEN (idx % 3 = 0 OR idx % 8 <= 5) AND (idx % 2 = 1 OR idx % 300 BETWEEN 1 AND 255) THEN 'tile/' || CASE WHEN idx % 3 = 0 THEN 'data' ELSE CAST(idx % 8 AS VARCHAR) END || '/' || {_o_index('idx * 311')} || CASE WHEN idx % 2 = 0 THEN '.p/' || (idx % 300) ELSE '' END END", _ids, _EVENTS, "ids")
-simple("tile_width", lambda: tiles.partial_width(_BIG, F.col("idx") % 3), f"CAST(nullif(({_SIZE} // CASE idx % 3 WHEN 0 THEN 1 WHEN 1 THEN 256 ELSE 65536 END) % 256, 0) AS INT)", _ids, _EVENTS, "ids")
-simple("tree_tile_width", lambda: tiles.tree_tile_width(_BIG, F.lit(0), F.floor(_BIG / 256).cast("bigint") - F.col("idx") % 2), f"CASE WHEN idx % 2 = 0 THEN CAST(nullif({_SIZE} % 256, 0) AS INT) END", _ids, _EVENTS, "ids")
+simple("tile_width", lambda: tiles.partial_width(_big(), F.col("idx") % 3), f"CAST(nullif(({_SIZE} // CASE idx % 3 WHEN 0 THEN 1 WHEN 1 THEN 256 ELSE 65536 END) % 256, 0) AS INT)", _ids, _EVENTS, "ids")
+simple("tree_tile_width", lambda: tiles.tree_tile_width(_big(), F.lit(0), F.floor(_big() / 256).cast("bigint") - F.col("idx") % 2), f"CASE WHEN idx % 2 = 0 THEN CAST(nullif({_SIZE} % 256, 0) AS INT) END", _ids, _EVENTS, "ids")
 simple("tile_urls", lambda: tiles.tile_url(F.concat(F.lit("https://log.example/"), F.col("idx").cast("string"), F.when(F.col("idx") % 2 == 0, "/checkpoint").otherwise("//")), tiles.tile_path(F.lit(None), F.col("idx"), F.lit(None))), f"'https://log.example/' || idx || '/tile/data/' || {_o_index('idx')}", _ids, _EVENTS, "ids")
 
 
 @query("latest_tile", f"WITH {_EVENTS} SELECT idx, ({_SIZE} - 1) // 256 AS tile, CAST(nullif({_SIZE} % 256, 0) AS INT) AS width FROM ids WHERE {_SIZE} > 0")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _ids(spark, sf).withColumn("t", tiles.latest_tile(_BIG, F.lit(0))).where("t is not null").select("idx", F.col("t.index").alias("tile"), F.col("t.width").alias("width"))
+    return _ids(spark, sf).withColumn("t", tiles.latest_tile(_big(), F.lit(0))).where("t is not null").select("idx", F.col("t.index").alias("tile"), F.col("t.width").alias("width"))
 
 
 @query("tile_window", f"WITH {_EVENTS} SELECT idx, (idx + 1) // 256 AS first, least((idx + 1) // 256 + 3, (idx + idx % 2000 - 1) // 256) AS last FROM ids WHERE idx + idx % 2000 > idx + 1 AND (idx + 1) // 256 <= (idx + idx % 2000 - 1) // 256")

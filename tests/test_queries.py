@@ -27,3 +27,12 @@ def test_query_against_sql(spark, name):
 def test_entry_module():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 80
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(); e.oracle_sql()"], cwd=Path(__file__).parent.parent, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
