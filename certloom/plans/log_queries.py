@@ -407,3 +407,29 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     body = F.struct(*sinks.FINDING_FIELDS)
     made = rows.groupBy("certificate_index").agg(F.count("*").alias("count"), F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("r"), "domain", F.to_json(body, sinks.NULLS).alias("j"), body.alias("body")))).alias("all"))
     return made.select(F.col("count").alias("n"), F.to_json(F.struct(F.lit("findings").alias("kind"), "count", F.transform("all", lambda x: x["body"]).alias("findings")), sinks.NULLS).alias("payload"))
+
+
+# --- names that need Unicode rules ---------------------------------------------------------------------------------
+_IDN = ("bücher{n}.example", "xn--pypal-4ve.com", "xn--paypa1-4ve.com", "münchen.de", "plain{n}.com", "pаypal-login{n}.com")
+
+
+def _idn_names(spark: SparkSession, sf: str) -> DataFrame:
+    pick = F.element_at(F.array(*map(F.lit, _IDN)), (F.col("event_id") % len(_IDN) + 1).cast("int"))
+    return events(spark, sf).select(F.col("event_id").alias("idx"), F.replace(pick, F.lit("{n}"), F.col("event_id").cast("string")).alias("raw"))
+
+
+@query("normalize_idn")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions import idn
+
+    return idn.normalize(_idn_names(spark, sf)).select("idx", "domain")
+
+
+@query("detect_homoglyph_idn")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions import idn
+    from ..operators import detectors
+
+    found_ = idn.readable(detectors.features(idn.normalize(_idn_names(spark, sf)).where("domain is not null")))
+    hits = found_.select("idx", "domain", F.explode(detectors.homoglyph(CFG)).alias("f"))
+    return hits.select("idx", "domain", "f.score", F.array_join("f.reasons", "|").alias("reasons"), _pairs("f.evidence").alias("evidence"))
