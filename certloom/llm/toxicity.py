@@ -67,18 +67,18 @@ def fit_rows(texts: list[str], toxic: np.ndarray, rounds: int = 600, ridge: floa
     weights, none = np.zeros(SPACE, np.float32), np.array([20.0] * (GRADES - 1))
     if not len(texts) or toxic.min() == toxic.max():
         return Model(weights, none)
-    docs, found, at = [], [], 0
+    pairs, at = [], 0  # of each chunk, the distinct ones, as document * SPACE + feature: below 2^31 for up to 8191 rows
+    in1, in0 = np.zeros(SPACE), np.zeros(SPACE)
+    n1, n0 = toxic.sum(), (1 - toxic).sum()
     data, offsets = common.raw(pa.array(texts, pa.string()))
     for lo, hi in common.chunks(offsets):
-        d, f = features(data, offsets[lo : hi + 1])
-        docs.append(d + at)
-        found.append(f)
+        doc, feature = features(data, offsets[lo : hi + 1])
+        pair = np.unique((doc + at) * SPACE + feature)
+        pairs.append(pair.astype(np.int32 if len(texts) < 8192 else np.int64))
+        bad = toxic[pair // SPACE] == 1
+        in1 += np.bincount(pair[bad] % SPACE, minlength=SPACE)
+        in0 += np.bincount(pair[~bad] % SPACE, minlength=SPACE)
         at = hi
-    doc, feature = np.concatenate(docs), np.concatenate(found)
-    pair = np.unique(doc * SPACE + feature)
-    doc, feature = pair // SPACE, pair % SPACE
-    n1, n0 = toxic.sum(), (1 - toxic).sum()
-    in1, in0 = np.bincount(feature, toxic[doc], SPACE), np.bincount(feature, 1 - toxic[doc], SPACE)
     rate, all_ = (in1 + in0) / (n1 + n0), n1 / (n1 + n0)
     with np.errstate(divide="ignore", invalid="ignore"):  # how much likelier the counts are if the two kinds differ
         gain = 2 * sum(np.where(x > 0, x * np.log(x / e), 0) for x, e in ((in1, rate * n1), (in0, rate * n0), (n1 - in1, (1 - rate) * n1), (n0 - in0, (1 - rate) * n0)))
@@ -90,8 +90,9 @@ def fit_rows(texts: list[str], toxic: np.ndarray, rounds: int = 600, ridge: floa
         return Model(weights, none)
     number = np.full(SPACE, -1)
     number[keep] = np.arange(len(keep))
-    used = number[feature] >= 0
-    doc, col = doc[used], number[feature[used]]
+    pairs = [p[number[p % SPACE] >= 0] for p in pairs]
+    pair = np.concatenate(pairs).astype(np.int64)
+    doc, col = pair // SPACE, number[pair % SPACE]
     telling = np.bincount(doc, (odds[keep] > 1.5)[col], len(toxic))
     cuts = np.quantile(telling[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
     grade = np.where(toxic == 1, 1 + (telling[:, None] > cuts[None, :]).sum(axis=1), 0)
