@@ -61,8 +61,10 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return least, h[:m] == least
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, most: int = common.PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(document, first window, windows, anchor) of the runs of texts; windows by their first byte in data.
+def runs(data: np.ndarray, offsets: np.ndarray, most: int = common.PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, first window, windows, anchor, again) of the runs of texts; windows by their first byte in data.
+
+    again: the anchor's bytes come again within the run, as in periodic text, so that its own windows may be equal.
 
     Texts are taken in blocks of about `most` bytes; a longer text in several, whose windows do not overlap.
     """
@@ -80,19 +82,20 @@ def runs(data: np.ndarray, offsets: np.ndarray, most: int = common.PIECE) -> Ite
             doc = np.searchsorted(offsets, at, "right") - 1
             fits = at + LENGTH <= offsets[doc + 1]
             new = np.ones(len(at), bool)
-            new[1:] = (least[1:] != least[:-1]) | begins[:-1] | (doc[1:] != doc[:-1])  # in periodic text, the same hash comes again
+            new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
             first = np.flatnonzero(new & fits)
             number = np.cumsum(new) - 1
             size = np.bincount(number, fits, minlength=number[-1] + 1).astype(np.int64)[number[first]]
-            yield doc[first], at[first], size, least[first]
+            again = np.bincount(number[:-1], begins[:-1] & ~new[1:] & fits[1:], minlength=number[-1] + 1)[number[first]] > 0
+            yield doc[first], at[first], size, common.mix(least[first]), again  # least values crowd near zero; mixed, they spread
 
 
-_KEYS = "uid bigint, doc_id bigint, start bigint, n bigint, anchor bigint, set_a bigint, set_b bigint, bytes binary"
+_KEYS = "uid bigint, doc_id bigint, start bigint, n bigint, again boolean, anchor bigint, set_a bigint, set_b bigint, bytes binary"
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def of(batch: pa.RecordBatch) -> np.ndarray:
-        found = [r[3] for r in runs(*common.raw(batch.column(0)))]
+        found = [np.concatenate([r[3], r[3][r[4]]]) for r in runs(*common.raw(batch.column(0)))]
         return np.concatenate(found) if found else np.zeros(0, U64)
 
     yield from bloom.packing(batches, of)
@@ -104,18 +107,18 @@ def _pair(x: bytes) -> tuple[int, int]:
 
 
 def _suspects(twice):
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("anchor", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bytes", pa.binary())])
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("again", pa.bool_()), ("anchor", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid, ids = np.asarray(batch.column(0)), batch.column(1)
             data, offsets = common.raw(batch.column(2))
-            for doc, first, size, anchor in runs(data, offsets):
-                hit = twice.value.test(anchor)
-                doc, first, size, anchor = doc[hit], first[hit], size[hit], anchor[hit]
+            for found in runs(data, offsets):
+                hit = twice.value.test(found[3])
+                doc, first, size, anchor, again = (x[hit] for x in found)
                 texts = [data[a : a + n + LENGTH - 1].tobytes() for a, n in zip(first.tolist(), size.tolist(), strict=True)]
                 pairs = [_pair(t) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(uid[doc]), ids.take(pa.array(doc)), pa.array(first - offsets[doc]), pa.array(size), pa.array(anchor.view(np.int64)), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.array(texts, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(uid[doc]), ids.take(pa.array(doc)), pa.array(first - offsets[doc]), pa.array(size), pa.array(again), pa.array(anchor.view(np.int64)), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.array(texts, pa.binary())], schema=schema)
 
     return run
 
@@ -169,17 +172,18 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(data) + 1, U64)
             np.cumsum(_RAW[data] * common.powers(len(data))[: len(data)], out=total[1:])
             h = common.mix((total[GRAM:] - total[:-GRAM]) * _inverses(len(data))[: len(data) - GRAM + 1])
-            place = int(np.flatnonzero(h == np.int64(anchor).view(U64))[0])  # leftmost in the run: that of all its windows
-            n = len(text) - LENGTH + 1
-            for j in range((place - n + 1) // PIECE, place // PIECE + 1):
-                lo, hi = max(0, place - j * PIECE - PIECE + 1), min(n, place - j * PIECE + 1)
-                if lo >= hi:
-                    continue
-                core = text[place - j * PIECE : place - j * PIECE - PIECE + 1 + LENGTH]
-                part = text[lo : hi + LENGTH - 1]
-                group = xxhash.xxh3_64_intdigest(core, seed=j & 0xFFFF) - (1 << 63)
-                for column, v in zip(out, (run_a, run_b, lo, group, *_pair(part), part), strict=True):
-                    column.append(v)
+            places = np.flatnonzero(common.mix(h) == np.int64(anchor).view(U64)).tolist()
+            n, begin = len(text) - LENGTH + 1, 0
+            for place in places:  # each window goes with the leftmost in it
+                end = min(n, place + 1)
+                for j in range((place - end + 1) // PIECE, (place - begin) // PIECE + 1) if begin < end else ():
+                    lo, hi = max(begin, place - j * PIECE - PIECE + 1), min(end, place - j * PIECE + 1)
+                    core = text[place - j * PIECE : place - j * PIECE - PIECE + 1 + LENGTH]
+                    part = text[lo : hi + LENGTH - 1]
+                    group = xxhash.xxh3_64_intdigest(core, seed=j) - (1 << 63)
+                    for column, v in zip(out, (run_a, run_b, lo, group, *_pair(part), part), strict=True):
+                        column.append(v)
+                begin = max(begin, end)
         yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:6]], pa.array(out[6], pa.binary())], names=["run_a", "run_b", "at", "group", "set_a", "set_b", "bytes"])
 
 
@@ -190,11 +194,11 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     twice = bloom.seen_twice(docs.select("text").mapInArrow(_hashes, bloom.PACKED))
     found = common.shared_table(docs.mapInArrow(_suspects(twice), _KEYS), "runs")
     places = found.drop("bytes")
-    kinds = common.shared_table(places.groupBy("anchor", "set_a", "set_b").agg(F.count("*").alias("times")), "kinds")
-    crowds = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    kinds = common.shared_table(places.groupBy("anchor", "set_a", "set_b").agg(F.count("*").alias("times"), F.bool_or("again").alias("again")), "kinds")
+    crowds = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.bool_or("again").alias("again"))
 
     key = ["anchor", "set_a", "set_b"]
-    texts = found.select(*key, "bytes").join(crowds.where("kinds > 1"), "anchor").groupBy(*key, "kinds").agg(F.first("bytes").alias("bytes"))
+    texts = found.select(*key, "bytes").join(crowds.where("kinds > 1 or again").drop("again"), "anchor").groupBy(*key, "kinds").agg(F.first("bytes").alias("bytes"))
     texts = common.shared_table(texts, "texts")
     few = _transformed(texts.where(F.col("kinds") <= CROWD).select(F.col("anchor").alias("group"), "set_a", "set_b", "bytes")).select("set_a", "set_b", "lo", "hi")
 
