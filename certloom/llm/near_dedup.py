@@ -7,7 +7,9 @@ those next to it, which share the longest prefix with it. Candidates are confirm
 
 Regions are runs of a range-partitioned sort, so one that holds a third of all rows is spread over tasks. Sets that
 are linked already are not compared again: the first round links dense regions through few comparisons by two trees,
-the next takes all trees, and only pairs from different components.
+the next takes all trees, and only pairs from different components. The third takes the dense regions that still hold
+several components, and counts what each pair of sets from different ones shares; a region goes in blocks, and each
+pair of blocks is a cell that any task can take.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ FIRST_TREES = 2
 #: Neighbours before it, in an order, that a set is compared with.
 NEIGHBOURS = 3
 FAN = 8
+#: Sets, and shingles, of a block of a dense region: what a task holds at once, two blocks at most.
+BLOCK_SETS, BLOCK_SHINGLES = 1000, 1_000_000
 
 _A = (common.mix(np.arange(1, MINIMA + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _B = (common.mix(np.arange(1001, 1001 + MINIMA, dtype=U64)) >> U64(32)).astype(np.uint32)
@@ -158,6 +162,77 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = rows[-NEIGHBOURS:]
 
 
+def _join_cell(of: np.ndarray, own: list[np.ndarray], label: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links between labels of a cell: its sets are of one block, or of two; then only those of different blocks meet. What two sets share is counted in full."""
+    size = np.array([len(s) for s in own], np.int64)
+    one = of[0] == of[-1]
+    left, right = (np.arange(len(of)),) * 2 if one else (np.flatnonzero(of == of[0]), np.flatnonzero(of != of[0]))
+    value, owner = np.concatenate([own[k] for k in right]), np.repeat(np.arange(len(right)), size[right])
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    begin = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    length, value = np.diff(begin, append=len(value)), value[begin]
+    root, a, b = label.copy(), [], []
+    for k in left.tolist():
+        other = root[right] != root[k]
+        if one:
+            other[k:] = False
+        if not other.any():
+            continue
+        at = np.minimum(np.searchsorted(value, own[k]), len(value) - 1)
+        at = at[value[at] == own[k]]
+        n = length[at]
+        found = owner[np.repeat(begin[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        both = np.bincount(found, minlength=len(right))
+        for m in right[other & (both > 0) & (100 * both >= PERCENT * (size[k] + size[right] - both))].tolist():
+            if root[m] != root[k]:
+                a.append(int(label[k]))
+                b.append(int(label[m]))
+                root[root == root[m]] = root[k]
+    return a, b
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between labels, of rows (key, low, high, block, label, own) in order of their cells (key, low, high) and blocks."""
+    cell, of, own, label = None, [], [], []
+
+    def done() -> pa.RecordBatch:
+        a, b = _join_cell(np.array(of), own, np.array(label, np.int64))
+        return common.batch_of(_PAIRS, [np.array(a, np.int64), np.array(b, np.int64)])
+
+    for batch in batches:
+        for key, low, high, block, name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, low, high) != cell:
+                if cell:
+                    yield done()
+                cell, of, own, label = (key, low, high), [], [], []
+            of.append(block)
+            own.append(np.frombuffer(data, U64))
+            label.append(name)
+    if cell:
+        yield done()
+
+
+def dense_links(trees: DataFrame, labels: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Links (a, b) between labels by all pairs of sets of different labels in the regions where _near cannot meet all. labels: (doc_id, n_shingles, label)."""
+    rows = trees.select("key", "doc_id").join(labels, "doc_id")
+    dense = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.min("label").alias("x"), F.max("label").alias("y")).where((F.col("n") > NEIGHBOURS + 1) & (F.col("x") != F.col("y")))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("bigint").alias("blocks")
+    rows = common.shared_table(rows.join(dense.select("key", blocks), "key").select("key", "doc_id", "label", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block")), "dense")
+    wanted = bloom.members(rows.select(F.col("doc_id").alias("x")))
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted.value.test(np.asarray(batch.column(0)))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets(batch.column(1))], pa.binary())], names=["doc_id", "own"])
+
+    held = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), text).mapInArrow(taken, "doc_id bigint, own binary").where("octet_length(own) > 0")
+    cells = rows.join(held, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "label", "own")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(n, "key", "low", "high").sortWithinPartitions("key", "low", "high", "block").mapInArrow(_cells, "a bigint, b bigint")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """Those of the pairs (a, b) whose full sets are linked. Only texts of documents in a pair move."""
     pairs = common.shared_table(pairs.where("a <> b").distinct(), "pairs")
@@ -179,6 +254,15 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (node, component), with the components that links (a, b) between their names join."""
+    joined = components(links).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    groups = groups.join(joined, groups["component"] == joined["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
+    # sets that only these links join are their own old component
+    late = joined.join(groups, joined["old"] == groups["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    return groups.union(late)
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs.
 
@@ -189,7 +273,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     described = common.shared_table(describe(docs, text), "signatures")
     sets_ = described.where("doc_id is not null and set_a is not null")
-    classes = sets_.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.min_by("signature", "doc_id").alias("signature"))
+    classes = sets_.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.min_by("signature", "doc_id").alias("signature"), F.max("n_shingles").alias("n_shingles"))
     classes = common.shared_table(classes, "classes")
     trees = common.shared_table(forest(classes), "forest")
 
@@ -204,11 +288,10 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     for side in ("a", "b"):
         of = groups.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
         named = named.join(of, side, "left").withColumn(side, F.coalesce(f"c{side}", side)).drop(f"c{side}")
-    joined = components(named).select(F.col("node").alias("old"), F.col("component").alias("new"))
-    groups = groups.join(joined, groups["component"] == joined["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
-    # sets that only the second round links are their own old component
-    late = joined.join(groups, joined["old"] == groups["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
-    final = groups.union(late)
+    groups = common.shared_table(_merged(groups, named), "groups")
+
+    labels = classes.join(groups, classes["doc_id"] == groups["node"], "left").select("doc_id", "n_shingles", label)
+    final = _merged(groups, dense_links(trees, labels, docs, text))
 
     named = classes.join(final, classes["doc_id"] == final["node"], "left").select("set_a", "set_b", F.coalesce("component", "doc_id").alias("class"))
     out = described.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")

@@ -110,6 +110,23 @@ def test_near_dedup(spark, docs, plain, none):
     assert rows(near_dedup.near_duplicates(odd)) == [(0, 0, 0, True), (1, 2, 1, True), (1, 2, 1, True), (None, 2, None, True)]
 
 
+def test_near_dedup_of_a_star(spark, monkeypatch):
+    """Edits linked with one text and none with another: more than neighbours in any order can find."""
+    rng = random.Random(8)
+    base = words(rng, 300, 10**6).split(" ")
+    texts = [" ".join(base)]
+    for n in range(1100):
+        cut = set(rng.sample(range(4, 296), 8))
+        texts.append(" ".join(f"y{n}x{i}" if i in cut else w for i, w in enumerate(base)))
+    data = [(k * 7 % 1103 + 1, t) for k, t in enumerate(texts)]
+    want = sorted(brute.near(data), key=repr)
+    assert max(sum(x[2] == y for x in want) for y in {x[2] for x in want}) > 1000
+    table = spark.createDataFrame(data, "doc_id bigint, text string").repartition(4)
+    assert rows(near_dedup.near_duplicates(table)) == want
+    monkeypatch.setattr(near_dedup, "BLOCK_SETS", 150)  # several blocks
+    assert rows(near_dedup.near_duplicates(table)) == want
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(0, 300) if i % 100 != 99] + [(5, 5), (400, 401), (401, 400)]
     got = {r[0]: r[1] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
