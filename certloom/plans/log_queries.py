@@ -99,6 +99,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return parts.select("part", F.lower(F.hex(merkle.perfect_root(F.col("hashes")))).alias("root"))
 
 
+@query("merkle_root_all")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.tree_root(_leaves(spark, sf), events(spark, sf).count()).select(F.lower(F.hex("root")).alias("root"))
+
+
+@query("merkle_perfect_all", f"WITH {_o_levels(4, 'event_id < (SELECT count(*) // 16 * 16 FROM events)')} SELECT i AS part, lower(hex(h)) AS root FROM l4")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    parts = _leaves(spark, sf).groupBy(F.floor(F.col("index") / 16).cast("bigint").alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "hash"))), lambda x: x["hash"]).alias("hashes"))
+    return parts.where(F.size("hashes") == 16).select("part", F.lower(F.hex(merkle.perfect_root(F.col("hashes")))).alias("root"))
+
+
 @query("merkle_compact", f"WITH l AS (SELECT event_id AS i, {_LEAF} AS h FROM events) SELECT a.i // 3 AS part, lower(hex({_NODE.format('a.h', _NODE.format('b.h', 'c.h'))})) AS root FROM l a JOIN l b ON b.i = a.i + 1 JOIN l c ON c.i = a.i + 2 WHERE a.i % 3 = 0")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     three = _leaves(spark, sf).groupBy(F.floor(F.col("index") / 3).cast("bigint").alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "hash"))), lambda x: x["hash"]).alias("hashes"))
