@@ -50,9 +50,12 @@ def tree_root(hashes: DataFrame, size: int) -> DataFrame:
     return hashes.select(F.col("hash").alias("root"))
 
 
+TILE_BITS, TOP_LEVEL = 8, 5
+
+
 def subtree(size: int) -> tuple[int, int]:
     """(level, hashes) of the tile with the hashes that a perfect subtree of size (a power of two) is made of."""
-    level = min(((size & -size).bit_length() - 1) // 8, 5)
+    level = min(((size & -size).bit_length() - 1) // TILE_BITS, TOP_LEVEL)
     return level, size >> (8 * level)
 
 
@@ -66,6 +69,18 @@ def subtree_plan(size: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def subtree_plans(size: Column) -> Column:
+    """subtree_plan of a column of sizes (bigint): array<struct<start, subtree, level>>, largest first; empty for 0."""
+    bits = F.filter(F.sequence(F.lit(62), F.lit(0)), lambda b: F.call_function("shiftright", size, b).bitwiseAND(1) == 1)
+
+    def part(b: Column) -> Column:
+        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), b)
+        above = size - F.pmod(size, one) - one
+        return F.struct(above.alias("start"), one.alias("subtree"), F.least(F.floor(b / TILE_BITS).cast("int"), F.lit(TOP_LEVEL)).alias("level"))
+
+    return F.transform(bits, part)
+
+
 def hash_tile(data: Column) -> Column:
     """array<binary> of the 32-byte hashes of a tile; null if bytes are left over."""
     n = F.octet_length(data)

@@ -118,8 +118,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("subtree_plan", "WITH sizes AS (SELECT event_id AS size FROM events WHERE event_id < 2000), bits AS (SELECT size, unnest(range(11)) AS b FROM sizes) SELECT size, (size >> (b + 1)) << (b + 1) AS start, 1 << b AS subtree, CAST(b // 8 AS INT) AS level FROM bits WHERE (size >> b) & 1 = 1")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    bits = events(spark, sf).where("event_id < 2000").select(F.col("event_id").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(10))).alias("b"))
-    return bits.where("(shiftright(size, b) & 1) = 1").selectExpr("size", "shiftleft(shiftright(size, b + 1), b + 1) AS start", "shiftleft(1L, b) AS subtree", "CAST(b DIV 8 AS INT) AS level")
+    return _plans(events(spark, sf).where("event_id < 2000"))
+
+
+def _plans(sizes: DataFrame) -> DataFrame:
+    return sizes.select(F.col("event_id").alias("size"), F.inline(merkle.subtree_plans(F.col("event_id"))))
+
+
+@query("subtree_plan_all", "WITH bits AS (SELECT event_id AS size, unnest(range(63)) AS b FROM events) SELECT size, size - size % (1::BIGINT << b) - (1::BIGINT << b) AS start, 1::BIGINT << b AS subtree, CAST(least(b // 8, 5) AS INT) AS level FROM bits WHERE (size >> b) & 1 = 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _plans(events(spark, sf))
 
 
 @query("hash_tile", "SELECT t AS tile, len(hs) AS n, lower(hs[1]) AS first, lower(hs[-1]) AS last FROM (SELECT event_id // 256 AS t, list(hex(" + _LEAF + ") ORDER BY event_id) AS hs FROM events GROUP BY ALL)")
