@@ -31,11 +31,15 @@ def payload(rows: DataFrame, kind: str, batch: int = 1000) -> DataFrame:
 
     A bounded envelope keeps a big result from meeting in one row; batch=0 makes a single one, for small results.
     """
-    fields = FINDING_FIELDS if kind == "findings" else ALERT_FIELDS
-    body = F.struct(*fields)
     part = F.pmod(F.xxhash64("domain"), F.greatest(F.lit(1), F.ceil(F.lit(rows.count() / batch)).cast("bigint"))) if batch else F.lit(0)
+    return envelopes(rows, kind, part).select("payload")
+
+
+def envelopes(rows: DataFrame, kind: str, part: Column) -> DataFrame:
+    """(part, count, payload): an envelope for each value of part."""
+    body = F.struct(*(FINDING_FIELDS if kind == "findings" else ALERT_FIELDS))
     made = rows.groupBy(part.alias("part")).agg(F.count("*").alias("count"), F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "domain", body.alias("body")))).alias("all"))
-    return made.select(F.to_json(F.struct(F.lit(kind).alias("kind"), "count", F.transform("all", lambda x: x["body"]).alias(kind)), NULLS).alias("payload"))
+    return made.select("part", "count", F.to_json(F.struct(F.lit(kind).alias("kind"), "count", F.transform("all", lambda x: x["body"]).alias(kind)), NULLS).alias("payload"))
 
 
 def idempotency_key(payload_: Column) -> Column:

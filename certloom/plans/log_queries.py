@@ -422,10 +422,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("webhook_payload", f"WITH {_O_FOUND} SELECT count(*) AS n, '{{\"kind\":\"findings\",\"count\":' || count(*) || ',\"findings\":[' || string_agg({_JSON}, ',' ORDER BY score DESC, domain, {_JSON}) || ']}}' AS payload FROM tidy WHERE certificate_index < 200 GROUP BY certificate_index")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    rows = found(spark, sf).where("certificate_index < 200")
-    body = F.struct(*sinks.FINDING_FIELDS)
-    made = rows.groupBy("certificate_index").agg(F.count("*").alias("count"), F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("r"), "domain", F.to_json(body, sinks.NULLS).alias("j"), body.alias("body")))).alias("all"))
-    return made.select(F.col("count").alias("n"), F.to_json(F.struct(F.lit("findings").alias("kind"), "count", F.transform("all", lambda x: x["body"]).alias("findings")), sinks.NULLS).alias("payload"))
+    return _payloads(found(spark, sf).where("certificate_index < 200"))
+
+
+def _payloads(rows: DataFrame) -> DataFrame:
+    return sinks.envelopes(rows, "findings", F.col("certificate_index")).select(F.col("count").alias("n"), "payload")
+
+
+@query("webhook_payload_all", f"WITH {_O_FOUND} SELECT count(*) AS n, '{{\"kind\":\"findings\",\"count\":' || count(*) || ',\"findings\":[' || string_agg({_JSON}, ',' ORDER BY score DESC, domain, {_JSON}) || ']}}' AS payload FROM tidy GROUP BY certificate_index")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _payloads(found(spark, sf))
 
 
 # --- names that need Unicode rules ---------------------------------------------------------------------------------
