@@ -194,6 +194,7 @@ simple("digit_subst", lambda: D.undo_digits(F.col("domain")), _SUBST.format("dom
 simple("lev", lambda: F.levenshtein(D.registrable_label(F.col("domain")), F.lit("paypal")), "CAST(levenshtein(reg_label, 'paypal') AS INT)", base=_O_FEATURES, table="features")
 _BS = "string_split(reg_label, '')"
 simple("osa_distance", lambda: D.osa_distance(F.substring(D.registrable_label(F.col("domain")), 1, 8), F.lit("paypal")), "CAST(damerau_levenshtein(substr(reg_label, 1, 8), 'paypal') AS INT)", base=_O_FEATURES, table="features")
+QUERIES["osa_distance_all"] = lambda spark, sf: names(spark, sf).select("idx", D.osa_distance(D.registrable_label(F.col("domain")), F.lit("paypal")).alias("value"))
 simple("severity", lambda: D.severity(F.col("idx") % 101), _SEVERITY.format("idx % 101"), corpus, _O_CORPUS, "corpus")
 _GLYPH_KEYS, _GLYPH_VALUES = "".join(D.LOOKALIKES), "".join(D.LOOKALIKES.values())
 _ODD = "translate(domain, 'aeo', 'аео')"

@@ -52,6 +52,16 @@ def test_webhook_payload(spark, sf):
     assert [r[0] for r in sinks.payload(one, "findings", 0).collect()] == [p for p in (r["payload"] for r in got) if "paypa1-login.com" in p and "certificate_index\",\"value\":\"2304\"" in p]
 
 
+def _osa(a, b):
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
 def test_osa_distance(spark, sf):
     labels = {r["idx"]: r["value"] for r in QUERIES["registrable_label"](spark, sf).collect()}
     got = {r["idx"]: r["value"] for r in QUERIES["osa_distance_all"](spark, sf).collect()}
