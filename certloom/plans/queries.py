@@ -278,6 +278,8 @@ for _name, _k, _starts in (("comp_actions", 0, "^domain combines multiple"), ("c
     _rule(_name, *_RULES[_k][:3], _starts)
 for _name, _k, _starts in (("comp_protected", 4, "^domain combines protected"), ("comp_digit_label", 5, "^registrable label `"), ("comp_digit_token", 6, "^domain token")):
     _rule(_name, *_RULES[_k][:3], f"{_starts}.*`?paypal`?")
+    _rule(f"{_name}_all", *_RULES[_k][:3], _starts)
+    ORACLES[f"{_name}_all"] = " UNION ALL ".join(f"SELECT * FROM ({o})" for o in (f"WITH {_O_LIVE} SELECT idx, {r} AS reason FROM live WHERE {c}" for c, _, r, _ in _RULES[_k :: 3]))
 
 
 @query("detect_all", f"WITH {_O_FOUND} SELECT certificate_index, domain, detector, severity, score, array_to_string(reasons, '|') AS reasons, array_to_string(evidence, '|') AS evidence FROM tidy")
