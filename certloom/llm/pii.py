@@ -17,7 +17,7 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9])",
-    "phone": r"(?<![0-9+])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?!-?[0-9])",
+    "phone": r"(?<![0-9+])(?:\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}|(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2})[ .-][0-9]{4}(?!-?[0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])",
 }
 ANY = "|".join(PATTERNS[k] for k in KINDS)
@@ -86,11 +86,14 @@ def _card(x: Column, key: Column) -> Column:
 
 
 def _phone(x: Column, key: Column) -> Column:
+    """After +1 any area and exchange; those that begin with 0 or 1, that is under 200, stay so."""
     d = F.right(_digits(x), F.lit(10))
-    a, b = F.substr(d, F.lit(1), F.lit(3)).cast("bigint") - 200, (F.substr(d, F.lit(4), F.lit(3)).cast("bigint") - 200) * 10000 + F.substr(d, F.lit(7), F.lit(4)).cast("bigint")
-    s = permute(a, F.lit(800), b, F.lit(8_000_000), key, "phone")
+    area, exchange = (F.substr(d, F.lit(i), F.lit(3)).cast("bigint") for i in (1, 4))
+    low_a, low_b = (F.when(c < 200, 0).otherwise(200) for c in (area, exchange))
+    size_a, size_b = (F.when(c < 200, 200).otherwise(800) for c in (area, exchange))
+    s = permute(area - low_a, size_a, (exchange - low_b) * 10000 + F.substr(d, F.lit(7), F.lit(4)).cast("bigint"), size_b * 10000, key, "phone")
     code = F.when(F.length(_digits(x)) == 11, "1").otherwise("")
-    return F.element_at(F.transform(F.array(s), lambda s: _refill(x, F.concat(code, (s["a"] + 200).cast("string"), (F.floor(s["b"] / 10000) + 200).cast("string"), _pad(s["b"] % 10000, 4)))), 1)
+    return F.element_at(F.transform(F.array(s), lambda s: _refill(x, F.concat(code, _pad(s["a"] + low_a, 3), _pad(F.floor(s["b"] / 10000) + low_b, 3), _pad(s["b"] % 10000, 4)))), 1)
 
 
 def _ssn(x: Column, key: Column) -> Column:
