@@ -8,11 +8,25 @@ from pyspark.sql import functions as F
 from ..functions import domains as D
 
 
+def _packed(evidence: Column) -> Column:
+    """Evidence as strings: Spark drops repeats of strings by a hash table, of structs by comparing all with all."""
+    return F.transform(evidence, lambda e: F.concat(F.coalesce(e["kind"], F.lit("")), F.lit("\x00"), F.coalesce(F.concat(F.lit("="), e["value"]), F.lit(""))))
+
+
+def _unpacked(packed: Column) -> Column:
+    def one(x: Column) -> Column:
+        kind = F.substring_index(x, "\x00", 1)
+        value = F.substr(x, F.length(kind) + 2)
+        return F.struct(kind.alias("kind"), F.when(F.startswith(value, F.lit("=")), F.substr(value, F.lit(2))).alias("value"))
+
+    return F.transform(packed, one)
+
+
 def _later(lists: Column) -> Column:
-    """The first array as it is, then what the others add, without repeats."""
+    """The first array of strings as it is, then what the others add, without repeats."""
     first = F.get(lists, F.lit(0))
     rest = F.flatten(F.slice(lists, 2, F.greatest(F.size(lists) - 1, F.lit(1))))
-    return F.concat(first, F.array_distinct(F.filter(rest, lambda x: ~F.array_contains(first, x))))
+    return F.concat(first, F.array_except(rest, first))
 
 
 def merge_findings(findings: DataFrame, order: list[str], within: list[str] = ()) -> DataFrame:
@@ -22,9 +36,10 @@ def merge_findings(findings: DataFrame, order: list[str], within: list[str] = ()
     """
     ordinal = F.struct(*order)
     group = [*within, "domain", "detector"]
-    gathered = findings.select(*group, F.struct(ordinal.alias("at"), "score", "severity", "reasons", "evidence").alias("f")).groupBy(*group).agg(F.array_sort(F.collect_list("f")).alias("fs"))
+    one = F.struct(ordinal.alias("at"), "score", "severity", "reasons", _packed(F.col("evidence")).alias("evidence"))
+    gathered = findings.select(*group, one.alias("f")).groupBy(*group).agg(F.array_sort(F.collect_list("f")).alias("fs"))
     best = F.array_max(F.transform("fs", lambda f: f["score"]))
-    return gathered.select(*group, F.get(F.filter("fs", lambda f: f["score"] == best), F.lit(0))["severity"].alias("severity"), best.alias("score"), _later(F.transform("fs", lambda f: f["reasons"])).alias("reasons"), _later(F.transform("fs", lambda f: f["evidence"])).alias("evidence"))
+    return gathered.select(*group, F.get(F.filter("fs", lambda f: f["score"] == best), F.lit(0))["severity"].alias("severity"), best.alias("score"), _later(F.transform("fs", lambda f: f["reasons"])).alias("reasons"), _unpacked(_later(F.transform("fs", lambda f: f["evidence"]))).alias("evidence"))
 
 
 def combined_score(top: Column, n_detectors: Column) -> Column:
@@ -41,7 +56,7 @@ def group_alerts(findings: DataFrame, within: list[str] = ()) -> DataFrame:
     worst = F.array_max(F.transform("findings", lambda f: D.severity_rank(f["severity"])))
     return grouped.select(
         *within, "domain", D.severity_name(F.greatest(D.severity_rank(D.severity(score)), worst)).alias("severity"), score.alias("score"), names.alias("detectors"),
-        F.array_distinct(F.flatten(F.transform("findings", lambda f: f["reasons"]))).alias("reasons"), F.array_distinct(F.flatten(F.transform("findings", lambda f: f["evidence"]))).alias("evidence"), "findings",
+        F.array_distinct(F.flatten(F.transform("findings", lambda f: f["reasons"]))).alias("reasons"), _unpacked(F.array_distinct(_packed(F.flatten(F.transform("findings", lambda f: f["evidence"]))))).alias("evidence"), "findings",
     )
 
 
