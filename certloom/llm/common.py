@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,22 +32,41 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset: a temporary one if all run on this machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="certloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir is unset: with master {master} it must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        _own_folders[app] = tempfile.mkdtemp(prefix="certloom-")
+        atexit.register(shutil.rmtree, _own_folders[app], True)
+    return _own_folders[app]
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    The table goes when it is forgotten, or else when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a shared table, once all that reads it has been written or collected."""
+    _remove(table.sparkSession, table.shared_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -224,4 +245,5 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListA
 
 
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
+    """A batch of these columns, arrays or lists."""
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
         if not state[0] or tuple(state) == before:
             break
         before = tuple(state)
-        edges = common.shared_table(_small_star(_large_star(edges)), "links")
+        older, edges = edges, common.shared_table(_small_star(_large_star(edges)), "links")
+        common.forget(older)
     else:
         raise RuntimeError("links did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

@@ -45,31 +45,26 @@ def _keys(text: bytes, least: int) -> dict[bytes, int]:
     return {k: hash_of(k) for k in {key_of(x) for x in text.split(b"\n")} if long_enough(k, least)}
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from bloom.packing(batches, lambda batch: np.array([h for t in _texts(batch.column(0)) for h in _keys(t, MIN_CHARS).values()], np.uint64))
+_SUSPECTS = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("hash", pa.int64())])
 
 
-def _suspects(twice):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, keys, hashes = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
-                own = _keys(text, MIN_CHARS)
-                docs += [doc] * len(own)
-                keys += own
-                hashes += own.values()
-            hit = np.flatnonzero(twice.value.test(h := np.array(hashes, np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array([docs[i] for i in hit], pa.int64()), pa.array([keys[i] for i in hit], pa.binary()), pa.array(h[hit].view(np.int64))], names=["doc_id", "key", "hash"])
+def _values(batch: pa.RecordBatch) -> bloom.Values:
+    """Hashes of the keys of a batch (doc_id, text), and the keys."""
+    own = [_keys(text, MIN_CHARS) for text in _texts(batch.column(1))]
+    return np.repeat(np.arange(len(own)), [len(x) for x in own]), np.array([h for x in own for h in x.values()], np.uint64), [k for x in own for k in x]
+
 
-    return run
+def _suspected(batch: pa.RecordBatch, own: bloom.Values, suspected: np.ndarray) -> pa.RecordBatch:
+    """(doc_id, key, hash) of the keys of a batch (doc_id, text) whose hash is suspected to repeat."""
+    hit = np.flatnonzero(suspected)
+    return common.batch_of(_SUSPECTS, [batch.column(0).take(pa.array(own[0][hit])), [own[2][i] for i in hit], own[1][hit].view(np.int64)])
 
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, hashes): the keys whose lines each document loses, by their 64-bit hash."""
     common.prepare(docs.sparkSession)
-    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    twice = bloom.seen_twice(docs.select("text").mapInArrow(_hashes, bloom.PACKED))
-    suspects = docs.mapInArrow(_suspects(twice), "doc_id bigint, key binary, hash bigint").distinct()
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    suspects = bloom.suspects(docs, _values, _suspected, "doc_id bigint, key binary, hash bigint").distinct()
     suspects = common.shared_table(suspects, "suspects")
     dropped = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= MIN_DOCS).select("key", "keeper")
     return suspects.join(dropped, "key").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))

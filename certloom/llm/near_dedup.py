@@ -95,23 +95,23 @@ def _orders(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return key, (rest << U64(8)) | np.arange(TREES, dtype=U64)[None, :]
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from bloom.packing(batches, lambda batch: _orders(batch.column(0))[0].ravel())
+_FOREST = pa.schema([("key", pa.int64()), ("rest", pa.int64()), ("doc_id", pa.int64())])
 
 
-def forest(classes: DataFrame) -> DataFrame:
-    """(key, rest, doc_id) of each set in each tree, but for regions that hold one set alone."""
-    twice = bloom.seen_twice(classes.select("signature").mapInArrow(_keys, bloom.PACKED))
+def _values(batch: pa.RecordBatch) -> bloom.Values:
+    """Region keys of the signatures of a batch (doc_id, signature), and what follows in the orders."""
+    key, rest = _orders(batch.column(1))
+    return np.repeat(np.arange(batch.num_rows), TREES), key.ravel(), rest.ravel()
+
+
+def _shared(batch: pa.RecordBatch, own: bloom.Values, suspected: np.ndarray) -> pa.RecordBatch:
+    row, key, rest = (x[suspected] for x in own)
+    return common.batch_of(_FOREST, [key.view(np.int64), rest.view(np.int64), batch.column(0).take(pa.array(row))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, rest = _orders(batch.column(1))
-            doc = np.repeat(np.asarray(batch.column(0)), TREES)
-            key, rest = key.ravel(), rest.ravel()
-            more = twice.value.test(key)
-            yield pa.RecordBatch.from_arrays([pa.array(key[more].view(np.int64)), pa.array(rest[more].view(np.int64)), pa.array(doc[more])], names=["key", "rest", "doc_id"])
 
-    return classes.select("doc_id", "signature").mapInArrow(run, "key bigint, rest bigint, doc_id bigint")
+def forest(classes: DataFrame) -> DataFrame:
+    """(key, rest, doc_id) of each set in each tree, but for regions that hold one set alone."""
+    return bloom.suspects(classes.select("doc_id", "signature"), _values, _shared, "key bigint, rest bigint, doc_id bigint")
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
@@ -121,6 +121,7 @@ def _sorted(rows: DataFrame) -> DataFrame:
 
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("edge", pa.int64())])
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +148,8 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each set with the NEIGHBOURS before it in its region, if their components differ."""
-    tail = np.zeros((0, 3), np.int64)
+    """Pairs (a, b) of each set with the NEIGHBOURS before it in its region, if their components differ; and the first and the last region (edge), which other tasks may hold parts of."""
+    tail, first = np.zeros((0, 3), np.int64), None
     for batch in batches:
         rows = np.concatenate([tail, np.stack([np.asarray(batch.column(i)) for i in range(3)], axis=1)])
         a, b, n = [], [], len(tail)
@@ -158,8 +159,12 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a.append(then[fit, 1])
             b.append(now[fit, 1])
         a, b = np.concatenate(a), np.concatenate(b)
-        yield common.batch_of(_PAIRS, [np.minimum(a, b), np.maximum(a, b)])
+        yield common.batch_of(_MET, [np.minimum(a, b), np.maximum(a, b), pa.nulls(len(a), pa.int64())])
         tail = rows[-NEIGHBOURS:]
+        if first is None and len(rows):
+            first = rows[0, 0]
+    if first is not None:
+        yield common.batch_of(_MET, [pa.nulls(2, pa.int64()), pa.nulls(2, pa.int64()), [first, tail[-1, 0]]])
 
 
 def _join_cell(of: np.ndarray, own: list[np.ndarray], label: np.ndarray) -> tuple[list[int], list[int]]:
@@ -213,17 +218,19 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def dense_links(trees: DataFrame, labels: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Links (a, b) between labels by all pairs of sets of different labels in the regions where _near cannot meet all. labels: (doc_id, n_shingles, label)."""
+def dense_links(trees: DataFrame, labels: DataFrame, edges: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Links (a, b) between labels by all pairs of sets of different labels in the regions where _near cannot meet all: those of more sets than it sees at once, and those (edges: key) that several tasks had parts of. labels: (doc_id, n_shingles, label)."""
     rows = trees.select("key", "doc_id").join(labels, "doc_id")
-    dense = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.min("label").alias("x"), F.max("label").alias("y")).where((F.col("n") > NEIGHBOURS + 1) & (F.col("x") != F.col("y")))
+    regions = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    dense = regions.join(edges.withColumn("parted", F.lit(True)), "key", "left").where((F.col("n") > NEIGHBOURS + 1) | F.col("parted"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("bigint").alias("blocks")
     rows = common.shared_table(rows.join(dense.select("key", blocks), "key").select("key", "doc_id", "label", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block")), "dense")
     wanted = bloom.members(rows.select(F.col("doc_id").alias("x")))
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(wanted.value.test(np.asarray(batch.column(0)))))
+            if wanted is not None:
+                batch = batch.filter(pa.array(wanted.value.test(np.asarray(batch.column(0)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets(batch.column(1))], pa.binary())], names=["doc_id", "own"])
 
     held = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), text).mapInArrow(taken, "doc_id bigint, own binary").where("octet_length(own) > 0")
@@ -237,12 +244,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """Those of the pairs (a, b) whose full sets are linked. Only texts of documents in a pair move."""
     pairs = common.shared_table(pairs.where("a <> b").distinct(), "pairs")
     wanted = bloom.members(pairs.select(F.explode(F.array("a", "b")).alias("x")))
-
-    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(wanted.value.test(np.asarray(batch.column(0)))))
-
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(taken, "doc_id bigint, text string")
+    texts = bloom.holding(docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text")), wanted)
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
@@ -269,7 +271,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     A set is that of the distinct five-word shingles, A-Z lower-cased, or the whole sequence of fewer words; documents
     whose sets have a resemblance of 75 % or more are linked, and a component is named by its least doc_id. Without
     words or text a set is empty and linked with none. Rows with the same doc_id are in one component if their sets
-    are linked. A null doc_id is in no component, and kept.
+    are linked. A null doc_id is in no component, and kept. Texts of any length are taken whole; other columns of docs
+    are not read; an empty table has no rows.
     """
     described = common.shared_table(describe(docs, text), "signatures")
     sets_ = described.where("doc_id is not null and set_a is not null")
@@ -282,8 +285,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
     label = F.coalesce("component", "doc_id").alias("label")
     labelled = trees.join(groups, trees["doc_id"] == groups["node"], "left").select("key", "rest", "doc_id", label)
-    pairs = _sorted(common.shared_table(labelled, "labelled")).select("key", "doc_id", "label").mapInArrow(_near, "a bigint, b bigint")
-    links = confirm(pairs, docs, text)
+    met = common.shared_table(_sorted(common.shared_table(labelled, "labelled")).select("key", "doc_id", "label").mapInArrow(_near, "a bigint, b bigint, edge bigint"), "met")
+    edges = met.where("edge is not null").groupBy(F.col("edge").alias("key")).count().where("count > 1").select("key")  # two rows a task, whatever the input
+    links = confirm(met.where("edge is null").select("a", "b"), docs, text)
     named = links
     for side in ("a", "b"):
         of = groups.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
@@ -291,7 +295,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     groups = common.shared_table(_merged(groups, named), "groups")
 
     labels = classes.join(groups, classes["doc_id"] == groups["node"], "left").select("doc_id", "n_shingles", label)
-    final = _merged(groups, dense_links(trees, labels, docs, text))
+    final = _merged(groups, dense_links(trees, labels, edges, docs, text))
 
     named = classes.join(final, classes["doc_id"] == final["node"], "left").select("set_a", "set_b", F.coalesce("component", "doc_id").alias("class"))
     out = described.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
@@ -301,5 +305,6 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with one document of each component, that of the least doc_id; all rows that have this doc_id stay, as they are one document."""
-    lost = near_duplicates(docs, text).where(~F.col("kept")).select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs["doc_id"] == lost["__lost"], "left_anti")
+    (lost_id,) = common.fresh(docs, "lost")
+    lost = near_duplicates(docs, text).where(~F.col("kept")).select(F.col("doc_id").alias(lost_id)).distinct()
+    return docs.join(lost, docs["doc_id"] == lost[lost_id], "left_anti")

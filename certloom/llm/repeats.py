@@ -4,8 +4,12 @@ Every window of LENGTH bytes has an anchor: of its strings of GRAM bytes the one
 windows have equal anchors, so only windows that share an anchor need comparing. Consecutive windows with the same
 anchor are a run; runs whose anchor a pair of Bloom filters has seen twice are gathered by anchor, equal ones once with
 their number. A Burrows-Wheeler transform of the different runs of an anchor tells which windows occur in several of
-them. Runs of an anchor that very many different runs share are first cut into short pieces, gathered by all the bytes
-that the windows of a piece have in common.
+them.
+
+A group whose different runs have more than GROUP_BYTES bytes is not transformed as a whole: its runs are cut into
+pieces of fewer windows, by their distance from the anchor, and grouped by all the bytes that the windows of such a
+piece must share. Equal pieces go on as one. Groups that are still too large are cut again, down to pieces of one
+window, of which a group can hold only one kind; so no task takes more than BLOCK and GROUP_BYTES at once.
 """
 
 from __future__ import annotations
@@ -24,11 +28,11 @@ from . import bloom, bwt, common
 U64 = np.uint64
 LENGTH, REACH = 400, 256
 GRAM = LENGTH - REACH + 1
-#: Different runs of one anchor that are transformed together; of more, pieces are.
-CROWD = 200
-#: Windows of a piece.
-PIECE = 16
-#: Bytes that one transform takes, and more only if one group has more.
+#: Bytes of the different runs, or pieces, of one group that are transformed together; of more, smaller pieces are.
+GROUP_BYTES = 1 << 17
+#: Windows of a piece, at most, each time a group is cut.
+WIDTHS = (64, 16, 4, 1)
+#: Bytes of the groups that one transform takes, but for the last of them.
 BLOCK = 1 << 20
 
 _RAW = common.mix(np.arange(7001, 7257, dtype=U64))
@@ -91,36 +95,29 @@ def runs(data: np.ndarray, offsets: np.ndarray, most: int = common.PIECE) -> Ite
 
 
 _KEYS = "uid bigint, doc_id bigint, start bigint, n bigint, again boolean, anchor bigint, set_a bigint, set_b bigint, bytes binary"
+_KEYS_ARROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("again", pa.bool_()), ("anchor", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bytes", pa.binary())])
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def of(batch: pa.RecordBatch) -> np.ndarray:
-        found = [np.concatenate([r[3], r[3][r[4]]]) for r in runs(*common.raw(batch.column(0)))]
-        return np.concatenate(found) if found else np.zeros(0, U64)
-
-    yield from bloom.packing(batches, of)
+def _values(batch: pa.RecordBatch) -> bloom.Values:
+    """Anchors of the runs of a batch (uid, doc_id, text), then once more those that come again within their run; and the runs."""
+    found = list(runs(*common.raw(batch.column(2)))) or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, bool))]
+    own = tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    doc, anchor, again = own[0], own[3], own[4]
+    return np.concatenate([doc, doc[again]]), np.concatenate([anchor, anchor[again]]), own
 
 
 def _pair(x: bytes) -> tuple[int, int]:
-    a, b = xxhash.xxh3_128_intdigest(x).to_bytes(16, "big")[:8], xxhash.xxh3_128_intdigest(x).to_bytes(16, "big")[8:]
-    return int.from_bytes(a, "big", signed=True), int.from_bytes(b, "big", signed=True)
+    digest = xxhash.xxh3_128_digest(x)
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
-def _suspects(twice):
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("again", pa.bool_()), ("anchor", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bytes", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            uid, ids = np.asarray(batch.column(0)), batch.column(1)
-            data, offsets = common.raw(batch.column(2))
-            for found in runs(data, offsets):
-                hit = twice.value.test(found[3])
-                doc, first, size, anchor, again = (x[hit] for x in found)
-                texts = [data[a : a + n + LENGTH - 1].tobytes() for a, n in zip(first.tolist(), size.tolist(), strict=True)]
-                pairs = [_pair(t) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(uid[doc]), ids.take(pa.array(doc)), pa.array(first - offsets[doc]), pa.array(size), pa.array(again), pa.array(anchor.view(np.int64)), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.array(texts, pa.binary())], schema=schema)
-
-    return run
+def _suspected(batch: pa.RecordBatch, own: bloom.Values, suspected: np.ndarray) -> pa.RecordBatch:
+    """Rows of _KEYS: the runs of a batch (uid, doc_id, text) whose anchor is suspected to repeat."""
+    data, offsets = common.raw(batch.column(2))
+    doc, first, size, anchor, again = (x[suspected[: len(x)]] for x in own[2])
+    texts = [data[a : a + n + LENGTH - 1].tobytes() for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+    pairs = [_pair(t) for t in texts]
+    return common.batch_of(_KEYS_ARROW, [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), first - offsets[doc], size, again, anchor.view(np.int64), [p[0] for p in pairs], [p[1] for p in pairs], texts])
 
 
 def windows_repeated(texts: list[bytes]) -> list[np.ndarray]:
@@ -133,19 +130,25 @@ def windows_repeated(texts: list[bytes]) -> list[np.ndarray]:
     return [found[e - len(t) - 1 : e - LENGTH] for e, t in zip(ends.tolist(), texts, strict=True)]
 
 
+#: Ranges of windows of a run.
+_RANGES = "array<struct<lo: bigint, hi: bigint>>"
+_HITS = f"run_a bigint, run_b bigint, windows {_RANGES}"
+_HITS_ARROW = pa.schema([("run_a", pa.int64()), ("run_b", pa.int64()), ("windows", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))])
+
+
 def _transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, set_a, set_b, bytes) sorted by group -> (group, set_a, set_b, lo, hi): ranges of windows that other runs of the group have too."""
+    """Rows (group, run_a, run_b, at, bytes) sorted by group, bytes of a group all different -> _HITS: of the runs that they are from, window `at` on, the windows that other bytes of the group have too."""
     rows: list[tuple] = []
     held = 0
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        out = [[], [], [], [], []]
-        for (g, a, b, _), hit in zip(rows, windows_repeated([r[3] for r in rows]) if rows else [], strict=True):
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).reshape(-1, 2)
-            for x, y in edge.tolist():
-                for column, v in zip(out, (g, a, b, x, y), strict=True):
+        out = [[], [], []]
+        for (_, a, b, at, _), hit in zip(rows, windows_repeated([r[4] for r in rows]) if rows else [], strict=True):
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).reshape(-1, 2) + at
+            if len(edge):
+                for column, v in zip(out, (a, b, [{"lo": x, "hi": y} for x, y in edge.tolist()]), strict=True):
                     column.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["group", "set_a", "set_b", "lo", "hi"])
+        return common.batch_of(_HITS_ARROW, out)
 
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -153,65 +156,94 @@ def _transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield flush(rows)
                 rows, held = [], 0
             rows.append(row)
-            held += len(row[3])
+            held += len(row[4])
     yield flush(rows)
 
 
 def _transformed(rows: DataFrame) -> DataFrame:
-    """rows: (group, set_a, set_b, bytes), all of them different."""
+    """rows: (group, run_a, run_b, at, bytes), of groups of GROUP_BYTES at most."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "group").sortWithinPartitions("group", "set_a", "set_b").mapInArrow(_transform, "group bigint, set_a bigint, set_b bigint, lo bigint, hi bigint")
+    return rows.repartition(n, "group").sortWithinPartitions("group", "run_a", "run_b", "at").mapInArrow(_transform, _HITS)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, set_a, set_b, bytes) -> pieces: (run_a, run_b, at, group, set_a, set_b, bytes). A window's distance from the anchor says which piece has it."""
-    for batch in batches:
-        out = [[] for _ in range(7)]
-        for anchor, run_a, run_b, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            data = np.frombuffer(text, np.uint8)
-            total = np.zeros(len(data) + 1, U64)
-            np.cumsum(_RAW[data] * common.powers(len(data))[: len(data)], out=total[1:])
-            h = common.mix((total[GRAM:] - total[:-GRAM]) * _inverses(len(data))[: len(data) - GRAM + 1])
-            places = np.flatnonzero(common.mix(h) == np.int64(anchor).view(U64)).tolist()
-            n, begin = len(text) - LENGTH + 1, 0
-            for place in places:  # each window goes with the leftmost in it
-                end = min(n, place + 1)
-                for j in range((place - end + 1) // PIECE, (place - begin) // PIECE + 1) if begin < end else ():
-                    lo, hi = max(begin, place - j * PIECE - PIECE + 1), min(end, place - j * PIECE + 1)
-                    core = text[place - j * PIECE : place - j * PIECE - PIECE + 1 + LENGTH]
-                    part = text[lo : hi + LENGTH - 1]
-                    group = xxhash.xxh3_64_intdigest(core, seed=j) - (1 << 63)
-                    for column, v in zip(out, (run_a, run_b, lo, group, *_pair(part), part), strict=True):
-                        column.append(v)
-                begin = max(begin, end)
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:6]], pa.array(out[6], pa.binary())], names=["run_a", "run_b", "at", "group", "set_a", "set_b", "bytes"])
+_PIECES = f"run_a bigint, run_b bigint, windows {_RANGES}, times bigint, at bigint, place bigint, group bigint, set_a bigint, set_b bigint, size bigint, bytes binary"
+_PIECES_ARROW = pa.schema([*_HITS_ARROW, ("times", pa.int64()), ("at", pa.int64()), ("place", pa.int64()), ("group", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("size", pa.int64()), ("bytes", pa.binary())])
+
+
+def _places(text: bytes, anchor: int) -> list[int]:
+    """Where the string of GRAM bytes with this anchor is."""
+    data = np.frombuffer(text, np.uint8)
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(_RAW[data] * common.powers(len(data))[: len(data)], out=total[1:])
+    h = common.mix((total[GRAM:] - total[:-GRAM]) * _inverses(len(data))[: len(data) - GRAM + 1])
+    return np.flatnonzero(common.mix(h) == np.int64(anchor).view(U64)).tolist()
+
+
+def _cut(width: int):
+    """(run_a, run_b, at, place, anchor, bytes) -> _PIECES of width windows at most. place: of the anchor in bytes; null if it is to be found by its hash, as there may be several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for run_a, run_b, at, place, anchor, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                n, begin = len(text) - LENGTH + 1, 0
+                found: dict[tuple, list] = {}
+                for p in _places(text, anchor) if place is None else [place]:  # each window goes with the leftmost in it
+                    end = min(n, p + 1)
+                    for j in range((p - end + 1) // width, (p - begin) // width + 1) if begin < end else ():
+                        lo, hi = max(begin, p - j * width - width + 1), min(end, p - j * width + 1)
+                        core = text[p - j * width : p - j * width - width + 1 + LENGTH]
+                        part = text[lo : hi + LENGTH - 1]
+                        key = (xxhash.xxh3_64_intdigest(core, seed=j) - (1 << 63), *_pair(part))
+                        if key not in found:
+                            found[key] = [[], 0, at + lo, p - lo, len(part), part]
+                        own = found[key]
+                        own[1] += 1
+                        if own[0] and own[0][-1]["hi"] >= at + lo:
+                            own[0][-1]["hi"] = at + hi
+                        else:
+                            own[0].append({"lo": at + lo, "hi": at + hi})
+                    begin = max(begin, end)
+                out += [(run_a, run_b, *own[:4], *key, *own[4:]) for key, own in found.items()]
+            yield common.batch_of(_PIECES_ARROW, [list(c) for c in zip(*out, strict=True)] if out else [[]] * len(_PIECES_ARROW))
+
+    return run
+
+
+def _smaller(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """rows: (run_a, run_b, at, place, anchor, bytes) of groups that are too large -> what pieces of width tell of them as _HITS, twice; rows of groups that are still too large."""
+    pieces = common.shared_table(rows.mapInArrow(_cut(width), _PIECES), "pieces")
+    piece = ["group", "set_a", "set_b"]
+    one = F.first(F.struct("run_a", "run_b", "at", "place", "bytes")).alias("one")
+    kinds = common.shared_table(pieces.groupBy(*piece, "size").agg(F.sum("times").alias("times"), one), "kinds")
+    whole = pieces.join(kinds.where("times > 1").select(*piece), piece, "left_semi").select("run_a", "run_b", "windows")
+    groups = kinds.groupBy("group").agg(F.count("*").alias("kinds"), F.sum("size").alias("sum")).where("kinds > 1").select("group", (F.col("sum") > GROUP_BYTES).alias("large"))
+    several = common.shared_table(kinds.select("group", "one.*").join(groups, "group"), "several")
+    return whole, _transformed(several.where("not large").select("group", "run_a", "run_b", "at", "bytes")), several.where("large").select("run_a", "run_b", "at", "place", F.lit(0).cast("bigint").alias("anchor"), "bytes")
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """(uid, doc_id, ranges) of texts with repeated windows: struct<lo, hi> from the first byte to after the last. uid is xxhash64 of the text."""
     common.prepare(docs.sparkSession)
     docs = docs.where(F.octet_length(text) >= LENGTH).select(F.xxhash64(text).alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    twice = bloom.seen_twice(docs.select("text").mapInArrow(_hashes, bloom.PACKED))
-    found = common.shared_table(docs.mapInArrow(_suspects(twice), _KEYS), "runs")
+    found = common.shared_table(bloom.suspects(docs, _values, _suspected, _KEYS), "runs")
     places = found.drop("bytes")
-    kinds = common.shared_table(places.groupBy("anchor", "set_a", "set_b").agg(F.count("*").alias("times"), F.bool_or("again").alias("again")), "kinds")
-    crowds = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.bool_or("again").alias("again"))
-
     key = ["anchor", "set_a", "set_b"]
-    texts = found.select(*key, "bytes").join(crowds.where("kinds > 1 or again").drop("again"), "anchor").groupBy(*key, "kinds").agg(F.first("bytes").alias("bytes"))
-    texts = common.shared_table(texts, "texts")
-    few = _transformed(texts.where(F.col("kinds") <= CROWD).select(F.col("anchor").alias("group"), "set_a", "set_b", "bytes")).select("set_a", "set_b", "lo", "hi")
-
-    pieces = common.shared_table(texts.where(F.col("kinds") > CROWD).select(*key, "bytes").mapInArrow(_pieces, "run_a bigint, run_b bigint, at bigint, group bigint, set_a bigint, set_b bigint, bytes binary"), "pieces")
-    piece = ["group", "set_a", "set_b"]
-    counted = pieces.groupBy(*piece).agg(F.count("*").alias("times"), F.first("bytes").alias("bytes"), F.max(F.octet_length("bytes")).alias("size"))
-    counted = common.shared_table(counted, "counted")
-    several = counted.groupBy("group").agg(F.count("*").alias("kinds")).where("kinds > 1").select("group")
-    apart = _transformed(counted.join(several, "group").select(*piece, "bytes"))
-    whole = counted.where("times > 1").select(*piece, F.lit(0).cast("bigint").alias("lo"), (F.col("size") - LENGTH + 1).cast("bigint").alias("hi"))
-    crowded = pieces.select("run_a", "run_b", "at", *piece).join(apart.union(whole), piece).select(F.col("run_a").alias("set_a"), F.col("run_b").alias("set_b"), (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
-
-    hits = few.union(crowded).groupBy("set_a", "set_b").agg(F.collect_set(F.struct("lo", "hi")).alias("windows"))
+    kinds = common.shared_table(places.groupBy(*key).agg(F.count("*").alias("times"), F.bool_or("again").alias("again"), (F.first("n") + LENGTH - 1).alias("size")), "kinds")
+    groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.bool_or("again").alias("again"), F.sum("size").alias("sum")).where("kinds > 1 or again")
+    wanted = groups.select("anchor", (F.col("sum") > GROUP_BYTES).alias("large"))
+    texts = found.select(*key, "bytes").join(wanted, "anchor").groupBy(*key, "large").agg(F.first("bytes").alias("bytes"))
+    texts = common.shared_table(texts.select("anchor", F.col("set_a").alias("run_a"), F.col("set_b").alias("run_b"), F.lit(0).cast("bigint").alias("at"), "large", "bytes"), "texts")
+
+    hits = _transformed(texts.where("not large").select(F.col("anchor").alias("group"), "run_a", "run_b", "at", "bytes"))
+    large = texts.where("large").select("run_a", "run_b", "at", F.lit(None).cast("bigint").alias("place"), "anchor", "bytes")
+    for width in WIDTHS:
+        if large.isEmpty():
+            break
+        whole, apart, large = _smaller(large, width)
+        hits = hits.union(whole).union(apart)
+
+    hits = hits.groupBy(F.col("run_a").alias("set_a"), F.col("run_b").alias("set_b")).agg(F.flatten(F.collect_list("windows")).alias("windows"))
     every = F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), F.col("n").alias("hi")))
     known = kinds.join(hits, ["set_a", "set_b"], "left").where("times > 1 or windows is not null").select(*key, "times", "windows")
     marked = places.join(known, key).withColumn("windows", F.when(F.col("times") > 1, every).otherwise(F.col("windows")))
@@ -226,9 +258,12 @@ def remove(docs: DataFrame, text: str = "text") -> DataFrame:
     a string go. A null text is empty. Rows that are repeated repeat their text, so such texts of LENGTH bytes or more
     go wholly. kept is binary: a cut may part a character.
     """
-    ranges = find(docs, text).select(F.col("uid").alias("__uid"), F.col("doc_id").alias("__doc"), "ranges")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.join(ranges, (F.xxhash64("text") == F.col("__uid")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left").select("doc_id", "text", "ranges")
+    ranges = common.shared_table(find(docs, text), "ranges").select(F.col("uid").alias("__uid"), F.col("doc_id").alias("__doc"), "ranges")
+    rows = docs.select(F.xxhash64(text).alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    hit = bloom.members(ranges.select("__uid"))  # texts without ranges need not move
+    rest = bloom.holding(rows, hit, inside=False).select("doc_id", "text", F.lit(None).cast(_RANGES).alias("ranges"))
+    moved = bloom.holding(rows, hit)
+    rows = moved.join(ranges, (F.col("uid") == F.col("__uid")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left").select("doc_id", "text", "ranges").union(rest)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,5 +292,6 @@ def remove(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return remove(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the text that is left, where U+FFFD stands for parted characters."""
+    kept = F.make_valid_utf8(F.col("kept").cast("string"))
+    return remove(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), kept.alias("text"))

@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small tables."""
 
+import datetime
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -93,3 +94,82 @@ def edited(docs):
         after, third = order[(k + 1) % len(order)][1], len(t) // 3
         out.append((d, len(t), t[: len(t) - third] + after[:third]))
     return out
+
+
+def _prf(key, *parts):
+    return int(hashlib.sha256("|".join([key, *map(str, parts), key]).encode()).hexdigest()[:15], 16)
+
+
+def permuted(a, size_a, b, size_b, key, tag):
+    for r in range(8):
+        if r % 2 == 0:
+            a = (a + _prf(key, tag, r, b) % size_a) % size_a
+        else:
+            b = (b + _prf(key, tag, r, a) % size_b) % size_b
+    return a, b
+
+
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits)))
+
+
+def refilled(form, digits):
+    digits = iter(digits)
+    return "".join(next(digits) if c.isdigit() else c for c in form)
+
+
+def pseudonym(kind, x, key):
+    """What a number or date becomes; None if it does not validate."""
+    d = "".join(c for c in x if c.isdigit())
+    if kind == "card":
+        if luhn(d) % 10:
+            return None
+        n, half = len(d) - 1, (len(d) - 1) // 2
+        a, b = permuted(int(d[:half]), 10**half, int(d[half:n]), 10 ** (n - half), key, "card")
+        body = f"{a:0{half}d}{b:0{n - half}d}"
+        return refilled(x, body + str(-luhn(body + "0") % 10))
+    if kind == "ssn":
+        area, group, serial = int(x[:3]), int(x[4:6]), int(x[7:])
+        if not (1 <= area <= 899 and area != 666 and group and serial):
+            return None
+        a, b = permuted(area - 1 - (area > 666), 898, (group - 1) * 9999 + serial - 1, 99 * 9999, key, "ssn")
+        return f"{a + 1 + (a >= 665):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+    if kind == "phone":
+        code, d = d[:-10], d[-10:]
+        area, exchange = int(d[:3]), int(d[3:6])
+        if not code and min(area, exchange) < 200:
+            return None
+        low = [0 if c < 200 else 200 for c in (area, exchange)]
+        size = [800 if c else 200 for c in low]
+        a, b = permuted(area - low[0], size[0], (exchange - low[1]) * 10000 + int(d[6:]), size[1] * 10000, key, "phone")
+        return refilled(x, f"{code}{a + low[0]:03d}{b // 10000 + low[1]:03d}{b % 10000:04d}")
+    if kind == "ip":
+        o = [int(p) for p in x.split(".")]
+        if max(o) > 255:
+            return None
+        a, b = permuted(o[0] * 256 + o[1], 65536, o[2] * 256 + o[3], 65536, key, "ip")
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    first = datetime.date(1800, 1, 1)
+    for form in ("%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y"):
+        try:
+            day = (datetime.datetime.strptime(x, form).date() - first).days
+        except ValueError:
+            continue
+        if not 0 <= day < 189 * 773:
+            return None
+        a, b = permuted(day // 773, 189, day % 773, 773, key, "date")
+        new = first + datetime.timedelta(a * 773 + b)
+        return {"%Y-%m-%d": f"{new.year:04d}-{new.month:02d}-{new.day:02d}"}.get(form, form.replace("%d", f"{new.day:02d}").replace("%m", f"{new.month:02d}").replace("%Y", f"{new.year:04d}"))
+    try:
+        date = datetime.datetime.strptime(x, "%m/%d/%Y")
+    except ValueError:
+        return None
+    if date.day < 13 or not 1800 <= date.year < 2200:
+        return None
+    a, b = (date.year - 1800) * 12 + date.month - 1, date.day - 13
+    while True:
+        a, b = permuted(a, 4800, b, 19, key, "month")
+        try:
+            return f"{datetime.date(1800 + a // 12, a % 12 + 1, b + 13):%m/%d}/{1800 + a // 12}"
+        except ValueError:
+            pass

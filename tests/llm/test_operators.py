@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from certloom.llm import bwt, chat, common, components, decontamination, fingerprints, language_id, line_dedup, mixing, near_dedup, pii, queries, repeats, toxicity
+from certloom.llm import bloom, bwt, chat, common, components, decontamination, fingerprints, language_id, line_dedup, mixing, near_dedup, pii, queries, repeats, toxicity
 
 from . import brute
 
@@ -144,15 +144,49 @@ def test_signatures_find_pairs_at_the_limit():
     assert missed == 0  # resemblance 5/7, a little under the limit
 
 
-@pytest.mark.parametrize("crowd", [2, 200])
-def test_repeats(docs, plain, none, monkeypatch, crowd):
-    monkeypatch.setattr(repeats, "CROWD", crowd)
+@pytest.mark.parametrize("most", [500, 3000, repeats.GROUP_BYTES])
+def test_repeats(docs, plain, none, monkeypatch, most):
+    monkeypatch.setattr(repeats, "GROUP_BYTES", most)  # pieces of a few windows, of some, none
     want = brute.repeats(plain)
-    assert rows(repeats.digest(docs)) == sorted(want, key=repr)
+    got = repeats.digest(docs)
+    assert rows(got.drop("text")) == sorted(want, key=repr)
+    assert all(brute.sha(r["text"]) == r["kept_sha256"] for r in got.collect() if "\ufffd" not in r["text"])
     assert sum(x[2] for x in want) > 3000
     assert repeats.digest(none).count() == 0
 
 
+def test_repeats_of_one_passage_in_very_many_texts(spark, monkeypatch):
+    """All between different words, with copies, at the ends of texts, and periodic text of the same anchors."""
+    rng = random.Random(12)
+    passage = words(rng, 110, 10**6)
+    data = [f"{words(rng, rng.randrange(3))} {passage[rng.randrange(3) :]} {words(rng, rng.randrange(30), 50)}" for _ in range(700)]
+    data += [passage, passage, passage[:400], passage[:399], passage * 3, "ab " * 5000, "x " + "ab " * 700, "ab " * 134, None, ""]
+    want = sorted(brute.repeats(list(enumerate(data))), key=repr)
+    table = spark.createDataFrame(list(enumerate(data)), "doc_id bigint, text string").repartition(3)
+    assert rows(repeats.digest(table).drop("text")) == want
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 2000)
+    assert rows(repeats.digest(table).drop("text")) == want
+
+
+@pytest.mark.parametrize("values", [50, 1 << 23])
+def test_filters_that_are_too_large_to_broadcast(docs, plain, monkeypatch, values):
+    monkeypatch.setattr(bloom, "MAX_BITS", 1)
+    monkeypatch.setattr(bloom, "SLICE_VALUES", values)
+    assert rows(repeats.digest(docs).drop("text")) == sorted(brute.repeats(plain), key=repr)
+    assert rows(line_dedup.digest(docs)) == sorted(((d, n, k, brute.sha(t)) for d, n, k, t in brute.kept_lines(plain)), key=repr)
+    assert rows(near_dedup.near_duplicates(docs)) == sorted(brute.near(plain), key=repr)
+
+
+def test_filters_suspect_all_that_repeats_and_little_else():
+    rng = np.random.default_rng(4)
+    once, twice = rng.integers(0, 2**63, 40_000).astype(np.uint64), rng.integers(0, 2**63, 5000).astype(np.uint64)
+    pair = [np.zeros(bloom._bits(50_000) // 8, np.uint8) for _ in range(2)]
+    crossed = np.concatenate([bloom.add(*pair, h) for h in np.array_split(rng.permutation(np.concatenate([once, twice, twice])), 7)])
+    assert set(twice.tolist()) <= set(crossed.tolist()) and len(crossed) < 5000 + 0.02 * 40_000
+    suspected = bloom.test(pair[1], bloom.probes(np.concatenate([twice, once]), len(pair[1]) * 8))
+    assert suspected[:5000].all() and suspected[5000:].mean() < 0.02
+
+
 def test_transform_against_counting():
     rng = random.Random(1)
     for _ in range(150):
@@ -186,6 +220,20 @@ def test_fingerprints(docs, plain, none):
     for d, t in plain:
         assert by_text.setdefault(t or "", got[d]["fingerprint"]) == got[d]["fingerprint"]
     assert fingerprints.compare_edited(none).count() == 0
+    odd = docs.unionAll(docs.where("doc_id < 100")).withColumns({"range": F.lit(1), "_to": F.lit(2), "is_copy": F.lit(3)}).unionByName(docs.limit(1).withColumns({"doc_id": F.lit(None).cast("bigint"), "range": F.lit(1), "_to": F.lit(2), "is_copy": F.lit(3)}))
+    pairs = [(r[0], r[1]) for r in odd.select("doc_id", "text").collect()]
+    assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprints.compare_edited(odd).collect()) == sorted((d, n, brute.sha(t)) for d, n, t in brute.edited(pairs))
+
+
+def test_ranges_of_doc_id(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)  # 58 ranges
+    data = [(k * 37 % 401 - 200, f"text {k} " * (k % 9)) for k in range(401)]
+    table = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    assert table.rdd.getNumPartitions() == 3 and fingerprints.with_next(table).select("range").distinct().count() > 30
+    assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprints.compare_edited(table).collect()) == sorted((d, n, brute.sha(t)) for d, n, t in brute.edited(data))
+    bounds = sorted(random.Random(3).sample(range(-500, 500), 90), reverse=True)
+    got = spark.range(-510, 510).select(F.col("id").alias("doc_id")).select("doc_id", fingerprints._range_of(bounds).alias("r")).collect()
+    assert all(r["r"] == sum(b > r["doc_id"] for b in bounds) for r in got)
 
 
 def test_sketches_merge_and_estimate():
@@ -214,6 +262,10 @@ def test_chat_round_trip(spark):
         loss = "".join(t for r, t in turns if r == "assistant")
         assert tuple(got[conv])[1:5] == (len(turns), brute.sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), brute.sha(loss))
     assert [got[c]["valid"] for c in (1, 2, 3, 4)] == [True, False, False, False]
+    schema = "conv_id bigint, turn bigint, role string, text string, formatted string, turns int"
+    assert chat.digest(chat.format_conversations(spark.createDataFrame([], schema))).count() == 0
+    odd = chat.digest(chat.format_conversations(spark.createDataFrame([(None, 0, "user", "q", "mine", 1), (None, 1, "assistant", "a", None, 2), (9, None, None, None, None, None)], schema)))
+    assert {r["conv_id"]: (r["n_turns"], r["loss_chars"], r["valid"]) for r in odd.collect()} == {None: (2, 1, True), 9: (1, 0, False)}
     assert chat.check_order(["system", "user", "assistant", "user", "assistant"]) == (True, -1)
     assert chat.check_order(["user", "user"]) == (False, 1)
 
@@ -254,12 +306,34 @@ def test_toxicity(spark, none):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {d for d, r in out.items() if not r["toxic"]}
     assert toxicity.digest(none, labels).count() == 0
     assert toxicity.digest(docs, labels.where("toxic = 0")).where("toxic").count() == 0
+    twice = toxicity.grade(docs.unionAll(docs).withColumns({"__grade": F.lit("mine"), "severity": F.lit("mine")}), toxicity.fit(docs, labels))[0]
+    assert twice.count() == 2 * len(table) and {r[0] for r in twice.select("__grade").collect()} == {"mine"}
     many = pa.array([" ".join(bad[:k]) for k in range(5)])
     model = toxicity.fit(docs, labels)
     severity = model.severity(many)[0]
     assert (np.diff(severity) > 0).all() and (np.diff(model.thresholds) > 0).all()
 
 
+def test_severity_against_a_plain_sum(spark):
+    """Expected severity by its definition, word for word, and the fit's marks of features by counting."""
+    rng = random.Random(11)
+    texts = [words(rng, 30) + (" vile scum" if i % 4 == 0 else "") for i in range(200)] + ["word " * 300_000 + "vile"]
+    toxic = [int(i % 4 == 0) for i in range(201)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(list(enumerate(toxic)), "doc_id bigint, toxic int"))
+    own = toxicity.sparse(pa.array(texts))
+    assert [len(x) for x in own[:3]] == [len({w for w in t.split()} | {(n, w.encode()[:n]) for w in t.split() for n in toxicity.BEGINNINGS if len(w.encode()) > n}) for t in texts[:3]]
+    marked = set(np.flatnonzero(model.weights).tolist())
+    vile = toxicity.sparse(pa.array(["vile scum"]))[0].tolist()
+    assert marked & set(vile) and all(model.weights[f] > 0 for f in marked)
+    severity, above = model.severity(pa.array(texts))
+    for k, features in enumerate(own):
+        score = sum(float(model.weights[f]) for f in features.tolist())
+        at_least = [1 / (1 + np.exp(-(score - t))) for t in model.thresholds.tolist()]
+        assert abs(severity[k] - sum(at_least)) < 1e-4 and abs(above[k] - at_least[0]) < 1e-4
+    assert all(above[k] > 0.5 for k in range(200) if toxic[k]) and not any(above[k] > 0.5 for k in range(200) if not toxic[k]) and above[200] > 0.5
+
+
 def test_raking_meets_its_marginals():
     rng = np.random.default_rng(2)
     cells = {(f"s{a}", f"l{b}", f"t{c}"): float(rng.integers(1, 1000)) for a in range(5) for b in range(3) for c in range(2)} | {("s9", "l0", "t0"): 0.0}
@@ -272,6 +346,63 @@ def test_raking_meets_its_marginals():
     assert mixing.rake({}, [1.0, 1.0, 1.0]) == {}
 
 
+def plain_rake(cells, targets, rounds=500):
+    """Proportional fitting with dictionaries; targets: shares of each dimension's values."""
+    fitted, total = dict(cells), sum(cells.values())
+    for _ in range(rounds):
+        for d, share in enumerate(targets):
+            for v in share:
+                now = sum(n for k, n in fitted.items() if k[d] == v)
+                for k in fitted:
+                    if k[d] == v and now:
+                        fitted[k] *= share[v] * total / now
+    return {k: fitted[k] / n if n else 1.0 for k, n in cells.items()}
+
+
+def powered(cells, d, power):
+    total, out = sum(cells.values()), {}
+    for k, n in cells.items():
+        out[k[d]] = out.get(k[d], 0) + n / total
+    out = {v: x**power for v, x in out.items() if x}
+    return {v: x / sum(out.values()) for v, x in out.items()}
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_mixing_against_a_plain_version(spark, docs, most):
+    """most: cells on the driver; more are raked as a table."""
+    taken = docs.withColumns({"d0": F.lit(1), "_u": F.lit(2), "__weight": F.lit(3), "weight": F.lit("mine"), "N_TOKENS": F.lit("mine")})
+    taken = taken.unionAll(taken.where("doc_id < 30")).unionAll(taken.limit(1).withColumn("doc_id", F.lit(None).cast("bigint")))
+    out = mixing.mix(taken, F.col("source"), F.col("lang"), mixing.topic(), mixing.TARGETS, max_cells=most)
+    got = out.withColumn("u", F.pmod(F.xxhash64(F.lit(0), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)).collect()
+    assert len(got) == taken.count() and all((r["d0"], r["_u"], r["__weight"]) == (1, 2, 3) for r in got)
+
+    def cell(r):
+        t = r["text"]
+        lines = (t or "").count("\n") + 1
+        topic = "none" if not t else "table" if " | " in t else "lines" if len(t) < 400 * lines else "prose"
+        return r["source"], r["lang"] or "\x00null", topic
+
+    cells = {}
+    for r in got:
+        cells[cell(r)] = cells.get(cell(r), 0) + len(brute.SPACES.findall(r["text"] or ""))
+    want = plain_rake(cells, [powered(cells, d, p) for d, p in enumerate(mixing.TARGETS)])
+    for r in got:
+        w = want[cell(r)]
+        assert abs(r["weight"] - w) < 1e-6 * w
+        assert r["n_copies"] == int(r["weight"]) + (r["u"] < r["weight"] - int(r["weight"])) and r["n_tokens"] == len(brute.SPACES.findall(r["text"] or ""))
+    assert mixing.mix(taken.limit(0), F.col("source"), F.col("lang"), mixing.topic(), mixing.TARGETS, max_cells=most).count() == 0
+
+
+def test_raking_a_table_to_named_shares(spark):
+    rng = np.random.default_rng(9)
+    cells = {(f"s{a}", f"l{b}", "t"): float(rng.integers(1, 1000)) for a in range(4) for b in range(3)} | {("s9", "l0", "t"): 0.0}
+    targets = [{"s0": 0.5, "s1": 0.1, "unknown": 0.2}, 0.5, 1.0]
+    table = spark.createDataFrame([(*k, int(n)) for k, n in cells.items()], "d0 string, d1 string, d2 string, n bigint")
+    got = {tuple(r)[:3]: r["weight"] for r in mixing.rake_table(table, targets).collect()}
+    want = mixing.rake(cells, targets)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 * want[k] for k in want)
+
+
 def test_mixing(spark, docs, none):
     out = mixing.mix_documents(docs.withColumn("weight", F.lit("mine")))
     got = out.collect()
@@ -315,12 +446,43 @@ def test_pii(spark, none):
     assert [out[1][f"n_{k}"] for k in pii.KINDS] == [len(values[k]) for k in pii.KINDS]
     assert pii.digest(docs, "other").where("doc_id = 1").first()["text"] != out[1]["text"]
     assert pii.digest(none, "k").count() == 0
+    clash = pii.pseudonymise(docs.unionAll(docs).withColumn("__found", F.lit("mine")), "k")
+    assert clash.columns == ["doc_id", "text", "__found", "found"] and clash.where("__found = 'mine'").count() == 2 * len(table)
     days = spark.range(2000).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     assert pii.digest(days, "k").select("text").distinct().count() == 2000
     numbers = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("123-45-"), F.lpad((F.col("id") + 1).cast("string"), 4, "0")).alias("text"))
     assert pii.digest(numbers, "k").select("text").distinct().count() == 3000
 
 
+def test_pii_against_a_plain_version(spark):
+    rng = random.Random(13)
+    two = lambda: f"{rng.randrange(100):02d}"
+    make = {
+        "card": lambda: rng.choice(["", " ", "-"]).join(f"{rng.randrange(10**4):04d}" for _ in range(4)),
+        "ssn": lambda: f"{rng.randrange(1000):03d}-{two()}-{rng.randrange(10**4):04d}",
+        "phone": lambda: f"{rng.choice(['+1 ', '+1-', ''])}({rng.randrange(1000):03d}) {rng.randrange(1000):03d}-{rng.randrange(10**4):04d}",
+        "ip": lambda: ".".join(str(rng.randrange(300)) for _ in range(4)),
+        "date": lambda: rng.choice([f"{rng.randrange(1700, 2300)}-{two()}-{two()}", f"{rng.randrange(1, 32):02d}/{rng.randrange(1, 32):02d}/{rng.randrange(1800, 2200)}", f"{rng.randrange(1, 32):02d}.{rng.randrange(1, 13):02d}.1987", f"02/29/{rng.randrange(1896, 1912)}"]),
+    }
+    values = [(kind, make[kind]()) for kind in make for _ in range(250)]
+    docs = spark.createDataFrame([(i, f"x {v} y") for i, (_, v) in enumerate(values)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.digest(docs, "k").collect()}
+    changed = dict.fromkeys(make, 0)
+    for i, (kind, v) in enumerate(values):
+        want = brute.pseudonym(kind, v, "k")
+        assert (got[i]["text"], got[i]["n_found"]) == (f"x {want or v} y", int(want is not None)), (kind, v)
+        changed[kind] += want is not None
+    assert min(changed.values()) > 15
+
+
+def test_dates_that_begin_with_the_month_stay_apart(spark):
+    days = spark.range(146_097).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("d")).where("day(d) > 12 and year(d) % 7 = 0")
+    dates = days.select(F.date_format("d", "MM/dd/yyyy").alias("old")).withColumn("new", pii.pseudonym(F.col("old"), F.lit("k"))["new"]).persist()
+    n = dates.count()
+    assert dates.where("new is not null and new <> old").count() > 0.99 * n and dates.select("new").distinct().count() == n
+    assert dates.where("to_date(new, 'MM/dd/yyyy') is null or int(substr(new, 4, 2)) < 13").count() == 0
+
+
 def test_pii_stays_in_the_jvm(docs):
     plan = pii.digest(docs, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
