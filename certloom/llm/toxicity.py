@@ -62,41 +62,41 @@ class Model:
         return above.sum(axis=1), above[:, 0]
 
 
-def fit_rows(texts: list[str], toxic: np.ndarray, rounds: int = 600, ridge: float = 1e-5) -> Model:
-    """Fit on labelled texts. With one class only, or no rows, every text has severity 0 (or is as unlikely toxic)."""
-    weights, none = np.zeros(SPACE, np.float32), np.array([20.0] * (GRADES - 1))
-    if not len(texts) or toxic.min() == toxic.max():
-        return Model(weights, none)
-    pairs, at = [], 0  # of each chunk, the distinct ones, as document * SPACE + feature: below 2^31 for up to 8191 rows
-    in1, in0 = np.zeros(SPACE), np.zeros(SPACE)
-    n1, n0 = toxic.sum(), (1 - toxic).sum()
-    data, offsets = common.raw(pa.array(texts, pa.string()))
+def sparse(column: pa.Array) -> list[np.ndarray]:
+    """The distinct features of each text, in order."""
+    data, offsets = common.raw(column)
+    out: list[np.ndarray] = []
     for lo, hi in common.chunks(offsets):
-        doc, feature = features(data, offsets[lo : hi + 1])
-        pair = np.unique((doc + at) * SPACE + feature)
-        pairs.append(pair.astype(np.int32 if len(texts) < 8192 else np.int64))
-        bad = toxic[pair // SPACE] == 1
-        in1 += np.bincount(pair[bad] % SPACE, minlength=SPACE)
-        in0 += np.bincount(pair[~bad] % SPACE, minlength=SPACE)
-        at = hi
-    rate, all_ = (in1 + in0) / (n1 + n0), n1 / (n1 + n0)
+        doc, found = features(data, offsets[lo : hi + 1])
+        pair = np.unique(doc * SPACE + found)
+        edge = np.searchsorted(pair, np.arange(hi - lo + 1) * SPACE)
+        out += [(pair[x:y] % SPACE).astype(np.int32) for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+    return out
+
+
+def telling(in1: np.ndarray, in0: np.ndarray, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, log odds) of the features that speak for toxic texts, at most MAX_FEATURES, by how many toxic and other texts have each of SPACE."""
+    rate, share = (in1 + in0) / (n1 + n0), n1 / (n1 + n0)
     with np.errstate(divide="ignore", invalid="ignore"):  # how much likelier the counts are if the two kinds differ
         gain = 2 * sum(np.where(x > 0, x * np.log(x / e), 0) for x, e in ((in1, rate * n1), (in0, rate * n0), (n1 - in1, (1 - rate) * n1), (n0 - in0, (1 - rate) * n0)))
-    gain[(in1 * (1 - all_) <= in0 * all_) | (in1 < 3) | (gain < LEAST_GAIN)] = 0  # only what speaks for toxic
+    gain[(in1 * (1 - share) <= in0 * share) | (in1 < 3) | (gain < LEAST_GAIN)] = 0
     odds = np.log((in1 + 0.5) / (n1 - in1 + 0.5)) - np.log((in0 + 0.5) / (n0 - in0 + 0.5))
     keep = np.argsort(-gain, kind="stable")[:MAX_FEATURES]
     keep = np.sort(keep[gain[keep] > 0])
+    return keep, odds[keep]
+
+
+def _no_model() -> Model:
+    return Model(np.zeros(SPACE, np.float32), np.array([20.0] * (GRADES - 1)))
+
+
+def ascend(doc: np.ndarray, col: np.ndarray, toxic: np.ndarray, keep: np.ndarray, odds: np.ndarray, rounds: int = 600, ridge: float = 1e-5) -> Model:
+    """Fit the cumulative links by ascent of the penalised log-likelihood in adaptive steps. (doc, col): which texts have which of the kept features."""
     if not len(keep):
-        return Model(weights, none)
-    number = np.full(SPACE, -1)
-    number[keep] = np.arange(len(keep))
-    pairs = [p[number[p % SPACE] >= 0] for p in pairs]
-    pair = np.concatenate(pairs).astype(np.int64)
-    doc, col = pair // SPACE, number[pair % SPACE]
-    telling = np.bincount(doc, (odds[keep] > 1.5)[col], len(toxic))
-    cuts = np.quantile(telling[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
-    grade = np.where(toxic == 1, 1 + (telling[:, None] > cuts[None, :]).sum(axis=1), 0)
-    # ascent of the penalised log-likelihood by adaptive steps
+        return _no_model()
+    n_telling = np.bincount(doc, (odds > 1.5)[col], len(toxic))
+    cuts = np.quantile(n_telling[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
+    grade = np.where(toxic == 1, 1 + (n_telling[:, None] > cuts[None, :]).sum(axis=1), 0)
     share = np.full(len(toxic), 1 / len(toxic))
     w, sw = np.zeros(len(keep)), np.full(len(keep), 1e-8)
     steps = np.array([0.0, 0.5, 0.5][: GRADES - 1])  # first threshold, then increments
@@ -119,48 +119,79 @@ def fit_rows(texts: list[str], toxic: np.ndarray, rounds: int = 600, ridge: floa
         w += 0.5 * g_w / np.sqrt(sw)
         steps += 0.5 * g_steps / np.sqrt(ss)
     w[np.abs(w) < 1e-4] = 0
-    weights[keep] = w
-    return Model(weights, np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])])))
+    out = _no_model()
+    out.weights[keep] = w
+    return Model(out.weights, np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])])))
 
 
-def distinct_texts(texts: list[str]) -> list[int]:
-    """Indices of texts of which less than half of a small sketch is known from earlier ones: copies would count as evidence."""
+def distinct_texts(sketches: list[list[int]]) -> list[int]:
+    """Indices of texts of which less than half of the sketch is known from earlier ones: copies would count as evidence."""
     known: set[int] = set()
     out = []
-    for i, sketch in enumerate(fingerprints.sketches(pa.array(texts, pa.string()), 8)):
-        own = sketch.tolist()
+    for i, own in enumerate(sketches):
         if 2 * sum(h in known for h in own) < len(own):
             out.append(i)
             known.update(own)
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Model:
-    """Fit on a sample of at most `most` labelled rows, drawn by a hash of doc_id; half toxic if there are as many.
+_ROWS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("sketch", pa.list_(pa.int64())), ("features", pa.list_(pa.int32()))])
 
-    Labels without doc_id or toxic, and those of documents that are not there or have no text, are ignored.
-    """
-    labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, toxic) -> _ROWS."""
+    for batch in batches:
+        texts = batch.column(1)
+        yield common.batch_of(_ROWS, [batch.column(0), batch.column(2), [s.astype(np.int64) for s in fingerprints.sketches(texts, 8)], sparse(texts)])
+
+
+def chosen_labels(labels: DataFrame, most: int) -> DataFrame | None:
+    """(doc_id, toxic) of at most `most` labelled rows, drawn by a hash of doc_id; half toxic if there are as many. None if there are none."""
+    labels = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     have = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
     draw = F.xxhash64("doc_id")
     parts = []
     for k, n in have.items():
         cut = common.cut_of(min(1.0, most / 2 / n))
         parts.append(labels.where((F.col("toxic") == k) & (draw <= cut)).orderBy(draw).limit(most // 2))
-    if not parts:
-        return fit_rows([], np.zeros(0))
-    chosen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r[0])
-    rows = [rows[i] for i in distinct_texts([r[1] for r in rows])]
-    return fit_rows([r[1] for r in rows], np.array([r[2] for r in rows], float))
+    return None if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Model:
+    """Fit on a sample of at most `most` labelled rows, drawn by a hash of doc_id; half toxic if there are as many.
+
+    Tasks turn the texts of the sample to features; the driver gets sketches of the sample, counts of features and
+    which rows have which of the kept ones. Labels without doc_id or toxic, and those of documents that are not there or
+    have no text, are ignored. With labels of one kind only, or none, every text has severity 0.
+    """
+    common.prepare(docs.sparkSession)
+    chosen = chosen_labels(labels, most)
+    if chosen is None:
+        return _no_model()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"])
+    rows = common.shared_table(rows.mapInArrow(_described, "doc_id bigint, toxic int, sketch array<bigint>, features array<int>"), "labelled")
+    sample = sorted((r[0], r[1], r[2]) for r in rows.select("doc_id", "toxic", "sketch").collect())
+    sample = [sample[i] for i in distinct_texts([r[2] for r in sample])]
+    number, toxic = {r[0]: i for i, r in enumerate(sample)}, np.array([r[1] for r in sample], float)
+    model = _no_model()
+    if len(sample) and toxic.min() != toxic.max():
+        own = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(r[0],) for r in sample], "doc_id bigint")), "doc_id", "left_semi").select("doc_id", "toxic", F.explode("features").alias("feature"))
+        counts = own.groupBy("toxic", "feature").count().toArrow()  # 2 SPACE rows at most
+        kind, feature, times = (counts.column(i).to_numpy() for i in range(3))
+        in1, in0 = (np.bincount(feature[kind == k], times[kind == k], SPACE) for k in (1, 0))
+        keep, odds = telling(in1, in0, int(toxic.sum()), int((1 - toxic).sum()))
+        pairs = own.where(F.col("feature").isin(*keep.tolist())).select("doc_id", "feature").toArrow() if len(keep) else counts.slice(0, 0)  # `most` times MAX_FEATURES rows at most
+        doc = np.array([number[d] for d in pairs.column(0).to_pylist()], np.int64)
+        model = ascend(doc, np.searchsorted(keep, pairs.column(1).to_numpy()), toxic, keep, odds)
+    common.forget(rows)
+    return model
 
 
 def grade(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, list[str]]:
     """docs with three more columns, whose names are returned: expected severity (0 to 3), grade, P(toxic).
 
-    The grade is the rounded severity. Null and empty texts have the severity of a text without features. All rows and
-    columns stay.
+    The grade is the rounded severity. Null and empty texts have the severity of a text without features; of long ones
+    every word counts. All rows, repeated ones too, and columns stay.
     """
     common.prepare(docs.sparkSession)
     names = common.fresh(docs, "severity", "grade", "p_toxic")
