@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 ROUNDS = 8
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 #: Fixed patterns, in the order in which they are tried. None begins or ends within a longer run of digits.
@@ -113,13 +115,36 @@ def _ip(x: Column, key: Column) -> Column:
 
 
 def _date(x: Column, key: Column) -> Column:
+    """yyyy-MM-dd, dd.MM.yyyy or dd/MM/yyyy; what with slashes only MM/dd/yyyy can be (a day over 12) is a format of its own."""
     iso = F.when(x.rlike("^[0-9]{4}"), x).otherwise(F.concat_ws("-", F.substr(x, F.lit(7), F.lit(4)), F.substr(x, F.lit(4), F.lit(2)), F.substr(x, F.lit(1), F.lit(2))))
     day = F.datediff(F.to_date(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd"))), F.lit(FIRST_DAY).cast("date")).cast("bigint")
     s = permute(F.floor(day / DATE_B), F.lit(DATE_A), day % DATE_B, F.lit(DATE_B), key, "date")
     new = F.transform(F.array(s), lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * DATE_B + s["b"]).cast("int")))
     sep = F.substr(x, F.lit(3), F.lit(1))
     out = F.transform(new, lambda d: F.when(x.rlike("^[0-9]{4}"), F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(d, "dd"), sep, F.date_format(d, "MM"), sep, F.date_format(d, "yyyy"))))
-    return F.when(day.between(0, DATE_A * DATE_B - 1), F.element_at(out, 1))
+    return F.when(day.between(0, DATE_A * DATE_B - 1), F.element_at(out, 1)).when(x.rlike("^(0[1-9]|1[0-2])/(1[3-9]|2[0-9]|3[01])/(1[89]|2[01])[0-9]{2}$"), _month_first(x, key))
+
+
+MONTHS, DAYS, STEPS = 4800, 19, 24
+
+
+def _month_first(x: Column, key: Column) -> Column:
+    """MM/dd/yyyy with a day of 13 to 31 among all such dates of 400 years: pairs of month and day are permuted until they are a date (97 of 100 are; after STEPS all but 1 of 10^36). Null if x is no date."""
+
+    def dated(a: Column, b: Column) -> Column:
+        first = F.make_date(F.lit(1800) + F.floor(a / 12).cast("int"), (a % 12 + 1).cast("int"), F.lit(1))
+        return F.dayofmonth(F.last_day(first)) >= b + 13
+
+    def step(s: Column, _: Column) -> Column:
+        moved = permute(s["a"], F.lit(MONTHS), s["b"], F.lit(DAYS), key, "month")
+        fresh = F.element_at(F.transform(F.array(moved), lambda m: F.struct(m["a"].alias("a"), m["b"].alias("b"), dated(m["a"], m["b"]).alias("done"))), 1)
+        return F.when(s["done"], s).otherwise(fresh)
+
+    a = (F.substr(x, F.lit(7), F.lit(4)).cast("bigint") - 1800) * 12 + F.substr(x, F.lit(1), F.lit(2)).cast("bigint") - 1
+    b = F.substr(x, F.lit(4), F.lit(2)).cast("bigint") - 13
+    s = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(a.alias("a"), b.alias("b"), F.lit(False).alias("done")), step)
+    out = F.transform(F.array(s), lambda s: F.when(s["done"], F.concat_ws("/", _pad(s["a"] % 12 + 1, 2), _pad(s["b"] + 13, 2), _pad(F.floor(s["a"] / 12) + 1800, 4))))
+    return F.when(dated(a, b), F.element_at(out, 1))
 
 
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -173,19 +198,20 @@ def pseudonym(x: Column, key: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", names: tuple[str, str] = ("text", "found")) -> DataFrame:
     """docs, with every validated value in text replaced (column names[0]) and the kinds found, in order (names[1]).
 
-    A null text stays null and has none. Values that do not validate stay. Texts of any length are taken whole; other
-    columns stay, unless they have a name in names.
+    A null text stays null and has none. Values that do not validate stay. Texts of any length are taken whole; other columns
+    stay, unless they have a name in names.
     """
     secret = F.lit(key)
     t = F.col(text)
     hit = t.rlike("[0-9@]")
     matches = F.when(hit, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = docs.withColumn("__found", F.transform(matches, lambda m: F.struct(m.alias("old"), pseudonym(m, secret).alias("got"))))
+    (found,) = common.fresh(docs, "found")
+    out = docs.withColumn(found, F.transform(matches, lambda m: F.struct(m.alias("old"), pseudonym(m, secret).alias("got"))))
     pieces = F.split(t, ANY, -1)
-    parts = F.zip_with(pieces, F.col("__found"), lambda p, f: F.concat(p, F.coalesce(f["got"]["new"], f["old"], F.lit(""))))
-    new = F.when(F.size("__found") > 0, F.array_join(parts, "")).otherwise(t)
-    kinds = F.coalesce(F.filter(F.transform("__found", lambda f: f["got"]["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
-    return out.withColumns({names[0]: new, names[1]: kinds}).drop("__found")
+    parts = F.zip_with(pieces, F.col(found), lambda p, f: F.concat(p, F.coalesce(f["got"]["new"], f["old"], F.lit(""))))
+    new = F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(t)
+    kinds = F.coalesce(F.filter(F.transform(found, lambda f: f["got"]["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
+    return out.withColumns({names[0]: new, names[1]: kinds}).drop(found)
 
 
 def _count(kind: str) -> Column:
