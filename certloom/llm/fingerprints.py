@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -93,8 +94,20 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", text).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint string, n_shingles double")
 
 
-#: Ranges of doc_id into which with_next() deals the documents, at most.
-MAX_RANGES = 1024
+#: Documents of a range of doc_id into which with_next() deals them, about; fewer if there would be few ranges.
+RANGE_ROWS = 1_000_000
+#: Ranges for each shuffle partition, and so in all, at least.
+RANGES_EACH, RANGES = 4, 1024
+
+
+def _range_of(bounds: list[int]) -> Column:
+    """How many of the bounds, which descend, are above doc_id: first by every m-th of them, then within m."""
+    if not bounds:
+        return F.lit(0)
+    m = math.isqrt(len(bounds)) + 1
+    every = F.array(*map(F.lit, bounds))
+    coarse = F.size(F.filter(F.array(*map(F.lit, bounds[m - 1 :: m])).cast("array<bigint>"), lambda b: b > F.col("doc_id"))) * m
+    return F.element_at(F.transform(F.array(coarse), lambda k: k + F.size(F.filter(F.slice(every, k + 1, m), lambda b: b > F.col("doc_id")))), 1)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -104,23 +117,25 @@ def with_next(docs: DataFrame) -> DataFrame:
     it (that of the first range to the last), so no order over all documents is needed in one task.
     """
     spark = docs.sparkSession
-    n = min(MAX_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+    n = max(min(RANGES, RANGES_EACH * parts), -(-docs.count() // RANGE_ROWS))
     bounds = sorted({int(x) for x in docs.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n))}, reverse=True)
-    parted = docs.withColumn("range", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b > F.col("doc_id"))) if bounds else F.lit(0))
+    parted = docs.withColumn("range", _range_of(bounds))
     heads = sorted((r[0], r[1]) for r in parted.groupBy("range").agg(F.max("doc_id")).collect())  # a row for each range
     before = [(first, heads[i - 1][0]) for i, (_, first) in enumerate(heads)]
     copies = F.broadcast(spark.createDataFrame(before, "_head bigint, _to int"))  # as many rows as ranges
     extra = parted.join(copies, F.col("doc_id") == F.col("_head"))
     rows = parted.select("range", F.lit(False).alias("is_copy"), "doc_id", "text").unionByName(extra.select(F.col("_to").alias("range"), F.lit(True).alias("is_copy"), "doc_id", "text"))
-    return rows.repartition(n, "range").sortWithinPartitions("range", "is_copy", F.desc("doc_id"), "text")
+    return rows.repartition(min(n, RANGES_EACH * max(parts, RANGES)), "range").sortWithinPartitions("range", "is_copy", F.desc("doc_id"), "text")
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of the text whose last third is replaced by the beginning of the next document's.
 
     Rows without doc_id have no place in the order and are left out; rows that share one follow each other by text. A
-    null text is empty. Of a single document the next is itself.
+    null text is empty, a long one taken whole. Of a single document the next is itself; an empty table gives no rows.
+    Other columns are not read.
     """
     common.prepare(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
