@@ -159,6 +159,11 @@ def undo_digits(x: Column) -> Column:
     return F.translate(x, "013457", "oleast")
 
 
+def edit_distance(a: Column, b: Column, most: int | None = None) -> Column:
+    """Insertions, deletions and changes from a to b; with most, -1 beyond it, which is found out early."""
+    return F.levenshtein(a, b) if most is None else F.levenshtein(a, b, most)
+
+
 def osa_distance(a: Column, b: Column) -> Column:
     """Optimal string alignment distance: insertions, deletions, changes, and swaps of neighbours that are not edited again."""
     n, m = F.length(a), F.length(b)

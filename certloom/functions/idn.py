@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,20 +13,41 @@ from ..ship import ship
 from . import domains as D
 
 
+#: Letters that IDNA keeps though case folding or compatibility would change or drop them.
+KEPT = "ß\u03c2\u200c\u200d"
+
+
+def mapped(name: str) -> str:
+    """Case and compatibility forms as UTS 46 maps them for lookup: what is ignorable goes, full stops of all scripts are dots."""
+    out = []
+    for c in name.replace("\u1e9e", "ß"):
+        if c in KEPT:
+            out.append(c)
+        elif unicodedata.category(c) != "Cf" and not 0xFE00 <= ord(c) <= 0xFE0F and c != "\u034f":
+            out.append(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", c).casefold()))
+    return unicodedata.normalize("NFC", "".join(out)).replace("\u3002", ".")
+
+
+def _allowed(label: str) -> bool:
+    """No leading mark, and no code points that a label cannot have: unassigned, control, private, blank."""
+    return bool(label) and unicodedata.category(label[0])[0] != "M" and not any(unicodedata.category(c)[0] in "CZ" and c not in KEPT for c in label)
+
+
 def to_ascii(name: str) -> str | None:
     """The ASCII form of a name, None if a label cannot have one."""
     out = []
-    for label in unicodedata.normalize("NFC", name).lower().replace("。", ".").split("."):
+    for label in mapped(name).split("."):
         try:
             if label.isascii():
                 if label.startswith("xn--"):
                     decoded = label[4:].encode().decode("punycode")
-                    if decoded.isascii() or unicodedata.normalize("NFKC", decoded.lower()) != decoded or "xn--" + decoded.encode("punycode").decode() != label:
+                    if decoded.isascii() or mapped(decoded) != decoded or not _allowed(decoded) or "xn--" + decoded.encode("punycode").decode() != label:
                         return None
                 out.append(label)
+            elif _allowed(label):
+                out.append("xn--" + label.encode("punycode").decode())
             else:
-                folded = unicodedata.normalize("NFKC", label.casefold())
-                out.append(folded if folded.isascii() else "xn--" + folded.encode("punycode").decode())
+                return None
         except UnicodeError:
             return None
     return ".".join(out)
@@ -40,10 +61,27 @@ def to_unicode(domain: str) -> str:
         return domain.lower()
 
 
-def skeleton_of(name: str) -> str:
-    """Look-alike skeleton of a Unicode name: compatibility forms without accents, look-alike letters as ASCII, then as for ASCII names."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c))
-    return "".join(D.LOOKALIKES.get(c, c) for c in plain).lower().replace("1", "l").replace("0", "o").replace("m", "rn")
+_confusables: dict[str, dict[str, str]] = {}
+
+
+def confusables(spark: SparkSession) -> dict[str, str]:
+    """What each non-ASCII character that is like others becomes in a UTS 39 skeleton: asked of ICU, which Spark brings, in one call."""
+    app = spark.sparkContext.applicationId
+    if app not in _confusables:
+        chars = [chr(i) for i in range(0x80, 0x30000) if unicodedata.category(chr(i))[0] in "LNSP" and unicodedata.normalize("NFD", chr(i)) == chr(i)]
+        shapes = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(chars)).split("\n")
+        _confusables[app] = {c: x for c, x in zip(chars, shapes, strict=True) if c != x}
+    return _confusables[app]
+
+
+#: What lower-case ASCII characters become in a skeleton.
+ASCII_SHAPES = {"0": "O", "1": "l", "m": "rn"}
+
+
+def skeleton_of(name: str, table: dict[str, str]) -> str:
+    """The UTS 39 skeleton of a Unicode name, in lower case. table: of confusables()."""
+    shapes = "".join(table.get(c) or ASCII_SHAPES.get(c, c) for c in unicodedata.normalize("NFD", name))
+    return unicodedata.normalize("NFD", shapes).lower()
 
 
 @F.pandas_udf(T.StringType())
@@ -56,9 +94,12 @@ def _unicode(names: pd.Series) -> pd.Series:
     return names.map(to_unicode, na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def _skeleton(names: pd.Series) -> pd.Series:
-    return names.map(skeleton_of, na_action="ignore")
+def _skeletons(table: dict[str, str]):
+    @F.pandas_udf(T.StringType())
+    def skeletons(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: skeleton_of(x, table), na_action="ignore")
+
+    return skeletons
 
 
 def _is_plain(c: Column) -> Column:
@@ -78,4 +119,4 @@ def readable(features: DataFrame) -> DataFrame:
     ship(features.sparkSession)
     idn = D.has_idn(F.col("domain"))
     rest = features.where(idn).withColumn("unicode", _unicode("domain"))
-    return features.where(~idn).unionByName(rest.withColumn("skeleton", _skeleton("unicode")))
+    return features.where(~idn).unionByName(rest.withColumn("skeleton", _skeletons(confusables(features.sparkSession))("unicode")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TILE = 256
@@ -67,3 +67,10 @@ def tile_window(last_entry: Column, size: Column, max_tiles: int, start: Column
     first = F.coalesce(F.floor((last_entry + 1) / TILE).cast("bigint"), start if start is not None else F.lit(None).cast("bigint"), newest)
     new = (size > 0) & (F.coalesce(last_entry, F.lit(-1)) + 1 < size)
     return F.when(new & (first <= newest), F.struct(first.alias("first"), F.least(first + max_tiles - 1, newest).alias("last")))
+
+
+def metadata(entries: DataFrame, index: str = "index") -> DataFrame:
+    """(tile, entries, width, first_entry) of each data tile that entries (of such an index) are in; width null: a full one."""
+    n = F.count("*")
+    width = F.when(n < TILE, n).cast("int")
+    return entries.groupBy(F.floor(F.col(index) / TILE).cast("bigint").alias("tile")).agg(n.alias("entries"), width.alias("width"), F.min(index).alias("first_entry"))

@@ -186,7 +186,7 @@ def read_certificate(der: bytes) -> dict:
                 _, na, nb = _tlv(der, va, vb)
                 sans |= {der[x:y].decode("ascii", "replace") for t, x, y in _children(der, na, nb) if t == 0x82}
         number = der[serial[1] : serial[2]].hex()
-        return {"certificate_sha256": hashlib.sha256(der).hexdigest(), "serial_number": ":".join(number[i : i + 2] for i in range(0, len(number), 2)), "issuer": _name(der, *issuer[1:]), "not_before": _time(t1, der[a1:b1]), "not_after": _time(t2, der[a2:b2]), "san_dns_names": sorted(sans), "error": None}
+        return {"certificate_sha256": hashlib.sha256(der).hexdigest(), "serial_number": ":".join(number[i : i + 2] for i in range(0, len(number), 2)), "issuer": _name(der, *issuer[1:]), "not_before": _time(t1, der[a1:b1]), "not_after": _time(t2, der[a2:b2]), "san_dns_names": list(sans), "error": None}
     except (DecodeError, IndexError, ValueError) as e:
         return {"error": str(e) or type(e).__name__}
 
@@ -203,7 +203,13 @@ def parse_certificates(entries: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, _CERTIFICATE)
 
     ship(entries.sparkSession)
-    return entries.select("index", "timestamp_millis", "certificate_der").mapInArrow(run, f"index bigint, timestamp_millis bigint, {schemas.CERTIFICATE}, error string")
+    parsed = entries.select("index", "timestamp_millis", "certificate_der").mapInArrow(run, f"index bigint, timestamp_millis bigint, {schemas.CERTIFICATE}, error string")
+    return parsed.withColumn("san_dns_names", sorted_names(F.col("san_dns_names")))
+
+
+def sorted_names(names: Column) -> Column:
+    """Each name once, in order."""
+    return F.array_sort(F.array_distinct(names))
 
 
 def events_and_errors(entries: DataFrame, source_log: str) -> tuple[DataFrame, DataFrame]:

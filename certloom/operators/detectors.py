@@ -84,11 +84,12 @@ def typosquat(cfg: Config, max_distance: int = MAX_DISTANCE) -> Column:
         officials.append((d, short, min(max_distance, 1 if len(short) <= 4 else 2 if len(short) <= 10 else 3)))
     if not officials:
         return F.lit(None)
+    most = max(m for _, _, m in officials)
     table = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(s).alias("label"), F.lit(m).alias("most")) for d, s, m in officials])
 
     def close(candidates: Column, o: Column) -> Column:
         # twice the distance bounds the plain one, which is cheap
-        near = F.filter(candidates, lambda c: (c != o["label"]) & (F.levenshtein(c, o["label"]) <= 2 * o["most"]))
+        near = F.filter(candidates, lambda c: (c != o["label"]) & (F.abs(F.length(c) - F.length(o["label"])) <= o["most"]) & (D.edit_distance(c, o["label"], 2 * most) >= 0))
         return F.filter(F.transform(near, lambda c: F.struct(c.alias("label"), D.osa_distance(c, o["label"]).alias("distance"))), lambda x: x["distance"].between(1, o["most"]))
 
     def finding(o: Column, x: Column) -> Column:

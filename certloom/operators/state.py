@@ -67,6 +67,19 @@ def new_alerts(alerts: DataFrame, fresh_domains: DataFrame, min_alert_score: int
     return alerts.join(fresh_domains.select("domain").distinct(), "domain", "left_semi").where(F.col("score") >= min_alert_score)
 
 
+def alerted_domains(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(domain) of rows in lower case, once each, without those already known (domain)."""
+    names = rows.select(F.lower("domain").alias("domain")).dropDuplicates()
+    return names if known is None else names.join(known.select(F.lower("domain").alias("domain")), "domain", "left_anti")
+
+
+def first_of_key(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key: one sum by key, aggregated before it moves."""
+    rest = [c for c in rows.columns if c not in (key, order)]
+    first = rows.groupBy(key).agg(F.min(F.struct(order, *rest)).alias("first"))
+    return first.select(key, "first.*")
+
+
 def newest(letters: DataFrame, most: int = DEAD_LETTERS) -> DataFrame:
     """The last dead letters by index: a sort that stops after `most`, no window over all rows."""
     return letters.orderBy(F.desc("index")).limit(most)

@@ -52,13 +52,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("tile_meta", "SELECT event_id // 256 AS tile, count(*) AS entries, CASE WHEN count(*) < 256 THEN CAST(count(*) AS INT) END AS width, min(event_id) AS first_entry FROM events GROUP BY ALL")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    by = events(spark, sf).groupBy(F.floor(F.col("event_id") / 256).cast("bigint").alias("tile")).agg(F.count("*").alias("entries"), F.min("event_id").alias("first_entry"))
-    return by.select("tile", "entries", F.when(F.col("entries") < 256, F.col("entries").cast("int")).alias("width"), "first_entry")
+    return tiles.metadata(events(spark, sf).select(F.col("event_id").alias("index")))
 
 
 @query("events_limit", f"WITH {_O_CORPUS} SELECT idx, raw FROM corpus ORDER BY idx LIMIT 10")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus(spark, sf).orderBy("idx").limit(10).select("idx", "raw")
+    return scan.first_entries(corpus(spark, sf), 10, "idx").select("idx", "raw")
 
 
 # --- Merkle trees --------------------------------------------------------------------------------------------------
@@ -88,46 +87,38 @@ def _o_levels(n: int, where: str) -> str:
     return ", ".join(out)
 
 
-@query("merkle_root", f"WITH {_o_levels(10, 'event_id < 777')} SELECT lower(hex(h)) AS root FROM l10")
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    return merkle.tree_root(_leaves(spark, sf).where("index < 777"), 777).select(F.lower(F.hex("root")).alias("root"))
-
-
-@query("merkle_perfect", f"WITH {_o_levels(4, 'event_id < 960')} SELECT i AS part, lower(hex(h)) AS root FROM l4")
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    parts = _leaves(spark, sf).where("index < 960").groupBy(F.floor(F.col("index") / 16).cast("bigint").alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "hash"))), lambda x: x["hash"]).alias("hashes"))
-    return parts.select("part", F.lower(F.hex(merkle.perfect_root(F.col("hashes")))).alias("root"))
+#: Levels of SQL that reach the root of any table here; a single hash goes up as it is.
+_LEVELS = 40
 
 
-@query("merkle_root_all")
+@query("merkle_root", f"WITH {_o_levels(_LEVELS, 'true')} SELECT lower(hex(h)) AS root FROM l{_LEVELS}")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.tree_root(_leaves(spark, sf), events(spark, sf).count()).select(F.lower(F.hex("root")).alias("root"))
 
 
-@query("merkle_perfect_all", f"WITH {_o_levels(4, 'event_id < (SELECT count(*) // 16 * 16 FROM events)')} SELECT i AS part, lower(hex(h)) AS root FROM l4")
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    parts = _leaves(spark, sf).groupBy(F.floor(F.col("index") / 16).cast("bigint").alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "hash"))), lambda x: x["hash"]).alias("hashes"))
-    return parts.where(F.size("hashes") == 16).select("part", F.lower(F.hex(merkle.perfect_root(F.col("hashes")))).alias("root"))
+def _groups(spark: SparkSession, sf: str, size: int) -> DataFrame:
+    """(part, hashes) of each full group of neighbouring leaves."""
+    grouped = _leaves(spark, sf).groupBy(F.floor(F.col("index") / size).cast("bigint").alias("part"))
+    hashes = F.transform(F.array_sort(F.collect_list(F.struct("index", "hash"))), lambda x: x["hash"]).alias("hashes")
+    return grouped.agg(hashes).where(F.size("hashes") == size)
 
 
-@query("merkle_compact", f"WITH l AS (SELECT event_id AS i, {_LEAF} AS h FROM events) SELECT a.i // 3 AS part, lower(hex({_NODE.format('a.h', _NODE.format('b.h', 'c.h'))})) AS root FROM l a JOIN l b ON b.i = a.i + 1 JOIN l c ON c.i = a.i + 2 WHERE a.i % 3 = 0")
+@query("merkle_perfect", f"WITH {_o_levels(4, 'event_id < (SELECT count(*) // 16 * 16 FROM events)')} SELECT i AS part, lower(hex(h)) AS root FROM l4")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    three = _leaves(spark, sf).groupBy(F.floor(F.col("index") / 3).cast("bigint").alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "hash"))), lambda x: x["hash"]).alias("hashes"))
-    return three.where(F.size("hashes") == 3).select("part", F.lower(F.hex(merkle.compact_root(F.col("hashes")))).alias("root"))
+    return _groups(spark, sf, 16).select("part", F.lower(F.hex(merkle.perfect_root(F.col("hashes")))).alias("root"))
 
 
-@query("subtree_plan", "WITH sizes AS (SELECT event_id AS size FROM events WHERE event_id < 2000), bits AS (SELECT size, unnest(range(11)) AS b FROM sizes) SELECT size, (size >> (b + 1)) << (b + 1) AS start, 1 << b AS subtree, CAST(b // 8 AS INT) AS level FROM bits WHERE (size >> b) & 1 = 1")
+@query("merkle_compact", f"WITH l AS (SELECT event_id AS i, {_LEAF} AS h FROM events) SELECT a.i // 3 AS part, lower(hex({_NODE.format('a.h', _NODE.format('b.h', 'c.h'))})) AS root FROM l a JOIN l b ON b.i = a.i + 1 JOIN l c ON c.i = a.i + 2 WHERE a.i % 3 = 0")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _plans(events(spark, sf).where("event_id < 2000"))
-
-
-def _plans(sizes: DataFrame) -> DataFrame:
-    return sizes.select(F.col("event_id").alias("size"), F.inline(merkle.subtree_plans(F.col("event_id"))))
+    return _groups(spark, sf, 3).select("part", F.lower(F.hex(merkle.compact_root(F.col("hashes")))).alias("root"))
 
 
-@query("subtree_plan_all", "WITH bits AS (SELECT event_id AS size, unnest(range(63)) AS b FROM events) SELECT size, size - size % (1::BIGINT << b) - (1::BIGINT << b) AS start, 1::BIGINT << b AS subtree, CAST(least(b // 8, 5) AS INT) AS level FROM bits WHERE (size >> b) & 1 = 1")
+@query(
+    "subtree_plan",
+    "WITH bits AS (SELECT event_id AS size, unnest(range(63)) AS b FROM events) SELECT size, size - size % (1::BIGINT << b) - (1::BIGINT << b) AS start, 1::BIGINT << b AS subtree, CAST(least(b // 8, 5) AS INT) AS level FROM bits WHERE (size >> b) & 1 = 1",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _plans(events(spark, sf))
+    return events(spark, sf).select(F.col("event_id").alias("size"), F.inline(merkle.subtree_plans(F.col("event_id"))))
 
 
 @query("hash_tile", "SELECT t AS tile, len(hs) AS n, lower(hs[1]) AS first, lower(hs[-1]) AS last FROM (SELECT event_id // 256 AS t, list(hex(" + _LEAF + ") ORDER BY event_id) AS hs FROM events GROUP BY ALL)")
@@ -182,48 +173,63 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- bytes ---------------------------------------------------------------------------------------------------------
-def _tiles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(0, None, bytearray(fixtures.tile(0, 256))), (1, 100, bytearray(fixtures.tile(256, 100)))], "index bigint, width int, bytes binary")
+_O_ENTRIES = "entries AS (SELECT event_id AS i FROM events)"
+
+
+def _tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Data tiles (index, width, bytes) with an entry for each event, made where they are read."""
+    from ..ship import ship
+
+    ship(spark)
 
+    def made(frames):
+        for frame in frames:
+            yield frame.assign(bytes=[fixtures.tile(int(i) * tiles.TILE, int(n)) for i, n in zip(frame["index"], frame["n"], strict=True)])
 
-@query("decode_tile", "SELECT i AS index, 1700000000000 + i AS timestamp_millis, CASE WHEN i % 5 = 4 THEN 'precertificate' ELSE 'x509' END AS kind, 1 AS n_chain, 0 AS extensions_len FROM range(356) t(i)")
+    each = events(spark, sf).groupBy(F.floor(F.col("event_id") / tiles.TILE).cast("bigint").alias("index")).agg(F.count("*").alias("n"))
+    rows = each.mapInPandas(made, "index bigint, n bigint, bytes binary")
+    return rows.select("index", F.when(F.col("n") < tiles.TILE, F.col("n")).cast("int").alias("width"), "bytes")
+
+
+@query("decode_tile", f"WITH {_O_ENTRIES} SELECT i AS index, 1700000000000 + i AS timestamp_millis, CASE WHEN i % 5 = 4 THEN 'precertificate' ELSE 'x509' END AS kind, 1 AS n_chain, 0 AS extensions_len FROM entries")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return decode.decode_tiles(_tiles(spark)).select("index", "timestamp_millis", "kind", F.size("chain_fingerprints").alias("n_chain"), "extensions_len")
+    return decode.decode_tiles(_tiles(spark, sf)).select("index", "timestamp_millis", "kind", F.size("chain_fingerprints").alias("n_chain"), "extensions_len")
 
 
-@query("parse_cert", "SELECT i AS index, 'CN=Test CA' AS issuer, '2026-01-01T00:00:00Z' AS not_before, '*.Wild.example.org|bad_name.example|login-paypa1-' || i || '.net|www.host' || i || '.example.com' AS sans FROM range(356) t(i) WHERE i % 7 <> 6")
+@query("parse_cert", f"WITH {_O_ENTRIES} SELECT i AS index, 'CN=Test CA' AS issuer, '2026-01-01T00:00:00Z' AS not_before, '*.Wild.example.org|bad_name.example|login-paypa1-' || i || '.net|www.host' || i || '.example.com' AS sans FROM entries WHERE i % 7 <> 6")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = decode.parse_certificates(decode.decode_tiles(_tiles(spark)))
+    parsed = decode.parse_certificates(decode.decode_tiles(_tiles(spark, sf)))
     return parsed.where("error is null").select("index", "issuer", "not_before", F.array_join("san_dns_names", "|").alias("sans"))
 
 
-@query("events_and_errors", "SELECT i AS index, i % 7 = 6 AS failed FROM range(356) t(i)")
+@query("events_and_errors", f"WITH {_O_ENTRIES} SELECT i AS index, i % 7 = 6 AS failed FROM entries")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    good, bad = decode.events_and_errors(decode.decode_tiles(_tiles(spark)), "log")
+    good, bad = decode.events_and_errors(decode.decode_tiles(_tiles(spark, sf)), "log")
     return good.select("index", F.lit(False).alias("failed")).union(bad.select("index", F.lit(True)))
 
 
-@query("san_event", "SELECT i AS index, 'wild.example.org|login-paypa1-' || i || '.net|www.host' || i || '.example.com' AS domains, 1 AS n_rejected FROM range(356) t(i) WHERE i % 7 <> 6")
+@query("san_event", f"WITH {_O_ENTRIES} SELECT i AS index, 'wild.example.org|login-paypa1-' || i || '.net|www.host' || i || '.example.com' AS domains, 1 AS n_rejected FROM entries WHERE i % 7 <> 6")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    good, _ = decode.events_and_errors(decode.decode_tiles(_tiles(spark)), "log")
+    good, _ = decode.events_and_errors(decode.decode_tiles(_tiles(spark, sf)), "log")
     return good.select("index", F.array_join(F.transform("domains", lambda d: d["normalized"]), "|").alias("domains"), F.size("rejected_domains").alias("n_rejected"))
 
 
-@query("observations", "SELECT i AS index, p AS pos, CASE p WHEN 0 THEN 'wild.example.org' WHEN 1 THEN 'login-paypa1-' || i || '.net' ELSE 'www.host' || i || '.example.com' END AS domain FROM range(356) t(i), (VALUES (0), (1), (2)) v(p) WHERE i % 7 <> 6")
+@query("observations", f"WITH {_O_ENTRIES} SELECT i AS index, p AS pos, CASE p WHEN 0 THEN 'wild.example.org' WHEN 1 THEN 'login-paypa1-' || i || '.net' ELSE 'www.host' || i || '.example.com' END AS domain FROM entries, (VALUES (0), (1), (2)) v(p) WHERE i % 7 <> 6")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    good, _ = decode.events_and_errors(decode.decode_tiles(_tiles(spark)), "log")
+    good, _ = decode.events_and_errors(decode.decode_tiles(_tiles(spark, sf)), "log")
     return decode.observations(good).select(F.col("certificate_index").alias("index"), "pos", "domain")
 
 
-@query("scan_tiles", "SELECT 'login-paypa1-' || i || '.net' AS domain, 100 AS score FROM range(356) t(i) WHERE i % 7 <> 6")
+@query("scan_tiles", f"WITH {_O_ENTRIES} SELECT 'login-paypa1-' || i || '.net' AS domain, 100 AS score FROM entries WHERE i % 7 <> 6")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    alerts, _ = scan.scan_tiles(_tiles(spark), "log", CFG)
+    alerts, _ = scan.scan_tiles(_tiles(spark, sf), "log", CFG)
     return alerts.where(F.col("domain").like("login%")).select("domain", "score")
 
 
 @query("san_sorted", "SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), '|') AS kinds FROM events GROUP BY user_id")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "|").alias("kinds"))
+    lists = events(spark, sf).groupBy("user_id").agg(F.collect_list("event_type").alias("names"))
+    return lists.select("user_id", F.array_join(decode.sorted_names(F.col("names")), "|").alias("kinds"))
 
 
 @query("src_mock_events", "SELECT * FROM (VALUES (1, 'paypa1-login.com'), (1, 'github.com'), (1, 'micr0soft-support.net'), (2, 'secure-wallet-example.net')) t(index, domain)")
@@ -362,12 +368,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("legacy_domain_dedupe", f"WITH {_O_CORPUS} SELECT DISTINCT lower(raw) AS domain FROM corpus")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus(spark, sf).select(F.lower("raw").alias("domain")).dropDuplicates()
+    return state.alerted_domains(corpus(spark, sf).select(F.col("raw").alias("domain")))
 
 
 @query("dedupe_keys", "SELECT user_id, min(event_id) AS first FROM events GROUP BY user_id")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).groupBy("user_id").agg(F.min("event_id").alias("first"))
+    return state.first_of_key(events(spark, sf), "user_id", "event_id").select("user_id", F.col("event_id").alias("first"))
 
 
 @query("dead_letter_cap", "SELECT event_id AS index FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 1024")
@@ -420,22 +426,19 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.alert_findings(scan.alerts(found(spark, sf), CFG)).select(sinks.chat_text().alias("text"))
 
 
-@query("webhook_payload", f"WITH {_O_FOUND} SELECT count(*) AS n, '{{\"kind\":\"findings\",\"count\":' || count(*) || ',\"findings\":[' || string_agg({_JSON}, ',' ORDER BY score DESC, domain, {_JSON}) || ']}}' AS payload FROM tidy WHERE certificate_index < 200 GROUP BY certificate_index")
+@query(
+    "webhook_payload",
+    f"WITH {_O_FOUND} SELECT count(*) AS n, '{{\"kind\":\"findings\",\"count\":' || count(*) || ',\"findings\":[' || string_agg({_JSON}, ',' ORDER BY score DESC, domain, {_JSON}) || ']}}' AS payload FROM tidy GROUP BY certificate_index",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _payloads(found(spark, sf).where("certificate_index < 200"))
-
-
-def _payloads(rows: DataFrame) -> DataFrame:
-    return sinks.envelopes(rows, "findings", F.col("certificate_index")).select(F.col("count").alias("n"), "payload")
-
-
-@query("webhook_payload_all", f"WITH {_O_FOUND} SELECT count(*) AS n, '{{\"kind\":\"findings\",\"count\":' || count(*) || ',\"findings\":[' || string_agg({_JSON}, ',' ORDER BY score DESC, domain, {_JSON}) || ']}}' AS payload FROM tidy GROUP BY certificate_index")
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _payloads(found(spark, sf))
+    return sinks.envelopes(found(spark, sf), "findings", F.col("certificate_index")).select(F.col("count").alias("n"), "payload")
 
 
 # --- names that need Unicode rules ---------------------------------------------------------------------------------
-_IDN = ("bücher{n}.example", "xn--pypal-4ve.com", "xn--paypa1-4ve.com", "münchen.de", "plain{n}.com", "pаypal-login{n}.com")
+_IDN = ("bücher.host{n}.example", "xn--pypal-4ve.com", "xn--paypa1-4ve.com", "münchen.de", "plain{n}.com", "pаypal.login{n}.com", "Straße.de", "micrоsоft.com")
+#: Known ASCII forms of these names; the third has none.
+_IDN_ASCII = ("xn--bcher-kva.host{n}.example", "xn--pypal-4ve.com", "", "xn--mnchen-3ya.de", "plain{n}.com", "xn--pypal-4ve.login{n}.com", "xn--strae-oqa.de", "xn--micrsft-djgb.com")
+_O_IDN = f"idn AS (SELECT event_id AS idx, CAST(event_id % {len(_IDN)} AS INT) + 1 AS k, nullif(replace(list_extract({_list(_IDN_ASCII)}, CAST(event_id % {len(_IDN)} AS INT) + 1), '{{n}}', CAST(event_id AS VARCHAR)), '') AS domain, lower(replace(list_extract({_list(_IDN)}, CAST(event_id % {len(_IDN)} AS INT) + 1), '{{n}}', CAST(event_id AS VARCHAR))) AS shown FROM events)"
 
 
 def _idn_names(spark: SparkSession, sf: str) -> DataFrame:
@@ -443,14 +446,27 @@ def _idn_names(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select(F.col("event_id").alias("idx"), F.replace(pick, F.lit("{n}"), F.col("event_id").cast("string")).alias("raw"))
 
 
-@query("normalize_idn")
+@query("normalize_idn", f"WITH {_O_IDN} SELECT idx, domain FROM idn")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions import idn
 
     return idn.normalize(_idn_names(spark, sf)).select("idx", "domain")
 
 
-@query("detect_homoglyph_idn")
+def _o_glyph(letter: str) -> str:
+    """SQL list of a text for each of the look-alikes that a name shows, in order."""
+    return f"list_transform(list_filter(string_split(readable, ''), lambda c: c IN ('а', 'о')), lambda c: {letter})"
+
+
+#: The third and fifth name have nothing to find; umlauts and ß only mix scripts; the others show Cyrillic letters.
+_O_IDN_HITS = f"""{_O_IDN},
+shown_ AS (SELECT *, CASE k WHEN 2 THEN 'pаypal.com' ELSE shown END AS readable FROM idn WHERE k NOT IN (3, 5)),
+shapes AS (SELECT *, CASE k WHEN 2 THEN 'paypal.corn' WHEN 6 THEN 'paypal.login' || replace(replace(CAST(idx AS VARCHAR), '0', 'o'), '1', 'l') || '.corn' WHEN 8 THEN 'rnicrosoft.corn' END AS skeleton, CASE WHEN k IN (2, 6) THEN 'paypal' END AS protected FROM shown_)"""
+
+
+@query("detect_homoglyph_idn", f"""WITH {_O_IDN_HITS} SELECT idx, domain, CASE WHEN protected IS NULL THEN 45 ELSE 85 END AS score,
+array_to_string(list_concat(list_concat(CASE WHEN protected IS NULL THEN [] ELSE ['decoded domain skeleton matches protected name `' || protected || '`'] END, {_o_glyph("'domain contains lookalike character `' || c || '` that may resemble `' || translate(c, 'ао', 'ao') || '`'")}), ['domain mixes ASCII and non-ASCII letters']), '|') AS reasons,
+array_to_string(list_concat(list_concat(list_concat(CASE WHEN protected IS NULL THEN [] ELSE ['homoglyph.skeleton=' || skeleton, 'homoglyph.protected_name=' || protected] END, ['idn.decoded=' || readable]), {_o_glyph("'glyph=' || c || '->' || translate(c, 'ао', 'ao')")}), ['idn.script_mixing=ascii+non_ascii']), '|') AS evidence FROM shapes""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions import idn
     from ..operators import detectors

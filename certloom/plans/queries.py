@@ -191,10 +191,9 @@ simple("registrable_label", lambda: D.registrable_label(F.col("domain")), "reg_l
 simple("skeleton", lambda: D.skeleton(F.col("domain")), "skeleton", base=_O_FEATURES, table="features")
 simple("skeleton_labels", lambda: F.array_join(D.skeleton_labels(F.col("skeleton")), "|"), "array_to_string(skeleton_labels, '|')", _featured, _O_FEATURES, "features")
 simple("digit_subst", lambda: D.undo_digits(F.col("domain")), _SUBST.format("domain"))
-simple("lev", lambda: F.levenshtein(D.registrable_label(F.col("domain")), F.lit("paypal")), "CAST(levenshtein(reg_label, 'paypal') AS INT)", base=_O_FEATURES, table="features")
+simple("lev", lambda: D.edit_distance(D.registrable_label(F.col("domain")), F.lit("paypal")), "CAST(levenshtein(reg_label, 'paypal') AS INT)", base=_O_FEATURES, table="features")
 _BS = "string_split(reg_label, '')"
-simple("osa_distance", lambda: D.osa_distance(F.substring(D.registrable_label(F.col("domain")), 1, 8), F.lit("paypal")), "CAST(damerau_levenshtein(substr(reg_label, 1, 8), 'paypal') AS INT)", base=_O_FEATURES, table="features")
-QUERIES["osa_distance_all"] = lambda spark, sf: names(spark, sf).select("idx", D.osa_distance(D.registrable_label(F.col("domain")), F.lit("paypal")).alias("value"))
+simple("osa_distance", lambda: D.osa_distance(D.registrable_label(F.col("domain")), F.lit("paypal")), "CAST(damerau_levenshtein(reg_label, 'paypal') AS INT)", base=_O_FEATURES, table="features")
 simple("severity", lambda: D.severity(F.col("idx") % 101), _SEVERITY.format("idx % 101"), corpus, _O_CORPUS, "corpus")
 _GLYPH_KEYS, _GLYPH_VALUES = "".join(D.LOOKALIKES), "".join(D.LOOKALIKES.values())
 _ODD = "translate(domain, 'aeo', 'аео')"
@@ -277,9 +276,8 @@ _RULES = _o_rules()
 for _name, _k, _starts in (("comp_actions", 0, "^domain combines multiple"), ("comp_tld", 1, "^domain uses high-abuse"), ("comp_hyphens", 2, "^registrable label contains"), ("comp_depth", 3, "^domain uses deep")):
     _rule(_name, *_RULES[_k][:3], _starts)
 for _name, _k, _starts in (("comp_protected", 4, "^domain combines protected"), ("comp_digit_label", 5, "^registrable label `"), ("comp_digit_token", 6, "^domain token")):
-    _rule(_name, *_RULES[_k][:3], f"{_starts}.*`?paypal`?")
-    _rule(f"{_name}_all", *_RULES[_k][:3], _starts)
-    ORACLES[f"{_name}_all"] = " UNION ALL ".join(f"SELECT * FROM ({o})" for o in (f"WITH {_O_LIVE} SELECT idx, {r} AS reason FROM live WHERE {c}" for c, _, r, _ in _RULES[_k :: 3]))
+    _rule(_name, *_RULES[_k][:3], _starts)
+    ORACLES[_name] = " UNION ALL ".join(f"SELECT * FROM ({o})" for o in (f"WITH {_O_LIVE} SELECT idx, {r} AS reason FROM live WHERE {c}" for c, _, r, _ in _RULES[_k :: 3]))
 
 
 @query("detect_all", f"WITH {_O_FOUND} SELECT certificate_index, domain, detector, severity, score, array_to_string(reasons, '|') AS reasons, array_to_string(evidence, '|') AS evidence FROM tidy")

@@ -1,4 +1,4 @@
-"""Queries over all rows of a table, where those with SQL take a part."""
+"""Queries over all rows of a table against plain versions."""
 
 import hashlib
 
@@ -29,12 +29,12 @@ LEAVES = [hashlib.sha256(b"\0\0\0" + b"%08d" % i).digest() for i in range(N)]
 
 
 def test_merkle(spark, sf):
-    assert [r[0] for r in QUERIES["merkle_root_all"](spark, sf).collect()] == [_root(LEAVES).hex()]
-    assert sorted(map(tuple, QUERIES["merkle_perfect_all"](spark, sf).collect())) == [(p, _root(LEAVES[16 * p : 16 * p + 16]).hex()) for p in range(N // 16)]
+    assert [r[0] for r in QUERIES["merkle_root"](spark, sf).collect()] == [_root(LEAVES).hex()]
+    assert sorted(map(tuple, QUERIES["merkle_perfect"](spark, sf).collect())) == [(p, _root(LEAVES[16 * p : 16 * p + 16]).hex()) for p in range(N // 16)]
 
 
 def test_subtree_plan(spark, sf):
-    got = sorted(map(tuple, QUERIES["subtree_plan_all"](spark, sf).collect()))
+    got = sorted(map(tuple, QUERIES["subtree_plan"](spark, sf).collect()))
     assert got == sorted((n, *x) for n in range(N) for x in merkle.subtree_plan(n))
     big = [0, 70_000, 2**32 + 5, 2**50 + 1, 2**62 + 3]
     made = spark.createDataFrame([(n,) for n in big], "n bigint").select("n", merkle.subtree_plans(F.col("n")))
@@ -46,7 +46,7 @@ def test_webhook_payload(spark, sf):
     from certloom.plans import queries
 
     rows = queries.found(spark, sf)
-    got = QUERIES["webhook_payload_all"](spark, sf).collect()
+    got = QUERIES["webhook_payload"](spark, sf).collect()
     assert sum(r["n"] for r in got) == rows.count() and len(got) == rows.select("certificate_index").distinct().count() > 200
     one = rows.where("certificate_index = 2304")  # a later entry
     assert [r[0] for r in sinks.payload(one, "findings", 0).collect()] == [p for p in (r["payload"] for r in got) if "paypa1-login.com" in p and "certificate_index\",\"value\":\"2304\"" in p]
@@ -64,10 +64,10 @@ def _osa(a, b):
 
 def test_osa_distance(spark, sf):
     labels = {r["idx"]: r["value"] for r in QUERIES["registrable_label"](spark, sf).collect()}
-    got = {r["idx"]: r["value"] for r in QUERIES["osa_distance_all"](spark, sf).collect()}
+    got = {r["idx"]: r["value"] for r in QUERIES["osa_distance"](spark, sf).collect()}
     assert max(map(len, labels.values())) > 8 and got == {k: _osa(v, "paypal") for k, v in labels.items()}
 
 
 def test_composition_of_all_names(spark, sf):
-    said = {k: [r["reason"] for r in QUERIES[f"{k}_all"](spark, sf).collect()] for k in ("comp_protected", "comp_digit_label", "comp_digit_token")}
+    said = {k: [r["reason"] for r in QUERIES[f"{k}"](spark, sf).collect()] for k in ("comp_protected", "comp_digit_label", "comp_digit_token")}
     assert any("`microsoft`" in x for x in said["comp_protected"]) and any("`microsoft`" in x for x in said["comp_digit_token"])
