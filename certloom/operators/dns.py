@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import socket
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,42 +12,41 @@ from .. import schemas
 from ..functions import domains as D
 from ..ship import ship
 
-#: Providers whose names can be claimed when left dangling.
-_PROVIDERS = """
-Agile CRM|agilecrm.com|https://github.com/EdOverflow/can-i-take-over-xyz/issues/145
-AWS/Elastic Beanstalk|elasticbeanstalk.com|https://github.com/EdOverflow/can-i-take-over-xyz/issues/194
-AWS/S3|s3.amazonaws.com|https://github.com/EdOverflow/can-i-take-over-xyz/issues/36
-Airee.ru|airee.ru|https://github.com/EdOverflow/can-i-take-over-xyz/issues/104
-Anima|animaapp.io|https://docs.animaapp.com/v1/launchpad/08-custom-domain.html
-Bitbucket|bitbucket.io|https://github.com/EdOverflow/can-i-take-over-xyz/issues/97
-Discourse|trydiscourse.com|https://hackerone.com/reports/264494
-Fastly|fastly.net|https://github.com/EdOverflow/can-i-take-over-xyz
-Gemfury|furyns.com|https://khaledibnalwalid.wordpress.com/2020/06/25/gemfury-subdomain-takeover/
-Ghost|ghost.io|https://github.com/EdOverflow/can-i-take-over-xyz/issues/89
-GitHub Pages|github.io|https://github.com/EdOverflow/can-i-take-over-xyz
-HatenaBlog|hatenablog.com|https://github.com/EdOverflow/can-i-take-over-xyz
-Help Juice|helpjuice.com|https://help.helpjuice.com/en_US/using-your-custom-domain/how-to-set-up-a-custom-domain
-Help Scout|helpscoutdocs.com|https://docs.helpscout.net/article/42-setup-custom-domain
-Helprace|helprace.com|https://github.com/EdOverflow/can-i-take-over-xyz/issues/115
-Heroku|herokuapp.com herokudns.com|https://github.com/EdOverflow/can-i-take-over-xyz
-JetBrains|youtrack.cloud|https://www.jetbrains.com/help/youtrack/incloud/Domain-Settings.html
-LaunchRock|launchrock.com|https://github.com/EdOverflow/can-i-take-over-xyz/issues/74
-Microsoft Azure|azure-api.net azurecontainer.io azurecr.io azuredatalakestore.net azureedge.net azurehdinsight.net azurewebsites.net blob.core.windows.net cloudapp.azure.com cloudapp.net database.windows.net redis.cache.windows.net search.windows.net servicebus.windows.net visualstudio.com|https://github.com/EdOverflow/can-i-take-over-xyz/issues/35
-Netlify|netlify.app|https://github.com/EdOverflow/can-i-take-over-xyz
-Ngrok|ngrok.io|https://ngrok.com/docs#http-custom-domains
-Readme.io|readme.io|https://github.com/EdOverflow/can-i-take-over-xyz/issues/41
-Shopify|myshopify.com|https://github.com/EdOverflow/can-i-take-over-xyz
-Strikingly|s.strikinglydns.com|https://medium.com/@sherif0x00/takeover-subdomains-pointing-to-strikingly-5e67df80cdfd
-Surge.sh|na-west1.surge.sh|https://surge.sh/help/adding-a-custom-domain
-SurveySparrow|surveysparrow.com|https://help.surveysparrow.com/custom-domain
-Uberflip|read.uberflip.com|https://help.uberflip.com/hc/en-us/articles/360018786372-Custom-Domain-Set-up-Your-Hub-on-a-Subdomain
-Uptimerobot|stats.uptimerobot.com|https://exploit.linuxsec.org/uptimerobot-com-custom-domain-subdomain-takeover/
-Vercel|vercel-dns.com vercel.app|https://github.com/EdOverflow/can-i-take-over-xyz
-Wordpress|wordpress.com|https://github.com/EdOverflow/can-i-take-over-xyz/pull/176
-Worksites|worksites.net|https://github.com/EdOverflow/can-i-take-over-xyz/issues/142
-Zendesk|zendesk.com|https://github.com/EdOverflow/can-i-take-over-xyz
-"""
-PROVIDERS = [(p, s.split(), u) for p, s, u in (x.split("|") for x in _PROVIDERS.strip().splitlines())]
+#: Providers whose names can be claimed when left dangling: name, suffixes, where it is told of.
+PROVIDERS: list[tuple[str, list[str], str]] = [
+    ("Agile CRM", ["agilecrm.com"], "https://github.com/EdOverflow/can-i-take-over-xyz/issues/145"),
+    ("Airee.ru", ["airee.ru"], "https://github.com/EdOverflow/can-i-take-over-xyz/issues/104"),
+    ("Anima", ["animaapp.io"], "https://docs.animaapp.com/v1/launchpad/08-custom-domain.html"),
+    ("AWS/Elastic Beanstalk", ["elasticbeanstalk.com"], "https://github.com/EdOverflow/can-i-take-over-xyz/issues/194"),
+    ("AWS/S3", ["s3.amazonaws.com"], "https://github.com/EdOverflow/can-i-take-over-xyz/issues/36"),
+    ("Bitbucket", ["bitbucket.io"], "https://github.com/EdOverflow/can-i-take-over-xyz/issues/97"),
+    ("Discourse", ["trydiscourse.com"], "https://hackerone.com/reports/264494"),
+    ("Fastly", ["fastly.net"], "https://github.com/EdOverflow/can-i-take-over-xyz"),
+    ("Gemfury", ["furyns.com"], "https://khaledibnalwalid.wordpress.com/2020/06/25/gemfury-subdomain-takeover/"),
+    ("Ghost", ["ghost.io"], "https://github.com/EdOverflow/can-i-take-over-xyz/issues/89"),
+    ("GitHub Pages", ["github.io"], "https://github.com/EdOverflow/can-i-take-over-xyz"),
+    ("HatenaBlog", ["hatenablog.com"], "https://github.com/EdOverflow/can-i-take-over-xyz"),
+    ("Help Juice", ["helpjuice.com"], "https://help.helpjuice.com/en_US/using-your-custom-domain/how-to-set-up-a-custom-domain"),
+    ("Help Scout", ["helpscoutdocs.com"], "https://docs.helpscout.net/article/42-setup-custom-domain"),
+    ("Helprace", ["helprace.com"], "https://github.com/EdOverflow/can-i-take-over-xyz/issues/115"),
+    ("Heroku", ["herokuapp.com", "herokudns.com"], "https://github.com/EdOverflow/can-i-take-over-xyz"),
+    ("JetBrains", ["youtrack.cloud"], "https://www.jetbrains.com/help/youtrack/incloud/Domain-Settings.html"),
+    ("LaunchRock", ["launchrock.com"], "https://github.com/EdOverflow/can-i-take-over-xyz/issues/74"),
+    ("Microsoft Azure", ["azure-api.net", "azurecontainer.io", "azurecr.io", "azuredatalakestore.net", "azureedge.net", "azurehdinsight.net", "azurewebsites.net", "blob.core.windows.net", "cloudapp.azure.com", "cloudapp.net", "database.windows.net", "redis.cache.windows.net", "search.windows.net", "servicebus.windows.net", "visualstudio.com"], "https://github.com/EdOverflow/can-i-take-over-xyz/issues/35"),
+    ("Netlify", ["netlify.app"], "https://github.com/EdOverflow/can-i-take-over-xyz"),
+    ("Ngrok", ["ngrok.io"], "https://ngrok.com/docs#http-custom-domains"),
+    ("Readme.io", ["readme.io"], "https://github.com/EdOverflow/can-i-take-over-xyz/issues/41"),
+    ("Shopify", ["myshopify.com"], "https://github.com/EdOverflow/can-i-take-over-xyz"),
+    ("Strikingly", ["s.strikinglydns.com"], "https://medium.com/@sherif0x00/takeover-subdomains-pointing-to-strikingly-5e67df80cdfd"),
+    ("Surge.sh", ["na-west1.surge.sh"], "https://surge.sh/help/adding-a-custom-domain"),
+    ("SurveySparrow", ["surveysparrow.com"], "https://help.surveysparrow.com/custom-domain"),
+    ("Uberflip", ["read.uberflip.com"], "https://help.uberflip.com/hc/en-us/articles/360018786372-Custom-Domain-Set-up-Your-Hub-on-a-Subdomain"),
+    ("Uptimerobot", ["stats.uptimerobot.com"], "https://exploit.linuxsec.org/uptimerobot-com-custom-domain-subdomain-takeover/"),
+    ("Vercel", ["vercel-dns.com", "vercel.app"], "https://github.com/EdOverflow/can-i-take-over-xyz"),
+    ("Wordpress", ["wordpress.com"], "https://github.com/EdOverflow/can-i-take-over-xyz/pull/176"),
+    ("Worksites", ["worksites.net"], "https://github.com/EdOverflow/can-i-take-over-xyz/issues/142"),
+    ("Zendesk", ["zendesk.com"], "https://github.com/EdOverflow/can-i-take-over-xyz"),
+]
 
 STATUSES = ("resolved", "nx_domain", "no_data", "serv_fail", "refused", "timeout", "transport_error")
 
@@ -72,33 +70,31 @@ def lookup_domains(findings: DataFrame, observed: DataFrame | None) -> DataFrame
     return (names if observed is None else names.union(observed.select("domain"))).distinct()
 
 
-def _system_lookup(domain: str, timeout: float = 5.0) -> dict:
-    socket.setdefaulttimeout(timeout)
-    try:
-        name, _, _ = socket.gethostbyname_ex(domain)
-        ips = sorted({x[4][0] for x in socket.getaddrinfo(domain, None)})
-        chain = [name] if name.lower().rstrip(".") != domain else []
-        return {"domain": domain, "resolved": bool(ips), "status": "resolved" if ips else "no_data", "ips": ips, "cname_chain": chain, "errors": []}
-    except socket.gaierror as e:
-        status = {socket.EAI_NONAME: "nx_domain", socket.EAI_AGAIN: "serv_fail"}.get(e.errno, "transport_error")
-        return {"domain": domain, "resolved": False, "status": status, "ips": [], "cname_chain": [], "errors": [str(e)]}
-    except TimeoutError:
-        return {"domain": domain, "resolved": False, "status": "timeout", "ips": [], "cname_chain": [], "errors": ["timed out"]}
+def resolve(domains: DataFrame, concurrency: int = 16, lookup: Callable[[str], dict] | None = None) -> DataFrame:
+    """schemas.DNS of each name by live lookups, `concurrency` at a time in each task.
 
-
-def resolve(domains: DataFrame, concurrency: int = 16, lookup: Callable[[str], dict] = _system_lookup) -> DataFrame:
-    """schemas.DNS of each name by live lookups, `concurrency` at a time in each task."""
+    lookup gives (domain, ips, cname_chain, error) of a name; without one, the servers that the machine of the task names
+    are asked.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from concurrent.futures import ThreadPoolExecutor
 
+        from ..sources.resolver import Resolver
+
+        ask = lookup or Resolver()
         with ThreadPoolExecutor(concurrency) as pool:
             for batch in batches:
-                rows = list(pool.map(lookup, batch["domain"]))
-                yield pd.DataFrame(rows, columns=["domain", "resolved", "status", "ips", "cname_chain", "errors"])
+                rows = list(pool.map(ask, batch["domain"]))
+                yield pd.DataFrame(rows, columns=["domain", "ips", "cname_chain", "error"])
 
     ship(domains.sparkSession)
-    return domains.select("domain").mapInPandas(run, schemas.DNS)
+    told = domains.select("domain").mapInPandas(run, "domain string, ips array<string>, cname_chain array<string>, error string")
+    return told.select("domain", (F.size("ips") > 0).alias("resolved"), answer(F.col("ips"), D.classify_dns_error(F.col("error"))).alias("status"), "ips", "cname_chain", errors_of(F.col("error")).alias("errors"))
+
+
+def errors_of(error: Column) -> Column:
+    return F.when(error.isNull(), F.array().cast("array<string>")).otherwise(F.array(error))
 
 
 def answer(ips: Column, status: Column | None = None) -> Column:
