@@ -1,15 +1,19 @@
-"""Signed checkpoints of logs: parsing as columns, signatures on the driver."""
+"""Signed checkpoints of logs: parsing as columns, or of one text where signatures are checked."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .signatures import verified
+
 
 def parse(text: Column) -> Column:
     """struct<origin, size, root_hash, signatures, error>. error says why a text is not a checkpoint; the other fields are then null."""
@@ -79,40 +83,75 @@ def signature_parts(line: str) -> tuple[str, bytes, bytes]:
     return parts[0], raw[:4], raw[4:]
 
 
-#: TLS hash and signature algorithms, and the JVM's names of them.
-_HASHES, _SIGNERS = {4: "SHA256", 5: "SHA384", 6: "SHA512"}, {1: ("withRSA", "RSA"), 3: ("withECDSA", "EC")}
+#: TLS hash and signature algorithms.
+_HASHES, _SIGNERS = {4: "sha256", 5: "sha384", 6: "sha512"}, {1: "RSA", 3: "EC"}
 
 
 def tree_head(timestamp: int, size: int, root: bytes) -> bytes:
     return struct.pack(">BBQQ", 0, 1, timestamp, size) + root
 
 
-def verify(spark: SparkSession, origin: str, size: int, root_hash: str, signatures: list[str], key: Key) -> bool:
-    """Whether the first signature by the key is right, checked by the driver's JVM; without one by it, CheckpointError."""
+def verify(origin: str, size: int, root_hash: str, signatures: list[str], key: Key) -> bool:
+    """Whether the first signature by the key is right; without one by it, CheckpointError."""
     if origin != key.origin:
         raise CheckpointError("another log's checkpoint")
     for line in signatures:
         name, key_id, body = signature_parts(line)
         if name != key.origin or key_id != key.key_id():
             continue
+        if len(body) < 12:
+            raise CheckpointError("short signature")
         timestamp, hash_, signer, n = struct.unpack(">QBBH", body[:12])
         if len(body) != 12 + n:
             raise CheckpointError("bad signature length")
         if hash_ not in _HASHES or signer not in _SIGNERS or (signer == 3 and hash_ == 6):
             return False
-        jvm = spark._jvm
-        suffix, family = _SIGNERS[signer]
-        public = jvm.java.security.KeyFactory.getInstance(family).generatePublic(jvm.java.security.spec.X509EncodedKeySpec(bytearray(key.spki)))
-        check = jvm.java.security.Signature.getInstance(_HASHES[hash_] + suffix)
-        check.initVerify(public)
-        check.update(bytearray(tree_head(timestamp, size, base64.b64decode(root_hash))))
-        return bool(check.verify(bytearray(body[12:])))
+        return verified(key.spki, _SIGNERS[signer], _HASHES[hash_], tree_head(timestamp, size, base64.b64decode(root_hash)), body[12:])
     raise CheckpointError("no signature by the trusted key")
 
 
-def consistent(previous_size: int, previous_root: str | None, size: int, root: str) -> None:
-    """CheckpointError if a log has shrunk, or has another root for the same size."""
-    if previous_size and size < previous_size:
-        raise CheckpointError("the log has rolled back")
-    if previous_size and previous_root and size == previous_size and root != previous_root:
-        raise CheckpointError("two roots for one size")
+_CONTROL = re.compile(r"[\x00-\x09\x0B-\x1F\x7F]")
+
+
+@dataclass(frozen=True)
+class Checkpoint:
+    origin: str
+    size: int
+    root_hash: str
+    signatures: list[str]
+
+    @classmethod
+    def of(cls, text: str) -> Checkpoint:
+        """What parse() gives of one text, on the driver or in a data source; CheckpointError says why it is none."""
+        note, blank, signed = text.rpartition("\n\n")
+        lines = note.split("\n")
+        signatures = [x for x in signed.split("\n") if x]
+        for wrong, why in (
+            (bool(_CONTROL.search(text)), "control character"),
+            (not blank, "no signature block"),
+            (len([x for x in lines if x]) != 3, "not three lines"),
+            (not re.fullmatch("0|[1-9][0-9]{0,18}", lines[1] if len(lines) > 1 else "") or int(lines[1]) >= 1 << 63, "bad size"),
+            (not re.fullmatch("[A-Za-z0-9+/]{43}=", lines[2] if len(lines) > 2 else ""), "bad root hash"),
+            (not signatures, "no signature"),
+            (not all(x.startswith("— ") for x in signatures), "bad signature line"),
+        ):
+            if wrong:
+                raise CheckpointError(why)
+        return cls(lines[0], int(lines[1]), lines[2], signatures)
+
+
+def consistent(previous_size: int, previous_root: str | None, size: int, root: str, root_of: Callable[[int], str] | None = None) -> None:
+    """CheckpointError if a log has shrunk, has another root for the same size, or no longer has the old root at the old size.
+
+    Roots are base64. root_of(size) is the root that the log's tiles give now; without it the old tree is not recomputed.
+    """
+    if not previous_size:
+        return
+    if size < previous_size:
+        raise CheckpointError(f"the log has rolled back from {previous_size} to {size}")
+    if previous_root is None:
+        return
+    if root_of is not None and root_of(previous_size) != previous_root:
+        raise CheckpointError(f"the tree of {previous_size} entries no longer has its root")
+    if size == previous_size and root != previous_root:
+        raise CheckpointError(f"two roots for {size} entries")

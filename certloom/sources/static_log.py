@@ -6,6 +6,7 @@ plan. Tasks fetch and decode tiles.
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import time
@@ -20,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from ..config import ConfigError, ct_base_url
 from ..functions import merkle
+from ..functions.checkpoints import Checkpoint, CheckpointError, Key, consistent, verify
 from ..operators import decode
 
 MAX_CHECKPOINT, MAX_TILE = 64 << 10, 64 << 20
@@ -130,6 +132,19 @@ class Log:
             out = hashlib.sha256(b"\x01" + roots.pop() + out).digest()
         return out
 
+    def root_hash(self, size: int) -> str:
+        return base64.b64encode(self.root(size)).decode()
+
+    def verified(self, key: Key | None, before: tuple[int, str | None] = (0, None)) -> Checkpoint:
+        """The log's checkpoint now: signed by the key (if one is given), consistent with the (size, root hash) seen before, and the root of the tree."""
+        now = Checkpoint.of(self.checkpoint())
+        if key is not None and not verify(now.origin, now.size, now.root_hash, now.signatures, key):
+            raise CheckpointError("bad signature")
+        consistent(*before, now.size, now.root_hash, self.root_hash)
+        if self.root_hash(now.size) != now.root_hash:
+            raise LogError("the checkpoint's root is not the tree's")
+        return now
+
     def entries(self, size: int, index: int) -> list[dict]:
         """Entries of a data tile, each checked against the log's hash of it."""
         width = width_of(size, 0, index)
@@ -169,58 +184,65 @@ class _Tile(InputPartition):
     index: int
     size: int
     first: int
+    end: int
 
 
 class _Reader:
     def __init__(self, options: dict):
         self.log = mirror(options["mirror"]) if options.get("mirror") else Log(options["url"])
         self.options = options
+        self.key = Key.of(options["origin"], options["publickey"], options.get("logid")) if options.get("publickey") else None
+        self.first = int(options.get("firstentry", 0))
 
-    def size(self) -> int:
-        lines = self.log.checkpoint().split("\n")
-        size = int(lines[1])
-        if size and self.log.root(size) != __import__("base64").b64decode(lines[2]):
-            raise LogError("the checkpoint's root is not the tree's")
-        return size
+    def tiles(self, first: int, end: int, size: int) -> list[_Tile]:
+        """The tiles of entries first to before end of a tree of size entries."""
+        return [_Tile(i, size, first, end) for i in range(first // TILE, -(-end // TILE))]
 
     def read(self, partition: _Tile) -> Iterator[tuple]:
         for row in self.log.entries(partition.size, partition.index):
-            if row["index"] >= partition.first:
+            if partition.first <= row["index"] < partition.end:
                 yield (row["index"], row["timestamp_millis"], row["kind"], row["merkle_leaf_hash"], row["certificate_der"], row["chain_fingerprints"], row["extensions_len"])
 
 
 class _Batch(_Reader, DataSourceReader):
     def partitions(self) -> list[_Tile]:
-        size, first = self.size(), int(self.options.get("firstentry", 0))
-        return [_Tile(i, size, first) for i in range(first // TILE, -(-size // TILE))]
+        """Of the tree that the checkpoint now tells of, or, with size, of one that the caller has verified."""
+        size = int(self.options["size"]) if self.options.get("size") else self.log.verified(self.key).size
+        return self.tiles(self.first, min(size, int(self.options.get("end", size))), size)
 
 
 class _Stream(_Reader, DataSourceStreamReader):
-    """Offsets are {"entry": next entry, "size": tree size}; a step has at most maxTiles tiles."""
+    """Offsets are {"entry": next entry, "size": tree size, "root": root hash}; a step has at most maxTiles tiles.
+
+    Each step verifies the checkpoint: its signature if a key is given, the tree, and that the tree of the step before is
+    still part of it.
+    """
 
     def __init__(self, options: dict):
         super().__init__(options)
-        self.at = int(options.get("firstentry", 0))
+        self.at = self.initialOffset()
 
     def initialOffset(self) -> dict:
-        return {"entry": int(self.options.get("firstentry", 0)), "size": 0}
+        return {"entry": self.first, "size": 0, "root": None}
 
     def latestOffset(self) -> dict:
-        size = self.size()
-        end = min(size, (self.at // TILE + int(self.options.get("maxtiles", 1))) * TILE)
-        self.at = max(self.at, end)
-        return {"entry": self.at, "size": size}
+        now = self.log.verified(self.key, (self.at["size"], self.at["root"]))
+        end = min(now.size, (self.at["entry"] // TILE + int(self.options.get("maxtiles", 1))) * TILE)
+        self.at = {"entry": max(self.at["entry"], end), "size": now.size, "root": now.root_hash}
+        return self.at
 
     def partitions(self, start: dict, end: dict) -> list[_Tile]:
-        self.at = max(self.at, end["entry"])
-        return [_Tile(i, end["entry"] if (i + 1) * TILE > end["entry"] else end["size"], start["entry"]) for i in range(start["entry"] // TILE, -(-end["entry"] // TILE))]
+        if end["entry"] > self.at["entry"]:  # a stream that goes on after a restart
+            self.at = end
+        return self.tiles(start["entry"], end["entry"], end["size"])
 
     def commit(self, end: dict) -> None:
-        pass
+        if end["entry"] > self.at["entry"]:
+            self.at = end
 
 
 class StaticLogSource(DataSource):
-    """spark.read / readStream .format("static_log"), with url or mirror, firstEntry and maxTiles."""
+    """spark.read / readStream .format("static_log") with url or mirror; firstEntry, end, size, maxTiles; origin, publicKey, logId of a key that must have signed."""
 
     @classmethod
     def name(cls) -> str:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from certloom.config import demo
-from certloom.functions import checkpoints, merkle, tiles
+from certloom.functions import checkpoints, merkle, signatures, tiles
 from certloom.operators import decode
 from certloom.plans import fixtures, scan
 from certloom.sources import static_log
@@ -64,22 +64,53 @@ def test_checkpoint_signature(spark):
     note = fixtures.checkpoint("log.example", 99, root, key.key_id() + struct.pack(">QBBH", 1234, 4, 3, len(signature)) + signature)
     c = spark.createDataFrame([(note,)], "t string").select(checkpoints.parse(F.col("t")).alias("c")).first()["c"]
     assert (c["error"], c["size"], base64.b64decode(c["root_hash"])) == (None, 99, root)
-    assert checkpoints.verify(spark, c["origin"], 99, c["root_hash"], c["signatures"], key)
-    assert not checkpoints.verify(spark, c["origin"], 100, c["root_hash"], c["signatures"], key)
+    assert checkpoints.verify(c["origin"], 99, c["root_hash"], c["signatures"], key)
+    assert not checkpoints.verify(c["origin"], 100, c["root_hash"], c["signatures"], key)
     with pytest.raises(checkpoints.CheckpointError):
-        checkpoints.verify(spark, "other", 99, c["root_hash"], c["signatures"], key)
+        checkpoints.verify("other", 99, c["root_hash"], c["signatures"], key)
     with pytest.raises(checkpoints.CheckpointError):
         checkpoints.consistent(5, "a", 4, "b")
+    with pytest.raises(checkpoints.CheckpointError):
+        checkpoints.consistent(5, "a", 5, "b")
+    with pytest.raises(checkpoints.CheckpointError):
+        checkpoints.consistent(5, "a", 9, "b", lambda size: "other")
+    checkpoints.consistent(5, "a", 9, "b", lambda size: "a"), checkpoints.consistent(0, None, 9, "b"), checkpoints.consistent(5, None, 9, "b")
     good = note
     bad = ["", "a\nb\n", good.replace("\n99\n", "\nx\n"), good.replace("\n99\n", "\n099\n"), good.replace("\n99\n", "\n99\nmore\n"), good.split("—")[0], good.replace("\n99\n", "\n99\r\n")]
     got = spark.createDataFrame([(x,) for x in bad], "t string").select(checkpoints.parse(F.col("t"))["error"].alias("e")).collect()
     assert all(r["e"] for r in got)
+    for text, row in zip(bad, got, strict=True):
+        with pytest.raises(checkpoints.CheckpointError, match=row["e"]):
+            checkpoints.Checkpoint.of(text)
+    assert checkpoints.Checkpoint.of(note).root_hash == c["root_hash"]
+
+
+@pytest.mark.parametrize(("family", "size", "name", "hash_"), [("EC", 256, "SHA256withECDSA", "sha256"), ("EC", 384, "SHA384withECDSA", "sha384"), ("EC", 384, "SHA256withECDSA", "sha256"), ("RSA", 2048, "SHA256withRSA", "sha256"), ("RSA", 2048, "SHA512withRSA", "sha512")])
+def test_signatures_made_by_the_jvm(spark, family, size, name, hash_):
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    maker = jvm.java.security.KeyPairGenerator.getInstance(family)
+    maker.initialize(size)
+    pair = maker.generateKeyPair()
+    encoded = jvm.java.lang.Class.forName("java.security.Key").getMethod("getEncoded", array(jvm.java.lang.Class, 0))
+    spki = bytes(encoded.invoke(pair.getPublic(), array(jvm.java.lang.Object, 0)))
+    for message in (b"", b"head", b"x" * 1000):
+        signer = jvm.java.security.Signature.getInstance(name)
+        signer.initSign(pair.getPrivate())
+        signer.update(bytearray(message))
+        made = bytes(signer.sign())
+        assert signatures.verified(spki, family, hash_, message, made)
+        assert not signatures.verified(spki, family, hash_, message + b"!", made)
+        assert not signatures.verified(spki, family, hash_, message, made[:-1] + bytes([made[-1] ^ 1]))
+        assert not signatures.verified(spki, family, hash_, message, b"")
+    for key in (spki[:40], spki[:-1] + bytes([spki[-1] ^ 1]) if family == "EC" else b"", b"0"):
+        with pytest.raises(signatures.BadKey):
+            signatures.verified(key, family, hash_, b"m", made)
 
 
 def test_entries_and_certificates():
     cert = fixtures.certificate(["paypa1-login.com", "www.example.test", "*.wild.example.test"], 300)
     got = decode.read_certificate(cert)
-    assert got["san_dns_names"] == ["*.wild.example.test", "paypa1-login.com", "www.example.test"] and got["serial_number"] == "01:2c" and got["not_after"] == "2027-01-01T00:00:00Z"
+    assert sorted(got["san_dns_names"]) == ["*.wild.example.test", "paypa1-login.com", "www.example.test"] and got["serial_number"] == "01:2c" and got["not_after"] == "2027-01-01T00:00:00Z"
     assert decode.read_certificate(cert + b"x")["error"] and decode.read_certificate(b"")["error"] and decode.read_certificate(cert[:40])["error"]
     whole = fixtures.entry(5, cert)
     row = decode.read_tile(whole, 0, 1)[0]
