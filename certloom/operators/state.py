@@ -58,6 +58,18 @@ def remember(records: DataFrame, emitted: DataFrame, now: int) -> DataFrame:
     )
 
 
+def changed(records: DataFrame, emitted: DataFrame, now: int) -> DataFrame:
+    """Of remember(), the records of what was emitted now: what a step adds, where newest_records() puts the steps together."""
+    keys = emitted.select("key").distinct()
+    return remember(records.join(keys, "key", "left_semi"), emitted, now)
+
+
+def newest_records(parts: DataFrame) -> DataFrame:
+    """Of the records of several steps the last of each key."""
+    rest = [c for c in parts.columns if c not in ("key", "last_seen_unix")]
+    return parts.groupBy("key").agg(F.max(F.struct("last_seen_unix", "expires_at_unix", D.severity_rank(F.col("highest_severity")).alias("rank"), *[c for c in rest if c != "expires_at_unix"])).alias("last")).select("key", "last.highest_severity", "last.first_seen_unix", "last.last_seen_unix", "last.expires_at_unix")
+
+
 def prune(records: DataFrame, now: int) -> DataFrame:
     return records.where(F.col("expires_at_unix") > now)
 
