@@ -36,6 +36,7 @@ def _evidence(kind: str, value: Column) -> Column:
 
 
 NO_EVIDENCE = "array<struct<kind:string,value:string>>"
+RULES = f"array<struct<score:int,reason:string,evidence:{NO_EVIDENCE}>>"
 
 
 def _finding(detector: str, score: Column, reasons: Column, evidence: Column) -> Column:
@@ -57,22 +58,44 @@ def protected_names(cfg: Config) -> list[str]:
     return _clean([*cfg.brands, *map(label, cfg.official_domains)], 3)
 
 
+def _each(kind: str, words: Column, score: Callable[[Column], Column], reason: str) -> Column:
+    """An array with the finding of the words that a name has, or without one if it has none."""
+    made = F.transform(
+        F.array(words),
+        lambda m: _finding(kind, score(F.size(m)), F.transform(m, lambda k: F.concat(F.lit(f"{reason} `"), k, F.lit("`"))), F.transform(m, lambda k: _evidence(kind, k))),
+    )
+    return F.filter(made, lambda f: F.size(f["reasons"]) > 0)
+
+
+def keyword_finding(words: Column) -> Column:
+    return _each("keyword", words, lambda n: 30 + F.least(10 * (n - 1), F.lit(30)), "domain contains suspicious keyword")
+
+
+def brand_finding(words: Column) -> Column:
+    return _each("brand", words, lambda n: F.least(50 + 10 * (n - 1), F.lit(80)), "domain contains protected brand")
+
+
+def _among_tokens(words: list[str]) -> Column:
+    return F.filter(_strings(words), lambda k: F.array_contains(F.col("tokens"), k))
+
+
 def keyword(cfg: Config) -> Column:
     words = _clean(cfg.keywords)
-    if not words:
-        return F.lit(None)
-    found = F.filter(_strings(words), lambda k: F.array_contains(F.col("tokens"), k))
-    made = F.transform(F.array(found), lambda m: _finding("keyword", 30 + F.least(10 * (F.size(m) - 1), F.lit(30)), F.transform(m, lambda k: F.concat(F.lit("domain contains suspicious keyword `"), k, F.lit("`"))), F.transform(m, lambda k: _evidence("keyword", k))))
-    return F.filter(made, lambda f: F.size(f["reasons"]) > 0)
+    return keyword_finding(_among_tokens(words)) if words else F.lit(None)
 
 
 def brand(cfg: Config) -> Column:
     words = _clean(cfg.brands)
-    if not words:
-        return F.lit(None)
-    found = F.filter(_strings(words), lambda k: F.array_contains(F.col("tokens"), k))
-    made = F.transform(F.array(found), lambda m: _finding("brand", F.least(50 + 10 * (F.size(m) - 1), F.lit(80)), F.transform(m, lambda k: F.concat(F.lit("domain contains protected brand `"), k, F.lit("`"))), F.transform(m, lambda k: _evidence("brand", k))))
-    return F.filter(made, lambda f: F.size(f["reasons"]) > 0)
+    return brand_finding(_among_tokens(words)) if words else F.lit(None)
+
+
+def typosquat_finding(official: Column, label: Column, candidate: Column, distance: Column) -> Column:
+    return _finding(
+        "typosquat",
+        F.when(distance == 1, 85).when(distance == 2, 70).otherwise(55),
+        F.array(F.concat(F.lit("domain label candidate `"), candidate, F.lit("` is edit-distance "), distance.cast("string"), F.lit(" from `"), label, F.lit("`"))),
+        F.array(_evidence("official_domain", official), _evidence("suspicious_label", F.col("reg_label")), _evidence("candidate_label", candidate), _evidence("distance_algorithm", F.lit("damerau_levenshtein")), _evidence("distance", distance)),
+    )
 
 
 def typosquat(cfg: Config, max_distance: int = MAX_DISTANCE) -> Column:
@@ -92,23 +115,18 @@ def typosquat(cfg: Config, max_distance: int = MAX_DISTANCE) -> Column:
         near = F.filter(candidates, lambda c: (c != o["label"]) & (F.abs(F.length(c) - F.length(o["label"])) <= o["most"]) & (D.edit_distance(c, o["label"], 2 * most) >= 0))
         return F.filter(F.transform(near, lambda c: F.struct(c.alias("label"), D.osa_distance(c, o["label"]).alias("distance"))), lambda x: x["distance"].between(1, o["most"]))
 
-    def finding(o: Column, x: Column) -> Column:
-        return _finding(
-            "typosquat",
-            F.when(x["distance"] == 1, 85).when(x["distance"] == 2, 70).otherwise(55),
-            F.array(F.concat(F.lit("domain label candidate `"), x["label"], F.lit("` is edit-distance "), x["distance"].cast("string"), F.lit(" from `"), o["label"], F.lit("`"))),
-            F.array(_evidence("official_domain", o["domain"]), _evidence("suspicious_label", F.col("reg_label")), _evidence("candidate_label", x["label"]), _evidence("distance_algorithm", F.lit("damerau_levenshtein")), _evidence("distance", x["distance"])),
-        )
-
     others = F.filter(table, lambda o: o["domain"] != F.col("domain"))
-    best = F.transform(F.array(D.squat_candidates(F.col("reg_label"), _clean(cfg.keywords))), lambda cs: F.flatten(F.transform(others, lambda o: F.transform(F.slice(close(cs, o), 1, 1), lambda x: finding(o, x)))))
+    best = F.transform(F.array(D.squat_candidates(F.col("reg_label"), _clean(cfg.keywords))), lambda cs: F.flatten(F.transform(others, lambda o: F.transform(F.slice(close(cs, o), 1, 1), lambda x: typosquat_finding(o["domain"], o["label"], x["label"], x["distance"])))))
     return F.flatten(best)
 
 
 def homoglyph(cfg: Config) -> Column:
-    names = protected_names(cfg)
     shapes = D.skeleton_labels(F.col("skeleton"))
-    hit = F.filter(_strings(names), lambda p: F.array_contains(shapes, p))
+    return homoglyph_finding(F.filter(_strings(protected_names(cfg)), lambda p: F.array_contains(shapes, p)))
+
+
+def homoglyph_finding(hit: Column) -> Column:
+    """hit: protected names that a name's skeleton has as labels."""
     letters, mixed = D.glyphs(F.col("unicode")), D.mixes_scripts(F.col("unicode"))
     none = F.array().cast(NO_EVIDENCE)
     reasons = F.concat(
@@ -130,34 +148,60 @@ def action_terms(cfg: Config) -> Column:
     return F.filter(F.col("tokens"), lambda t: F.array_contains(known, t))
 
 
-def composition(cfg: Config) -> Column:
-    """How a name is put together: action terms, ending, hyphens, depth, protected names. Rules in order; the highest score counts."""
-    label, n = F.col("reg_label"), F.size("labels")
-    tld, hyphens = F.element_at("labels", -1), F.length(F.col("reg_label")) - F.length(F.replace(F.col("reg_label"), F.lit("-"), F.lit("")))
+def _rule(score: Column | int, reason: Column, *evidence: Column) -> Column:
+    return F.struct((F.lit(score) if isinstance(score, int) else score).cast("int").alias("score"), reason.alias("reason"), F.array(*evidence).cast(NO_EVIDENCE).alias("evidence"))
+
 
-    def rule(score: Column | int, reason: Column, *evidence: Column) -> Column:
-        return F.struct((F.lit(score) if isinstance(score, int) else score).cast("int").alias("score"), reason.alias("reason"), F.array(*evidence).cast(NO_EVIDENCE).alias("evidence"))
+def protected_rule(kind: Column, protected: Column, token: Column) -> Column:
+    """Kind 0: the label has a protected name beside a term; 1: it is one but for digits; 2: the token is."""
+    name, label = _evidence("composition.protected_name", protected), F.col("reg_label")
+    like = F.concat(F.lit("` normalizes to protected name `"), protected, F.lit("` after digit substitution"))
+    return (
+        F.when(kind == 0, _rule(75, F.concat(F.lit("domain combines protected name `"), protected, F.lit("` with security-action term(s)")), name))
+        .when(kind == 1, _rule(80, F.concat(F.lit("registrable label `"), label, like), name, _evidence("composition.digit_substitution", D.undo_digits(label))))
+        .otherwise(_rule(80, F.concat(F.lit("domain token `"), token, like), name, _evidence("composition.digit_substitution", D.undo_digits(token))))
+    )
+
+
+def composition_finding(terms: Column, protected: Callable[[Column], Column]) -> Column:
+    """How a name is put together: action terms, ending, hyphens, depth, then the rules of protected names. The highest score counts."""
+    n = F.size("labels")
+    tld, hyphens = F.element_at("labels", -1), F.length(F.col("reg_label")) - F.length(F.replace(F.col("reg_label"), F.lit("-"), F.lit("")))
 
     def rules(terms: Column) -> Column:
+        of_terms = F.struct(
+            F.when(F.size(terms) >= 3, 55).otherwise(45).alias("score"),
+            F.concat(F.lit("domain combines multiple security-action terms: "), F.array_join(terms, ", ")).alias("reason"),
+            F.transform(terms, lambda t: _evidence("composition.action_term", t)).alias("evidence"),
+        )
         fired = [
-            F.when(F.size(terms) >= 2, F.struct(F.when(F.size(terms) >= 3, 55).otherwise(45).alias("score"), F.concat(F.lit("domain combines multiple security-action terms: "), F.array_join(terms, ", ")).alias("reason"), F.transform(terms, lambda t: _evidence("composition.action_term", t)).alias("evidence"))),
-            F.when(tld.isin(*RISKY_TLDS), rule(30, F.concat(F.lit("domain uses high-abuse or campaign-friendly TLD `"), tld, F.lit("`")), _evidence("composition.risky_tld", tld))),
-            F.when(hyphens >= 2, rule(F.when(hyphens >= 3, 45).otherwise(35), F.concat(F.lit("registrable label contains "), hyphens.cast("string"), F.lit(" hyphens, a common phishing composition pattern")), _evidence("composition.hyphen_count", hyphens))),
-            F.when(n >= 4, rule(30, F.concat(F.lit("domain uses deep label nesting with "), n.cast("string"), F.lit(" DNS labels")), _evidence("composition.label_count", n))),
+            F.when(F.size(terms) >= 2, of_terms),
+            F.when(tld.isin(*RISKY_TLDS), _rule(30, F.concat(F.lit("domain uses high-abuse or campaign-friendly TLD `"), tld, F.lit("`")), _evidence("composition.risky_tld", tld))),
+            F.when(hyphens >= 2, _rule(F.when(hyphens >= 3, 45).otherwise(35), F.concat(F.lit("registrable label contains "), hyphens.cast("string"), F.lit(" hyphens, a common phishing composition pattern")), _evidence("composition.hyphen_count", hyphens))),
+            F.when(n >= 4, _rule(30, F.concat(F.lit("domain uses deep label nesting with "), n.cast("string"), F.lit(" DNS labels")), _evidence("composition.label_count", n))),
         ]
-        for p in protected_names(cfg):
-            same = lambda t, p=p: D.undo_digits(t) == p
-            fired.append(F.when((label != p) & F.contains(label, F.lit(p)) & (F.size(terms) > 0), rule(75, F.lit(f"domain combines protected name `{p}` with security-action term(s)"), _evidence("composition.protected_name", F.lit(p)))))
-            fired.append(F.when((label != p) & same(label), rule(80, F.concat(F.lit("registrable label `"), label, F.lit(f"` normalizes to protected name `{p}` after digit substitution")), _evidence("composition.protected_name", F.lit(p)), _evidence("composition.digit_substitution", D.undo_digits(label)))))
-            token = F.get(_unlike(p), F.lit(0))
-            fired.append(F.when(token.isNotNull(), rule(80, F.concat(F.lit("domain token `"), token, F.lit(f"` normalizes to protected name `{p}` after digit substitution")), _evidence("composition.protected_name", F.lit(p)), _evidence("composition.digit_substitution", D.undo_digits(token)))))
-        return F.filter(F.array(*fired), lambda r: r.isNotNull())
-
-    made = F.transform(F.array(action_terms(cfg)), rules)
+        return F.filter(F.concat(F.array(*fired), protected(terms)), lambda r: r.isNotNull())
+
+    made = F.transform(F.array(terms), rules)
     made = F.transform(made, lambda rs: _finding("composition", F.array_max(F.transform(rs, lambda r: r["score"])), F.transform(rs, lambda r: r["reason"]), F.flatten(F.transform(rs, lambda r: r["evidence"]))))
     return F.filter(made, lambda f: F.size(f["reasons"]) > 0)
 
 
+def composition(cfg: Config) -> Column:
+    label = F.col("reg_label")
+
+    def protected(terms: Column) -> Column:
+        fired = []
+        for p in protected_names(cfg):
+            token, name = F.get(_unlike(p), F.lit(0)), F.lit(p)
+            fired.append(F.when((label != p) & F.contains(label, name) & (F.size(terms) > 0), protected_rule(F.lit(0), name, token)))
+            fired.append(F.when((label != p) & (D.undo_digits(label) == p), protected_rule(F.lit(1), name, token)))
+            fired.append(F.when(token.isNotNull(), protected_rule(F.lit(2), name, token)))
+        return F.array(*fired) if fired else F.array().cast(RULES)
+
+    return composition_finding(action_terms(cfg), protected)
+
+
 def _unlike(p: str) -> Column:
     return F.filter(F.col("tokens"), lambda t: (t != p) & (D.undo_digits(t) == p))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import ACTION_TERMS, DEFAULT_KEYWORDS, demo
 from ..functions import checkpoints, domains as D, merkle, tiles
-from ..operators import decode, detectors, dns, scoring, sinks, state
+from ..operators import decode, detectors, dns, list_detectors, scoring, sinks, state
 from . import fixtures, scan
 
 CFG = demo()
@@ -24,6 +24,7 @@ TEMPLATES = (
     "microsoft-login.com", "my-paypal{n}.xyz", "a-b-c-d.com", "secure.example.co.uk", "mylogin.com", "*.wild{n}.example.net",
     "host{n}.example.org", "g1thub-verify.click", "login.microsoftonline.com", "bad_label{n}.com", "localhost", "  shop{n}.verify-billing.icu. ",
     "paypal{n}.com", "reset-paypa1-{n}.support", "x..com", "-edge.com", "deep.a.b.c.example.de", "git-hub.com", "a/b{n}.com", "paypaI.com",
+    "paypa1.com", "www.micr0s0ft.net",
 )
 
 
@@ -261,6 +262,23 @@ for _name, _sql in _O_DETECT.items():
     ORACLES[f"detect_{_name}"] = f"WITH {_O_LIVE} SELECT idx, domain, score, array_to_string(reasons, '|') AS reasons, array_to_string(evidence, '|') AS evidence FROM ({_sql})"
 
 
+def _listed(name: str) -> Run:
+    """The same findings by joins with the lists as tables."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        kept = observed(spark, sf).where(~detectors.allowed(F.col("domain"), CFG))
+        rows = list_detectors.detect(kept, list_detectors.Lists.of(spark, CFG), [name])
+        own = F.slice("evidence", 1, F.size("evidence") - 4)
+        return rows.select(F.col("certificate_index").alias("idx"), "domain", "score", F.array_join("reasons", "|").alias("reasons"), _pairs(own).alias("evidence"))
+
+    return run
+
+
+for _name in _O_DETECT:
+    QUERIES[f"detect_{_name}_join"] = _listed(_name)
+    ORACLES[f"detect_{_name}_join"] = ORACLES[f"detect_{_name}"]
+
+
 def _rule(name: str, condition: str, score: str, reason: str, starts: str) -> None:
     """One rule of composition: the findings that give its reason."""
 
