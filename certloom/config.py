@@ -71,6 +71,8 @@ class Config:
     official_domains: list[str] = field(default_factory=list)
     keywords: list[str] = field(default_factory=lambda: list(DEFAULT_KEYWORDS))
     allowlist: list[str] = field(default_factory=list)
+    #: Look-alike letters as JSON text, in place of the built-in ones.
+    lookalikes: str | None = None
     outputs: Outputs = field(default_factory=Outputs)
     dns: Dns = field(default_factory=Dns)
     ct: Ct = field(default_factory=Ct)

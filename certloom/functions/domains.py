@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,20 +93,22 @@ def registrable_label(domain: Column, multi: tuple[str, ...] = MULTI_SUFFIXES) -
 def registrable_by_join(df: DataFrame, rules: DataFrame, domain: str = "domain", broadcast_below: int = 200_000) -> DataFrame:
     """df with a column registrable, by the rules (suffix, kind: rule, wildcard or exception) of a public suffix list.
 
-    Every name is tried with all its endings, at most as many as it has labels, in an equi-join; the rules are
+    Each distinct name is tried with all its endings, at most as many as it has labels, in an equi-join; the rules are
     broadcast if there are fewer than broadcast_below, else joined by shuffle.
     """
-    parts = F.split(F.col(domain), "[.]")
+    names = df.select(F.col(domain).alias("__name")).where("__name is not null").distinct()
+    parts = F.split("__name", "[.]")
     n = F.size(parts)
     ends = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("n"), F.array_join(F.slice(parts, n - i + 1, i), ".").alias("suffix")))
-    keyed = df.withColumn("__row", F.monotonically_increasing_id())
-    tried = keyed.select("__row", F.explode(ends).alias("e")).select("__row", "e.n", F.col("e.suffix").alias("suffix"))
+    tried = names.select("__name", F.explode(ends).alias("e")).select("__name", "e.n", F.col("e.suffix").alias("suffix"))
     small = rules.limit(broadcast_below + 1).count() <= broadcast_below
     hit = tried.join(F.broadcast(rules) if small else rules, "suffix")
     depth = F.max(F.when(F.col("kind") == "exception", 1000 + F.col("n") - 1).when(F.col("kind") == "wildcard", F.col("n") + 1).otherwise(F.col("n")))
-    depth = hit.groupBy("__row").agg(depth.alias("__depth"))
+    depth = hit.groupBy("__name").agg(depth.alias("__depth"))
+    own = F.split(F.col(domain), "[.]")
     size = F.coalesce(F.pmod("__depth", F.lit(1000)), F.lit(1))
-    return keyed.join(depth, "__row", "left").withColumn("registrable", F.array_join(F.slice(parts, F.greatest(n - size, F.lit(1)), F.least(size + 1, n)), ".")).drop("__row", "__depth")
+    joined = df.join(depth, df[domain] == depth["__name"], "left")
+    return joined.withColumn("registrable", F.array_join(F.slice(own, F.greatest(F.size(own) - size, F.lit(1)), F.least(size + 1, F.size(own))), ".")).drop("__name", "__depth")
 
 
 def public_suffix_rules(lines: list[str]) -> list[tuple[str, str]]:
@@ -143,9 +147,23 @@ LOOKALIKES = {
 }
 
 
-def glyphs(name: Column) -> Column:
+#: Of these the ones that count where a list of one's own cannot be read.
+FEW_LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "і": "i", "ӏ": "l"}
+
+
+def lookalikes_of(text: str) -> dict[str, str]:
+    """Look-alikes of a JSON object of single characters; FEW_LOOKALIKES if it is none, or has anything else in it."""
+    try:
+        found = json.loads(text)
+    except ValueError:
+        return FEW_LOOKALIKES
+    ok = isinstance(found, dict) and all(isinstance(v, str) and len(k) == len(v) == 1 for k, v in found.items())
+    return dict(sorted(found.items())) if ok else FEW_LOOKALIKES
+
+
+def glyphs(name: Column, table: dict[str, str] = LOOKALIKES) -> Column:
     """array<struct<glyph, letter>> of look-alike letters, in order, with repeats."""
-    keys, values = "".join(LOOKALIKES), "".join(LOOKALIKES.values())
+    keys, values = "".join(table), "".join(table.values())
     found = F.filter(F.split(name, ""), lambda c: F.contains(F.lit(keys), c) & (c != ""))
     return F.transform(found, lambda c: F.struct(c.alias("glyph"), F.translate(c, keys, values).alias("letter")))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,20 +85,24 @@ def skeleton_of(name: str, table: dict[str, str]) -> str:
     return unicodedata.normalize("NFD", shapes).lower()
 
 
+def _mapped(names: pd.Series, make: Callable[[str], str | None]) -> pd.Series:
+    return pd.Series([None if x is None or x != x else make(x) for x in names.tolist()], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def _ascii(names: pd.Series) -> pd.Series:
-    return names.map(to_ascii, na_action="ignore")
+    return _mapped(names, to_ascii)
 
 
 @F.pandas_udf(T.StringType())
 def _unicode(names: pd.Series) -> pd.Series:
-    return names.map(to_unicode, na_action="ignore")
+    return _mapped(names, to_unicode)
 
 
 def _skeletons(table: dict[str, str]):
     @F.pandas_udf(T.StringType())
     def skeletons(names: pd.Series) -> pd.Series:
-        return names.map(lambda x: skeleton_of(x, table), na_action="ignore")
+        return _mapped(names, lambda x: skeleton_of(x, table))
 
     return skeletons
 

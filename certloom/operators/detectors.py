@@ -122,12 +122,13 @@ def typosquat(cfg: Config, max_distance: int = MAX_DISTANCE) -> Column:
 
 def homoglyph(cfg: Config) -> Column:
     shapes = D.skeleton_labels(F.col("skeleton"))
-    return homoglyph_finding(F.filter(_strings(protected_names(cfg)), lambda p: F.array_contains(shapes, p)))
+    table = D.LOOKALIKES if cfg.lookalikes is None else D.lookalikes_of(cfg.lookalikes)
+    return homoglyph_finding(F.filter(_strings(protected_names(cfg)), lambda p: F.array_contains(shapes, p)), table)
 
 
-def homoglyph_finding(hit: Column) -> Column:
-    """hit: protected names that a name's skeleton has as labels."""
-    letters, mixed = D.glyphs(F.col("unicode")), D.mixes_scripts(F.col("unicode"))
+def homoglyph_finding(hit: Column, table: dict[str, str] = D.LOOKALIKES) -> Column:
+    """hit: protected names that a name's skeleton has as labels; table: look-alike letters."""
+    letters, mixed = D.glyphs(F.col("unicode"), table), D.mixes_scripts(F.col("unicode"))
     none = F.array().cast(NO_EVIDENCE)
     reasons = F.concat(
         F.transform(hit, lambda p: F.concat(F.lit("decoded domain skeleton matches protected name `"), p, F.lit("`"))),

@@ -86,7 +86,7 @@ def resolve(domains: DataFrame, concurrency: int = 16, lookup: Callable[[str], d
         with ThreadPoolExecutor(concurrency) as pool:
             for batch in batches:
                 rows = list(pool.map(ask, batch["domain"]))
-                yield pd.DataFrame(rows, columns=["domain", "ips", "cname_chain", "error"])
+                yield pd.DataFrame(rows, columns=["domain", "ips", "cname_chain", "error"], dtype=object)
 
     ship(domains.sparkSession)
     told = domains.select("domain").mapInPandas(run, "domain string, ips array<string>, cname_chain array<string>, error string")

@@ -239,7 +239,7 @@ class Watch:
 
             for frame in frames:
                 rows = [r for i in frame["id"] for r in log.entries(size, int(i)) if begin <= r["index"] < end]
-                yield pd.DataFrame({n: [r[n] for r in rows] for n in names})
+                yield pd.DataFrame({n: [r[n] for r in rows] for n in names}, dtype=object)
 
         return tiles.mapInPandas(read, schemas.ENTRIES)
 

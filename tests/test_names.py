@@ -123,7 +123,7 @@ def test_dns_and_takeover(spark):
     assert out["c.com"]["reasons"] == ["r", "DNS resolved to 1 IP address", "DNS CNAME chain contains 1 target"]
     assert [tuple(e) for e in out["d.com"]["evidence"]] == [("k", "v"), ("dns.resolved", "false"), ("dns.status", "timeout"), ("dns.cname", "x.github.io"), ("dns.error", "timed out")]
     assert out["z.com"]["reasons"] == ["r"]
-    live = dns.resolve(answers.select("domain"), 2, lambda d: {"domain": d, "resolved": True, "status": "resolved", "ips": ["::1"], "cname_chain": [], "errors": []})
+    live = dns.resolve(answers.select("domain"), 2, lambda d: {"domain": d, "ips": ["::1"], "cname_chain": [], "error": None})
     assert live.where("resolved").count() == 5
 
 
@@ -146,3 +146,23 @@ def test_dead_letters_and_outbox(spark):
     bad = state.failed(again, spark.createDataFrame([(ids[0], "down")], "id string, error string"))
     assert sorted((r["attempts"], r["last_error"]) for r in bad.collect() if r["last_error"]) == [(1, "down")]
     assert state.delivered(bad, spark.createDataFrame([(ids[0],)], "id string")).count() == 1
+
+
+def test_lookalikes_of_ones_own(spark):
+    assert D.lookalikes_of('{"ø": "o", "а": "a"}') == {"ø": "o", "а": "a"}
+    for bad in ("", "[]", '{"ab": "c"}', '{"a": "bc"}', '{"a": 1}', "{", '{"": "a"}'):
+        assert D.lookalikes_of(bad) == D.FEW_LOOKALIKES
+    rows = detectors.features(spark.createDataFrame([("xn--x-4ga.com",)], "domain string")).withColumn("unicode", F.lit("xø.com"))
+    found = rows.select(F.explode(detectors.homoglyph(Config(brands=["x"], lookalikes='{"ø": "o"}'))).alias("f")).first()["f"]
+    assert "domain contains lookalike character `ø` that may resemble `o`" in found["reasons"]
+
+
+def test_idn_forms():
+    cases = {"Straße.DE": "xn--strae-oqa.de", "bücher。example": "xn--bcher-kva.example", "ﬁnd.com": "find.com", "a\u00adb.com": "ab.com", "\u0301a.com": None, "xn--a.com": None, "xn--strae-oqa.de": "xn--strae-oqa.de", "ｅｘａｍｐｌｅ.com": "example.com", "a\u2028b.com": None}
+    assert {k: idn.to_ascii(k) for k in cases} == cases
+
+
+def test_skeletons_of_unicode_names(spark):
+    table = idn.confusables(spark)
+    shapes = {"pаypаl.com": "paypal.corn", "раураl": "paypal", "micrоsоft": "rnicrosoft", "gοοgle": "google", "paypa1": "paypal", "ｇithub": "github"}
+    assert {k: idn.skeleton_of(k, table) for k in shapes} == shapes
