@@ -63,6 +63,8 @@ def test_decontamination(spark, docs, plain, none):
     whole, other = decontamination.find(docs.select("doc_id", "text"), table)
     assert rows(found.select("doc_id", *names)) == rows(whole.select("doc_id", *other))
     assert decontamination.digest(none, table).count() == 0
+    again = docs.unionAll(docs).withColumns({"n_words": F.lit(1), "__spans": F.lit(2)})
+    assert rows(decontamination.digest(again, table)) == sorted(brute.decontamination(plain + plain, items), key=repr)
     assert decontamination.digest(docs, table.where("false")).where("contaminated").count() == 0
     kept = decontamination.decontaminate(docs.withColumn("__n_words", F.lit("mine")), table)
     assert kept.columns == [*docs.columns, "__n_words"]
@@ -508,6 +510,40 @@ def test_pipeline(spark, docs, texts, tmp_path):
     assert len(rows_) > len(rest) / 2
 
 
+def _tables(spark, folder, docs, labels=(), items=()):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id bigint, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_of_empty_tables(spark, none, tmp_path):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, _tables(spark, tmp_path, none))
+    assert got.count() == 0 and got.columns == [*none.columns, "n_tokens", "weight", "n_copies"]
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, empty and long texts, other columns with the names that operators use."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    long = words(rng, 30_000, 10**6)
+    rows_ = [(None, words(rng, 40), "en", "s", 1), (None, None, None, None, None), (1, None, "en", "s", 0), (2, "", "en", None, 0), (3, long, None, "s", 9), (3, long, None, "s", 9), (4, words(rng, 60), "de", "t", 4), (4, words(rng, 60), "de", "t", 4)]
+    odd = spark.createDataFrame(rows_, SCHEMA).withColumns({c: F.lit(k) for k, c in enumerate(("gone", "of", "__lost", "lost", "hash", "key", "spans", "items", "grade", "_u", "d0", "component_id", "kept", "uid", "ranges"))})
+    item = " ".join(long.split(" ")[100:130])
+    got = corpus_pipeline.run(spark, _tables(spark, tmp_path, odd, [(4, 0), (None, 1)], [(1, item), (2, None), (None, "x y")]))
+    assert got.columns == [*odd.columns, "n_tokens", "weight", "n_copies"]
+    out = got.collect()
+    assert {r["doc_id"] for r in out} <= {None, 1, 2, 3, 4} and all(r["gone"] == 0 and r["ranges"] == 14 for r in out)
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["decontamination"](spark, odd.where("doc_id = 3"), str(tmp_path)).collect()
+    assert len(clean) == 2 and all(item not in r["text"] and r["n_chars"] == len(r["text"]) for r in clean)
+    assert all(f(spark, odd, str(tmp_path)).columns == odd.columns for n, f in stages.items() if n != "mixing")
+    assert stages["near_dedup"](spark, odd, str(tmp_path)).where("doc_id is null").count() == 2  # in no group
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
 
