@@ -222,12 +222,14 @@ def events_and_errors(entries: DataFrame, source_log: str) -> tuple[DataFrame, D
 def certificate_events(parsed: DataFrame) -> DataFrame:
     """schemas.EVENTS and rejected_domains (struct<value, error>) of rows with san_dns_names: valid names, each normal form once, in order."""
     names = F.transform("san_dns_names", lambda s: F.struct(s.alias("original"), D.normalize(s).alias("normalized"), D.is_wildcard(s).alias("is_wildcard"), D.problem(s).alias("error")))
-    valid = F.filter(names, lambda n: n["normalized"].isNotNull())
-    forms = F.array_distinct(F.transform(valid, lambda n: n["normalized"]))
-    first = F.transform(forms, lambda f: F.get(F.filter(valid, lambda n: n["normalized"] == f), F.lit(0)))
+    # a column for each step: as one expression the names would be looked at again wherever they are used
+    rows = parsed.withColumn("__names", names)
+    rows = rows.withColumn("__valid", F.filter("__names", lambda n: n["normalized"].isNotNull()))
+    rows = rows.withColumn("__forms", F.transform("__valid", lambda n: n["normalized"]))
+    first = F.filter("__valid", lambda n, i: F.array_position("__forms", n["normalized"]) == i + 1)  # of equal forms
     domains = F.transform(first, lambda n: F.struct(n["original"].alias("original"), n["normalized"].alias("normalized"), n["is_wildcard"].alias("is_wildcard"), D.has_idn(n["normalized"]).alias("is_idn")))
-    rejected = F.transform(F.filter(names, lambda n: n["normalized"].isNull()), lambda n: F.struct(n["original"].alias("value"), n["error"].alias("error")))
-    return parsed.select("source_log", "index", domains.alias("domains"), "certificate_sha256", "serial_number", "issuer", "not_before", "not_after", "san_dns_names", "observed_at", "source_type", rejected.alias("rejected_domains"))
+    rejected = F.transform(F.filter("__names", lambda n: n["normalized"].isNull()), lambda n: F.struct(n["original"].alias("value"), n["error"].alias("error")))
+    return rows.select("source_log", "index", domains.alias("domains"), "certificate_sha256", "serial_number", "issuer", "not_before", "not_after", "san_dns_names", "observed_at", "source_type", rejected.alias("rejected_domains"))
 
 
 def observations(events: DataFrame) -> DataFrame:

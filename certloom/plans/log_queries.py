@@ -187,6 +187,7 @@ def _tiles(spark: SparkSession, sf: str) -> DataFrame:
             yield frame.assign(bytes=[fixtures.tile(int(i) * tiles.TILE, int(n)) for i, n in zip(frame["index"], frame["n"], strict=True)])
 
     each = events(spark, sf).groupBy(F.floor(F.col("event_id") / tiles.TILE).cast("bigint").alias("index")).agg(F.count("*").alias("n"))
+    each = each.repartition(spark.sparkContext.defaultParallelism, "index")  # few bytes here, many once a tile is made
     rows = each.mapInPandas(made, "index bigint, n bigint, bytes binary")
     return rows.select("index", F.when(F.col("n") < tiles.TILE, F.col("n")).cast("int").alias("width"), "bytes")
 
