@@ -206,7 +206,7 @@ def squat_candidates(label: Column, keywords: list[str]) -> Column:
     variants = [v for k in keywords for v in (f"-{k}", f"{k}-", f"_{k}", f"{k}_")]
     if variants:
         stripped = F.transform(F.array(*map(F.lit, variants)), lambda v: F.when(F.contains(label, v), F.replace(label, v, F.lit(""))).otherwise(""))
-        found = F.concat(found, stripped)
+        found = F.when(label.rlike("[-_]"), F.concat(found, stripped)).otherwise(found)
     return F.array_distinct(F.filter(F.transform(found, F.lower), lambda x: F.octet_length(x) >= 3))
 
 
