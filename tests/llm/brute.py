@@ -173,3 +173,49 @@ def pseudonym(kind, x, key):
             return f"{datetime.date(1800 + a // 12, a % 12 + 1, b + 13):%m/%d}/{1800 + a // 12}"
         except ValueError:
             pass
+
+
+def alignment(docs, left, right):
+    """[(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)]; left: the file of a byte-level BPE, right: of a SentencePiece model."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(left), sentencepiece.SentencePieceProcessor(model_file=right)
+    a.encode_special_tokens = True
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in shown)}
+    out, held = [], Counter()
+    for doc, text in docs:
+        whole = f" {text or ''}".encode()
+        ids_a = a.encode(f" {text or ''}", add_special_tokens=False).ids
+        ids_b = b.encode(text or "")
+        bytes_a = [bytes(letters[c] for c in a.id_to_token(i)) for i in ids_a]
+        bytes_b = [bytes([int(b.id_to_piece(i)[3:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in ids_b]
+        if not text or b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
+            out.append([doc, 0, 0, 0, [], ""])
+            continue
+        spans_a, spans_b = [], []
+        for spans, tokens in ((spans_a, bytes_a), (spans_b, bytes_b)):
+            at = 0
+            for t in tokens:
+                spans.append((at, at := at + len(t)))
+        links, k = [], 0
+        for i, (lo, hi) in enumerate(spans_a):
+            while spans_b[k][1] <= lo:
+                k += 1
+            m = k
+            while m < len(spans_b) and spans_b[m][0] < hi:
+                links.append((ids_a[i], ids_b[m]))
+                m += 1
+        cuts = sorted({e for _, e in spans_a} & {e for _, e in spans_b})
+        groups, lo = [], 0
+        for hi in cuts:
+            inside = lambda ids, spans: ",".join(str(x) for x, s in zip(ids, spans, strict=True) if lo <= s[0] < hi)  # noqa: B023, E731
+            groups.append(f"{inside(ids_a, spans_a)}|{inside(ids_b, spans_b)}")
+            lo = hi
+        held.update(set(links))
+        out.append([doc, len(ids_a), len(ids_b), len(cuts), links, sha(";".join(groups))])
+    top = Counter()
+    for (x, _), n in held.items():
+        top[x] = max(top[x], n)
+    return [(doc, n_a, n_b, n, len(links), sum(held[p] == top[p[0]] for p in links), sum(held[p] for p in links), digest) for doc, n_a, n_b, n, links, digest in out]
