@@ -33,6 +33,11 @@ named AS (SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(min(
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM named
 """
 
+#: The same links at another limit, with their number.
+JACCARD_JOIN = NEAR_DEDUP.replace("100 * n >= 75", "100 * n >= 80").rpartition("SELECT")[0] + """
+SELECT n.doc_id, n_shingles, component_id, coalesce(k, 0) AS n_links FROM named n LEFT JOIN (SELECT a, count(*) AS k FROM ends GROUP BY a) e ON n.doc_id = e.a
+"""
+
 
 def chat(control: str) -> str:
     escaped = lambda c: f"regexp_replace({c}, '<(\\\\*)\\|', '<\\\\\\1|', 'g')"

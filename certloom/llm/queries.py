@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontamination, fingerprints, language_id, line_dedup, manifest, mixing, near_dedup, oracles, pii, repeats, toxicity
+from . import alignment, chat, decontamination, fingerprints, jaccard_join, language_id, line_dedup, manifest, mixing, near_dedup, oracles, pii, repeats, toxicity
 
 #: The key of op6's pseudonyms; a deployment passes its own.
 DEMO_KEY = "certloom-demo-key"
@@ -64,10 +64,14 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.digest(_read(spark, sf_dir, "documents"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.links(_read(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_mixing, op4_fingerprints, op5_near_dedup, op6_pii, op7_language_id, op8_chat, op9_repeats, op10_toxicity, op11_manifest, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_mixing, op4_fingerprints, op5_near_dedup, op6_pii, op7_language_id, op8_chat, op9_repeats, op10_toxicity, op11_manifest, op12_jaccard_join, op13_alignment)}
 
-ORACLES = {"op1_decontamination": oracles.DECONTAMINATION, "op2_line_dedup": line_dedup.ORACLE, "op5_near_dedup": oracles.NEAR_DEDUP, "op8_chat": oracles.chat(CONTROL), "op11_manifest": manifest.oracle()}
+ORACLES = {"op1_decontamination": oracles.DECONTAMINATION, "op2_line_dedup": line_dedup.ORACLE, "op5_near_dedup": oracles.NEAR_DEDUP, "op8_chat": oracles.chat(CONTROL), "op11_manifest": manifest.oracle(), "op12_jaccard_join": oracles.JACCARD_JOIN}
