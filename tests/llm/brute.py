@@ -219,3 +219,64 @@ def alignment(docs, left, right):
     for (x, _), n in held.items():
         top[x] = max(top[x], n)
     return [(doc, n_a, n_b, n, len(links), sum(held[p] == top[p[0]] for p in links), sum(held[p] for p in links), digest) for doc, n_a, n_b, n, links, digest in out]
+
+
+def manifest(docs):
+    """{(doc_id, leaf): (subroot, root, proof, folded, verified)} of (doc_id, source, lang, n_chars, text); rows of one doc_id and leaf are the same."""
+    import zlib
+
+    field = lambda x: "-" if x is None else f"{len(str(x).encode())}:{x}"
+    leaf = lambda row: sha("".join(map(field, row)))
+
+    def tree(level):
+        """(root, the way of each leaf: digests before and after it on each level)"""
+        ways = [[] for _ in level]
+        at = list(range(len(level)))
+        while len(level) > 1:
+            for way, k in zip(ways, at, strict=True):
+                first = k // 16 * 16
+                way.append((level[first:k], level[k + 1 : first + 16]))
+            level = [sha("".join(level[k : k + 16])) for k in range(0, len(level), 16)]
+            at = [k // 16 for k in at]
+        return level[0], ways
+
+    of = defaultdict(list)
+    for row in docs:
+        of[row[1]].append(row)
+    names = sorted(of, key=lambda x: (x is not None, (x or "").encode()))
+    ordered = {x: sorted(of[x], key=lambda r: (r[0] is not None, r[0] or 0, leaf(r))) for x in names}
+    trees = {x: tree([leaf(r) for r in ordered[x]]) for x in names}
+    root, tops = tree([trees[x][0] for x in names])
+    out = []
+    for x, top in zip(names, tops, strict=True):
+        for row, way in zip(ordered[x], trees[x][1], strict=True):
+            bad = row[0] is not None and zlib.crc32(str(row[0]).encode()) % 5 == 0
+            folded = leaf((*row[:4], row[4].translate(LOW) if bad and row[4] is not None else row[4]))
+            for before, after in way + top:
+                folded = sha("".join([*before, folded, *after]))
+            proof = sha("".join("".join(before + after) for before, after in way + top))
+            out.append((row[0], leaf(row), trees[x][0], root, proof, folded, folded == root))
+    return out
+
+
+def jaccard_links(docs, percent=80, width=5):
+    """[(doc_id, n_shingles, component_id, n_links)]"""
+    own = []
+    for _, text in docs:
+        w = SPACES.findall((text or "").translate(LOW))
+        own.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
+    ends = defaultdict(set)
+    for i, a in enumerate(own):
+        for j in range(i):
+            if a and docs[i][0] is not None and docs[j][0] is not None and 100 * len(a & own[j]) >= percent * len(a | own[j]):
+                ends[i].add(j)
+                ends[j].add(i)
+    out = []
+    for i, (doc, _) in enumerate(docs):
+        seen, todo = {i}, [i]
+        while todo:
+            new = ends[todo.pop()] - seen
+            seen |= new
+            todo += new
+        out.append((doc, len(own[i]), None if doc is None else min(docs[k][0] for k in seen), len(ends[i])))
+    return out
