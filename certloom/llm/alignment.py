@@ -16,6 +16,8 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,7 @@ class ByteLevel:
         letters = byte_letters()
         vocabulary = {i: bytes(letters[c] for c in token) for token, i in spec["model"]["vocab"].items() if i not in special}
         self.bytes = [vocabulary.get(i, b"") for i in range(max(vocabulary) + 1)]
+        self.width = np.array([len(x) for x in self.bytes], np.int64)
         self.encoder = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks={v: k for k, v in vocabulary.items()}, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -71,6 +74,7 @@ class Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes = [self._bytes(i) for i in range(self.model.get_piece_size())]
+        self.width = np.array([len(x) for x in self.bytes], np.int64)
 
     def _bytes(self, i: int) -> bytes:
         piece = self.model.id_to_piece(i)
@@ -94,10 +98,10 @@ def tokenizer(path: str) -> ByteLevel | Pieces:
 class Side:
     """Ids of one tokenizer, of several texts one after the other: ends of the tokens in bytes, counted through all texts."""
 
-    def __init__(self, ids: list[list[int]], table: list[bytes]):
+    def __init__(self, ids: list[list[int]], width: np.ndarray):
         self.counts = np.array([len(x) for x in ids], np.int64)
-        self.ids = np.fromiter((i for x in ids for i in x), np.int64, int(self.counts.sum()))
-        self.end = np.cumsum(np.array([len(t) for t in table], np.int64)[self.ids])
+        self.ids = np.fromiter(chain.from_iterable(ids), np.int64, int(self.counts.sum()))
+        self.end = np.cumsum(width[self.ids])
 
 
 def union(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -117,52 +121,66 @@ def union(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = above
 
 
+@lru_cache(maxsize=2)
+def _decimals(n: int) -> tuple[list[str], np.ndarray]:
+    """Ids under n as text with what may follow them, "," then "|" then ";", and the lengths."""
+    words = [f"{i}{mark}" for mark in ",|;" for i in range(n)]
+    return words, np.array([len(w) for w in words], np.int64)
+
+
 class Aligned:
-    """Links, groups and digests of texts that both sides cover alike."""
+    """Links, groups and their texts, of texts that both sides cover alike."""
 
-    def __init__(self, a: Side, b: Side, text_end: np.ndarray):
+    def __init__(self, a: Side, b: Side, text_end: np.ndarray, vocabulary: int):
         n_a, n_b = len(a.ids), len(b.ids)
         # between two neighbouring ends of either side is one token of A and one of B: a link
-        self.end = np.union1d(a.end, b.end)
-        self.a, self.b = np.searchsorted(a.end, self.end), np.searchsorted(b.end, self.end)
+        ends = np.sort(np.concatenate([a.end, b.end]), kind="stable")
+        ends = ends[np.append(True, ends[1:] != ends[:-1])]
+        self.a, self.b = np.searchsorted(a.end, ends), np.searchsorted(b.end, ends)
         root = union(n_a + n_b, self.a, n_a + self.b)
-        self.text = np.searchsorted(text_end, self.end)
-        # components in the order of their bytes; the first token of A names one
-        first, group = np.unique(root, return_inverse=True)
-        group_text = np.searchsorted(text_end, a.end[first])
-        self.groups = np.bincount(group_text, minlength=len(text_end))
+        # each component is named by its first token of A, so names are in the order of the bytes
+        names = root == np.arange(n_a + n_b)
+        group = (np.cumsum(names) - 1)[root]
+        self.groups = np.bincount(np.searchsorted(text_end, a.end[names[:n_a]]), minlength=len(text_end))
+        self.text = np.searchsorted(text_end, ends)
         self.links = np.bincount(self.text, minlength=len(text_end))
-        order = np.lexsort((np.repeat([0, 1], [n_a, n_b]), group))  # a group's A ids, then its B ids; stable
-        ids, own, side = np.concatenate([a.ids, b.ids])[order], group[order], (order >= n_a)
-        last = np.append((own[1:] != own[:-1]) | (side[1:] != side[:-1]), True) if len(order) else np.zeros(0, bool)
-        mark = np.where(last, np.where(side, 2, 1), 0)
-        words = [f"{i}," for i in range(int(ids.max(initial=-1)) + 1)]
-        text = "".join([w if m == 0 else w[:-1] + ("|" if m == 1 else ";") for w, m in zip(map(words.__getitem__, ids.tolist()), mark.tolist(), strict=True)])
-        width = np.array([len(w) for w in words], np.int64)[ids] if len(ids) else np.zeros(0, np.int64)
-        at = np.concatenate([[0], np.cumsum(width)])
-        tokens = np.cumsum(a.counts + b.counts)
-        self.strings = [text[at[x]: at[y] - 1] for x, y in zip(np.concatenate([[0], tokens[:-1]]).tolist(), tokens.tolist(), strict=True)]
+        place = 2 * group
+        place[n_a:] += 1
+        order = np.argsort(place, kind="stable")  # a group's A ids, then its B ids
+        place = place[order]
+        mark = np.where(np.append(place[1:] != place[:-1], True), 1 + (place & 1), 0)
+        word = np.concatenate([a.ids, b.ids])[order] + mark * vocabulary
+        words, width = _decimals(vocabulary)
+        text = "".join(map(words.__getitem__, word.tolist()))
+        at = np.concatenate([[0], np.cumsum(width[word])])[np.concatenate([[0], np.cumsum(a.counts + b.counts)])].tolist()
+        self.strings = [text[x : y - 1] for x, y in zip(at[:-1], at[1:], strict=True)]
 
 
 def align(texts: list[str], left: ByteLevel | Pieces, right: ByteLevel | Pieces) -> Iterator[tuple]:
     """(n_a, n_b, n_groups, n_links, groups, codes, times) of each text; codes (A id << 32 | B id) without repeats."""
     ids_a, ids_b = left.encode(texts), right.encode(texts)
     own = [(" " + t).encode() for t in texts]
-    fit = [len(t) > 0 and b"".join([left.bytes[i] for i in x]) == o and b"".join([right.bytes[i] for i in y]) == o for t, x, y, o in zip(texts, ids_a, ids_b, own, strict=True)]
+    whole = lambda table, ids: b"".join(map(table.__getitem__, ids))
+    fit = [len(t) > 0 and whole(left.bytes, x) == o and whole(right.bytes, y) == o for t, x, y, o in zip(texts, ids_a, ids_b, own, strict=True)]
     kept = [i for i, f in enumerate(fit) if f]
     if kept:
-        a, b = Side([ids_a[i] for i in kept], left.bytes), Side([ids_b[i] for i in kept], right.bytes)
-        text_end = np.cumsum([len(own[i]) for i in kept])
-        all_ = Aligned(a, b, text_end)
-        code = (a.ids[all_.a] << 32) | b.ids[all_.b]
-        edge = np.concatenate([[0], np.cumsum(all_.links)])
+        a, b = Side([ids_a[i] for i in kept], left.width), Side([ids_b[i] for i in kept], right.width)
+        found = Aligned(a, b, np.cumsum([len(own[i]) for i in kept]), max(len(left.bytes), len(right.bytes)))
+        bits = len(right.bytes).bit_length()
+        wide = bits + len(left.bytes).bit_length()  # texts of a chunk take what is left of 63 bits
+        code = np.sort((found.text << wide) | (a.ids[found.a] << bits) | b.ids[found.b])
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        times = np.diff(first, append=len(code))
+        code = code[first]
+        edge = np.searchsorted(code >> wide, np.arange(len(kept) + 1)).tolist()
+        code = (((code >> bits) & ((1 << (wide - bits)) - 1)) << 32) | (code & ((1 << bits) - 1))
     at = 0
     for f in fit:
         if not f:
             yield 0, 0, 0, 0, None, np.zeros(0, np.int64), np.zeros(0, np.int64)
             continue
-        codes, times = np.unique(code[edge[at] : edge[at + 1]], return_counts=True)
-        yield int(a.counts[at]), int(b.counts[at]), int(all_.groups[at]), int(all_.links[at]), all_.strings[at], codes, times
+        lo, hi = edge[at], edge[at + 1]
+        yield int(a.counts[at]), int(b.counts[at]), int(found.groups[at]), int(found.links[at]), found.strings[at], code[lo:hi], times[lo:hi]
         at += 1
 
 
