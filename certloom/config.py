@@ -71,6 +71,8 @@ class Config:
     official_domains: list[str] = field(default_factory=list)
     keywords: list[str] = field(default_factory=lambda: list(DEFAULT_KEYWORDS))
     allowlist: list[str] = field(default_factory=list)
+    #: A file of public suffix rules, in place of those that come with Spark.
+    public_suffixes: str | None = None
     #: Look-alike letters as JSON text, in place of the built-in ones.
     lookalikes: str | None = None
     outputs: Outputs = field(default_factory=Outputs)
@@ -130,13 +132,16 @@ def from_mapping(values: dict) -> Config:
 
 
 def from_yaml(text: str) -> Config:
-    """Needs a YAML parser; where there is none, JSON is read, which is YAML too."""
+    """Needs a YAML parser; where there is none, JSON is read, which is YAML too, and anything else is an error that says so."""
     try:
         import yaml
     except ImportError:
         import json
 
-        return from_mapping(json.loads(text))
+        try:
+            return from_mapping(json.loads(text))
+        except json.JSONDecodeError as e:
+            raise ConfigError(f"there is no YAML parser (PyYAML) here, and the configuration is not JSON: {e}") from e
     return from_mapping(yaml.safe_load(text) or {})
 
 

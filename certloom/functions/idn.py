@@ -30,8 +30,8 @@ def mapped(name: str) -> str:
 
 
 def _allowed(label: str) -> bool:
-    """No leading mark, and no code points that a label cannot have: unassigned, control, private, blank."""
-    return bool(label) and unicodedata.category(label[0])[0] != "M" and not any(unicodedata.category(c)[0] in "CZ" and c not in KEPT for c in label)
+    """No leading mark, and no code points that a label cannot have: unassigned, control, private, blank, the sign for what could not be read."""
+    return bool(label) and "\ufffd" not in label and unicodedata.category(label[0])[0] != "M" and not any(unicodedata.category(c)[0] in "CZ" and c not in KEPT for c in label)
 
 
 def to_ascii(name: str) -> str | None:
@@ -107,18 +107,47 @@ def _skeletons(table: dict[str, str]):
     return skeletons
 
 
-def _is_plain(c: Column) -> Column:
+def is_plain(c: Column) -> Column:
+    """ASCII without labels in punycode: nothing that needs Unicode rules."""
     return D.is_ascii(c) & ~F.contains(F.lower(c), F.lit("xn--"))
 
 
 def normalize(df: DataFrame, raw: str = "raw", domain: str = "domain") -> DataFrame:
     """df with the domain of each raw name, null if it has none. Plain ASCII rows never leave the JVM: the two kinds are parted by a filter."""
     ship(df.sparkSession)
-    plain = df.where(F.col(raw).isNull() | _is_plain(F.col(raw))).withColumn(domain, D.normalize(F.col(raw)))
-    rest = df.where(F.col(raw).isNotNull() & ~_is_plain(F.col(raw))).withColumn(domain, D.normalize(_ascii(D.unchecked(F.col(raw)))))
+    plain = df.where(F.col(raw).isNull() | is_plain(F.col(raw))).withColumn(domain, D.normalize(F.col(raw)))
+    rest = df.where(F.col(raw).isNotNull() & ~is_plain(F.col(raw))).withColumn(domain, D.normalize(_ascii(D.unchecked(F.col(raw)))))
     return plain.unionByName(rest)
 
 
+def forms(names: pd.Series) -> pd.Series:
+    """Of arrays of raw names: a map with the ASCII form of each name that needs Unicode rules, null if it has none."""
+    return pd.Series([None if x is None else ascii_forms(x) for x in names.tolist()], dtype=object)
+
+
+def ascii_forms(names) -> dict[str, str | None]:  # noqa: ANN001
+    out = {}
+    for name in names:
+        if name is not None and not (name.isascii() and "xn--" not in name.lower()):
+            plain = name.strip().rstrip(".")
+            while plain.startswith("*."):
+                plain = plain[2:]
+            out[name] = to_ascii(plain)
+    return out
+
+
+FORMS = T.MapType(T.StringType(), T.StringType())
+_forms = F.pandas_udf(forms, FORMS)
+
+
+def with_forms(df: DataFrame, names: str = "san_dns_names", out: str = "forms") -> DataFrame:
+    """df with ascii_forms of an array of names; rows of plain names only never leave the JVM."""
+    ship(df.sparkSession)
+    odd = F.coalesce(F.exists(names, lambda x: ~is_plain(x)), F.lit(False))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return df.where(~odd).withColumn(out, none).unionByName(df.where(odd).withColumn(out, _forms(names)))
+
+
 def readable(features: DataFrame) -> DataFrame:
     """features with unicode and skeleton of IDN rows by Unicode rules."""
     ship(features.sparkSession)

@@ -7,11 +7,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import domains as D
+from ..functions import idn
 from ..ship import ship
 
 
@@ -186,16 +187,16 @@ def read_certificate(der: bytes) -> dict:
                 _, na, nb = _tlv(der, va, vb)
                 sans |= {der[x:y].decode("ascii", "replace") for t, x, y in _children(der, na, nb) if t == 0x82}
         number = der[serial[1] : serial[2]].hex()
-        return {"certificate_sha256": hashlib.sha256(der).hexdigest(), "serial_number": ":".join(number[i : i + 2] for i in range(0, len(number), 2)), "issuer": _name(der, *issuer[1:]), "not_before": _time(t1, der[a1:b1]), "not_after": _time(t2, der[a2:b2]), "san_dns_names": list(sans), "error": None}
+        return {"certificate_sha256": hashlib.sha256(der).hexdigest(), "serial_number": ":".join(number[i : i + 2] for i in range(0, len(number), 2)), "issuer": _name(der, *issuer[1:]), "not_before": _time(t1, der[a1:b1]), "not_after": _time(t2, der[a2:b2]), "san_dns_names": list(sans), "forms": list(idn.ascii_forms(sans).items()), "error": None}
     except (DecodeError, IndexError, ValueError) as e:
         return {"error": str(e) or type(e).__name__}
 
 
-_CERTIFICATE = pa.schema([("index", pa.int64()), ("timestamp_millis", pa.int64()), ("certificate_sha256", pa.string()), ("serial_number", pa.string()), ("issuer", pa.string()), ("not_before", pa.string()), ("not_after", pa.string()), ("san_dns_names", pa.list_(pa.string())), ("error", pa.string())])
+_CERTIFICATE = pa.schema([("index", pa.int64()), ("timestamp_millis", pa.int64()), ("certificate_sha256", pa.string()), ("serial_number", pa.string()), ("issuer", pa.string()), ("not_before", pa.string()), ("not_after", pa.string()), ("san_dns_names", pa.list_(pa.string())), ("forms", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
 
 
 def parse_certificates(entries: DataFrame) -> DataFrame:
-    """(index, timestamp_millis, certificate_der) -> certificate fields, or error."""
+    """(index, timestamp_millis, certificate_der) -> certificate fields, or error; forms as functions.idn.ascii_forms has them, made where Python reads the names anyway."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +204,7 @@ def parse_certificates(entries: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, _CERTIFICATE)
 
     ship(entries.sparkSession)
-    parsed = entries.select("index", "timestamp_millis", "certificate_der").mapInArrow(run, f"index bigint, timestamp_millis bigint, {schemas.CERTIFICATE}, error string")
+    parsed = entries.select("index", "timestamp_millis", "certificate_der").mapInArrow(run, f"index bigint, timestamp_millis bigint, {schemas.CERTIFICATE}, forms map<string, string>, error string")
     return parsed.withColumn("san_dns_names", sorted_names(F.col("san_dns_names")))
 
 
@@ -220,8 +221,21 @@ def events_and_errors(entries: DataFrame, source_log: str) -> tuple[DataFrame, D
 
 
 def certificate_events(parsed: DataFrame) -> DataFrame:
-    """schemas.EVENTS and rejected_domains (struct<value, error>) of rows with san_dns_names: valid names, each normal form once, in order."""
-    names = F.transform("san_dns_names", lambda s: F.struct(s.alias("original"), D.normalize(s).alias("normalized"), D.is_wildcard(s).alias("is_wildcard"), D.problem(s).alias("error")))
+    """schemas.EVENTS and rejected_domains (struct<value, error>) of rows with san_dns_names: valid names, each normal form once, in order.
+
+    Names in punycode or other scripts count by their ASCII form (forms, see functions.idn); those without one are rejected.
+    """
+    if "forms" not in parsed.columns:
+        parsed = idn.with_forms(parsed)
+
+    def one(s: Column) -> Column:
+        odd = F.coalesce(F.map_contains_key("forms", s), F.lit(False))
+        form = F.try_element_at("forms", s)
+        name = F.when(odd, form).otherwise(s)
+        error = F.when(odd & form.isNull(), "no valid internationalised name").otherwise(D.problem(name))
+        return F.struct(s.alias("original"), D.normalize(name).alias("normalized"), D.is_wildcard(s).alias("is_wildcard"), error.alias("error"))
+
+    names = F.transform("san_dns_names", one)
     # a column for each step: as one expression the names would be looked at again wherever they are used
     rows = parsed.withColumn("__names", names)
     rows = rows.withColumn("__valid", F.filter("__names", lambda n: n["normalized"].isNotNull()))

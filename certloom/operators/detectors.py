@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import ACTION_TERMS, Config
 from ..functions import domains as D
+from ..functions import suffixes
 
 #: Endings that campaigns favour.
 RISKY_TLDS = ("best", "cam", "click", "cyou", "icu", "monster", "mov", "quest", "sbs", "support", "top", "wallet", "win", "xyz", "zip")
@@ -21,10 +22,11 @@ MAX_DISTANCE = 2
 FEATURES = ("labels", "tokens", "reg_label", "unicode", "skeleton")
 
 
-def features(df: DataFrame, domain: str = "domain") -> DataFrame:
-    """df with what several detectors need, each computed once."""
+def features(df: DataFrame, cfg: Config | None = None, domain: str = "domain") -> DataFrame:
+    """df with what several detectors need, each computed once. Names of other scripts: see functions.idn.readable."""
     d = F.col(domain)
-    return df.withColumns({"labels": D.labels(d), "tokens": D.tokens(d), "reg_label": D.registrable_label(d), "unicode": d, "skeleton": D.skeleton(d)})
+    rows = suffixes.with_registrable(df, suffixes.rules(cfg.public_suffixes if cfg else None), domain, "reg_label")
+    return rows.withColumns({"reg_label": F.substring_index("reg_label", ".", 1), "labels": D.labels(d), "tokens": D.tokens(d), "unicode": d, "skeleton": D.skeleton(d)})
 
 
 def _strings(values: list[str]) -> Column:
@@ -50,11 +52,8 @@ def _clean(values: list[str], least: int = 1) -> list[str]:
 def protected_names(cfg: Config) -> list[str]:
     """Brands, and the registrable labels of official domains."""
 
-    def label(d: str) -> str:
-        parts = d.strip().lower().rstrip(".").split(".")
-        n = 3 if ".".join(parts[-2:]) in D.MULTI_SUFFIXES else 2
-        return parts[-n:][0]
-
+    known = suffixes.rules(cfg.public_suffixes)
+    label = lambda d: suffixes.registrable(d.strip().lower().rstrip("."), known).split(".")[0]
     return _clean([*cfg.brands, *map(label, cfg.official_domains)], 3)
 
 
@@ -102,7 +101,7 @@ def typosquat(cfg: Config, max_distance: int = MAX_DISTANCE) -> Column:
     """A finding for each official domain that a candidate label is close to; the first such candidate counts."""
     officials = []
     for d in _clean(cfg.official_domains):
-        label = protected_names(Config(official_domains=[d], brands=[]))
+        label = protected_names(Config(official_domains=[d], brands=[], public_suffixes=cfg.public_suffixes))
         short = label[0] if label else d.split(".")[0]
         officials.append((d, short, min(max_distance, 1 if len(short) <= 4 else 2 if len(short) <= 10 else 3)))
     if not officials:
@@ -212,9 +211,13 @@ Detector = Callable[[Config], Column]
 DETECTORS: dict[str, Detector] = {"keyword": keyword, "brand": brand, "typosquat": typosquat, "homoglyph": homoglyph, "composition": composition}
 
 
+def exactly_allowed(cfg: Config) -> list[str]:
+    return _clean([*cfg.allowlist, *cfg.official_domains])
+
+
 def allowed(domain: Column, cfg: Config) -> Column:
     """On the allowlist, an official domain itself, or under an allowed suffix."""
-    exact = _clean([*cfg.allowlist, *cfg.official_domains])
+    exact = exactly_allowed(cfg)
     out = domain.isin(*exact) if exact else F.lit(False)
     for suffix in cfg.rules.allowlist_suffixes:
         out = out | D.matches_suffix(domain, suffix)
@@ -239,16 +242,3 @@ def ct_evidence() -> Column:
         one("ct.observed_at", "observed_at"), one("ct.source_type", "source_type"),
     )
     return F.filter(fields, lambda e: e["value"].isNotNull())
-
-
-def detect(observations: DataFrame, cfg: Config, detectors: dict[str, Detector] | None = None) -> DataFrame:
-    """One row per finding of each observation that is not allowed: (observation columns, detector, severity, score, reasons, evidence, position).
-
-    observations has domain and the columns of schemas.OBSERVATIONS; the findings of a row come in the order of detectors.
-    """
-    kept = features(observations.where(~allowed(F.col("domain"), cfg)))
-    built = [c for c in (build(cfg) for build in (detectors or DETECTORS).values())]
-    arrays = [F.coalesce(c, F.array()) for c in built]
-    all_ = F.concat(*arrays)
-    rows = kept.withColumn("seen_at", ct_evidence()).select(*[c for c in observations.columns], "seen_at", F.posexplode(all_).alias("position", "f"))
-    return rows.select(*observations.columns, "position", "f.detector", D.severity(F.col("f.score")).alias("severity"), "f.score", "f.reasons", F.concat("f.evidence", "seen_at").alias("evidence"))

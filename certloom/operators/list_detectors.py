@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import ACTION_TERMS, Config
 from ..functions import domains as D
+from ..functions import suffixes
 from . import detectors as base
 
 FEW = 100_000
@@ -31,6 +32,12 @@ def _once(table: DataFrame, least: int = 1) -> DataFrame:
     return words.groupBy("word").agg(F.min("at").alias("at"))
 
 
+def _labelled(words: DataFrame, rules: suffixes.Rules) -> DataFrame:
+    """words with the registrable label of each domain among them."""
+    named = suffixes.with_registrable(words.withColumn("label", F.regexp_replace("word", "[.]+$", "")), rules, "label", "registrable")
+    return named.withColumn("label", F.substring_index("registrable", ".", 1)).drop("registrable")
+
+
 @dataclass(frozen=True)
 class Lists:
     """Tables (word, at), at being the place in the list: keywords, brands, official domains."""
@@ -38,17 +45,18 @@ class Lists:
     keywords: DataFrame
     brands: DataFrame
     officials: DataFrame
+    rules: suffixes.Rules
 
     @classmethod
     def of(cls, spark: SparkSession, cfg: Config) -> Lists:
         table = lambda values: spark.createDataFrame([(v, i) for i, v in enumerate(values)], "word string, at bigint")
-        return cls(table(cfg.keywords), table(cfg.brands), table(cfg.official_domains))
+        return cls(table(cfg.keywords), table(cfg.brands), table(cfg.official_domains), suffixes.rules(cfg.public_suffixes))
 
     def protected(self) -> DataFrame:
         """Brands, and after them the registrable labels of official domains; three bytes or more."""
         ranked = lambda t, word, rank: t.select(word.alias("word"), F.struct(F.lit(rank).alias("list"), "at").alias("at"))
-        labels = D.registrable_label(F.lower(F.regexp_replace(F.trim("word"), "[.]+$", "")))
-        return _once(ranked(self.brands, F.col("word"), 0).union(ranked(self.officials, labels, 1)), 3)
+        known = _labelled(self.officials.withColumn("word", F.lower(F.trim("word"))), self.rules)
+        return _once(ranked(self.brands, F.col("word"), 0).union(ranked(known, F.col("label"), 1)), 3)
 
     def terms(self) -> DataFrame:
         """(word): fixed action terms and keywords."""
@@ -121,18 +129,17 @@ def deletions(word: Column, most: int) -> Column:
     return F.array_distinct(out)
 
 
-def officials_of(officials: DataFrame, max_distance: int) -> DataFrame:
+def officials_of(officials: DataFrame, rules: suffixes.Rules, max_distance: int) -> DataFrame:
     """(official, official_at, label, most): the label that each official domain is known by, and how far off a name may be."""
-    known = _once(officials).select(F.col("word").alias("official"), F.col("at").alias("official_at"))
-    own = D.registrable_label(F.regexp_replace("official", "[.]+$", ""))
-    label = F.when(F.octet_length(own) >= 3, own).otherwise(F.substring_index("official", ".", 1))
+    known = _labelled(_once(officials), rules).select(F.col("word").alias("official"), F.col("at").alias("official_at"), F.col("label").alias("own"))
+    label = F.when(F.octet_length("own") >= 3, F.col("own")).otherwise(F.substring_index("official", ".", 1))
     n = F.length("label")
     return known.withColumn("label", label).withColumn("most", F.least(F.lit(max_distance), F.when(n <= 4, 1).when(n <= 10, 2).otherwise(3)))
 
 
 def typosquat(names: DataFrame, lists: Lists, max_distance: int = base.MAX_DISTANCE) -> DataFrame:
     """Two strings within a distance leave a common string after as many deletions each: these are joined, and the distance is then taken."""
-    officials = officials_of(lists.officials, max_distance)
+    officials = officials_of(lists.officials, lists.rules, max_distance)
     longest = officials.agg(F.max(F.length("label") + F.col("most"))).first()[0]
     if longest is None:
         return _first(names.limit(0), F.array(base.typosquat_finding(F.lit(""), F.lit(""), F.lit(""), F.lit(0))))
@@ -174,13 +181,11 @@ def composition(names: DataFrame, lists: Lists) -> DataFrame:
 DETECTORS = {"keyword": keyword, "brand": brand, "typosquat": typosquat, "homoglyph": homoglyph, "composition": composition}
 
 
-def detect(observations: DataFrame, lists: Lists, detectors: list[str] | None = None) -> DataFrame:
-    """As detectors.detect, of observations that are not allowed; position orders the findings of a row."""
-    names = base.features(observations.select("domain").distinct())
+def findings(names: DataFrame, lists: Lists, only: list[str] | None = None) -> DataFrame:
+    """(domain, position, f) of names with their features; position orders the findings of a name."""
     found = None
     for rank, (name, rows) in enumerate(DETECTORS.items()):
-        if detectors is None or name in detectors:
+        if only is None or name in only:
             own = rows(names, lists).select("domain", (F.lit(rank << 40) + F.col("at")).alias("position"), "f")
             found = own if found is None else found.unionByName(own)
-    rows = observations.withColumn("seen_at", base.ct_evidence()).join(found, "domain")
-    return rows.select(*observations.columns, "position", "f.detector", D.severity(F.col("f.score")).alias("severity"), "f.score", "f.reasons", F.concat("f.evidence", "seen_at").alias("evidence"))
+    return found

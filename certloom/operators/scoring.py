@@ -37,9 +37,11 @@ def merge_findings(findings: DataFrame, order: list[str], within: list[str] = ()
     ordinal = F.struct(*order)
     group = [*within, "domain", "detector"]
     one = F.struct(ordinal.alias("at"), "score", "severity", "reasons", _packed(F.col("evidence")).alias("evidence"))
-    gathered = findings.select(*group, one.alias("f")).groupBy(*group).agg(F.array_sort(F.collect_list("f")).alias("fs"))
-    best = F.array_max(F.transform("fs", lambda f: f["score"]))
-    return gathered.select(*group, F.get(F.filter("fs", lambda f: f["score"] == best), F.lit(0))["severity"].alias("severity"), best.alias("score"), _later(F.transform("fs", lambda f: f["reasons"])).alias("reasons"), _unpacked(_later(F.transform("fs", lambda f: f["evidence"]))).alias("evidence"))
+    rows = findings.select(*group, "score", "severity", ordinal.alias("at"), one.alias("f")).groupBy(*group)
+    # the highest score is summed beside the rows: asked of the gathered array it would be looked for again for each of its elements
+    gathered = rows.agg(F.array_sort(F.collect_list("f")).alias("fs"), F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("score"), "at", "severity")).alias("first"))
+    reasons, evidence = F.transform("fs", lambda f: f["reasons"]), F.transform("fs", lambda f: f["evidence"])
+    return gathered.select(*group, F.col("first.severity").alias("severity"), "score", _later(reasons).alias("reasons"), _unpacked(_later(evidence)).alias("evidence"))
 
 
 def combined_score(top: Column, n_detectors: Column) -> Column:

@@ -233,11 +233,54 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return lists.select("user_id", F.array_join(decode.sorted_names(F.col("names")), "|").alias("kinds"))
 
 
-@query("src_mock_events", "SELECT * FROM (VALUES (1, 'paypa1-login.com'), (1, 'github.com'), (1, 'micr0soft-support.net'), (2, 'secure-wallet-example.net')) t(index, domain)")
+_O_SAID = "said AS (SELECT event_id // 4 AS index, list(lower(event_type) || event_id || '.example' || event_id % 3 || '.org' ORDER BY event_id) AS names, min(ts) AS ts FROM events GROUP BY 1)"
+
+
+def _said(spark: SparkSession, sf: str) -> DataFrame:
+    """(index, san_dns_names, observed_at): four events make one of several names."""
+    name = F.concat(F.lower("event_type"), F.col("event_id").cast("string"), F.lit(".example"), (F.col("event_id") % 3).cast("string"), F.lit(".org"))
+    grouped = events(spark, sf).select(F.floor(F.col("event_id") / 4).cast("bigint").alias("index"), F.struct("event_id", name.alias("name")).alias("x"), "ts").groupBy("index").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.min("ts").alias("ts"))
+    return grouped.select("index", F.transform("xs", lambda x: x["name"]).alias("san_dns_names"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("observed_at"))
+
+
+@query("src_mock_events", f"WITH {_O_SAID} SELECT index, unnest(names) AS domain, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS observed_at, 'mock' AS source_type FROM said")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources import mock
 
-    return decode.observations(mock.demo_events(spark)).select(F.col("certificate_index").cast("int").alias("index"), "domain")
+    rows = decode.observations(mock.events_from(_said(spark, sf)))
+    return rows.select(F.col("certificate_index").alias("index"), "domain", "observed_at", "source_type")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or where that is unset a temporary one of this machine."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{shared}/{name}-{uuid.uuid4().hex}" if shared else f"{tempfile.mkdtemp(prefix='certloom-')}/{name}"
+
+
+@query("src_jsonl", f"WITH {_O_SAID} SELECT index, unnest(names) AS domain, 'log' || index % 2 AS source_log, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS observed_at, 'ct' AS source_type FROM said")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Events written as JSON lines, and read by the source."""
+    from ..sources import static_log
+
+    path = _scratch(spark, "jsonl")
+    _said(spark, sf).select(F.concat(F.lit("log"), (F.col("index") % 2).cast("string")).alias("source_log"), F.col("san_dns_names").alias("domains"), "observed_at", "index").write.json(path)
+    rows = decode.observations(static_log.read_json_events(spark, path))
+    return rows.select(F.col("certificate_index").alias("index"), "domain", "source_log", "observed_at", "source_type")
+
+
+@query("tile_scan", "SELECT event_id AS index, 1700000000000 + event_id AS timestamp_millis, CASE WHEN event_id % 5 = 4 THEN 'precertificate' ELSE 'x509' END AS kind FROM events")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A mirror of a log with an entry for each event, read by the data source; each entry is checked against its hash tile."""
+    from ..sources import static_log
+
+    folder, size = _scratch(spark, "mirror"), events(spark, sf).count()
+    static_log.write_mirror(_tiles(spark, sf), folder)
+    spark.dataSource.register(static_log.StaticLogSource)
+    rows = spark.read.format("static_log").option("mirror", folder).option("size", size).load()
+    return rows.select("index", "timestamp_millis", "kind")
 
 
 # --- DNS -----------------------------------------------------------------------------------------------------------
@@ -295,12 +338,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(dns.takeover_findings(dns.takeover_candidates(answers(_asked(spark, sf)), dns.fingerprints(spark))))
 
 
-_UP = (("heroku", "HerokuApp.com.", None), ("Heroku ", "*.herokussl.com", "https://u.example/1"), ("New One", "new.example", None), ("new one", "bad_suffix", None), ("new one", "old.example", "https://u.example/2"))
+#: An upstream list as large as pages: hosts are suffixes, every fifth of a provider that the curated list has too.
+_O_UP = r"""up AS (SELECT CASE WHEN page_id % 5 = 0 THEN 'heroku' ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS k, host AS suffix FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?]+)', 1)) AS host FROM pages))"""
 
 
-@query("fingerprint_merge", f"WITH u AS (SELECT * FROM {_O_SUFFIX}), m AS (SELECT lower(provider) AS k, list(DISTINCT suffix) AS s FROM u GROUP BY 1) SELECT k AS provider, array_to_string(list_sort(CASE WHEN k = 'heroku' THEN list_append(s, 'herokussl.com') ELSE s END), '|') AS suffixes FROM m UNION ALL SELECT 'new one', 'new.example|old.example'")
+@query("fingerprint_merge", f"WITH {_O_UP}, f AS (SELECT lower(provider) AS k, suffix FROM {_O_SUFFIX} UNION SELECT * FROM up) SELECT k AS provider, array_to_string(list_sort(list(DISTINCT suffix)), '|') AS suffixes FROM f GROUP BY k")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    up = spark.createDataFrame(list(_UP), "provider string, suffix string, reference string")
+    host = F.lower(F.parse_url("url", F.lit("HOST")))
+    site = F.substring_index(host, ".", -2)
+    provider = F.when(F.col("page_id") % 5 == 0, "Heroku ").when(F.col("page_id") % 2 == 0, F.upper(site)).otherwise(site)
+    up = spark.read.parquet(f"{sf}/pages.parquet").select(provider.alias("provider"), F.concat(F.lit("*."), host, F.lit(".")).alias("suffix"), F.lit(None).cast("string").alias("reference"))
     return dns.merge_fingerprints(up, dns.fingerprints(spark)).select(F.lower("provider").alias("provider"), F.array_join("suffixes", "|").alias("suffixes"))
 
 
@@ -447,6 +494,13 @@ def _idn_names(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select(F.col("event_id").alias("idx"), F.replace(pick, F.lit("{n}"), F.col("event_id").cast("string")).alias("raw"))
 
 
+def _idn_observed(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions import idn
+
+    named = idn.normalize(_idn_names(spark, sf)).where("domain is not null")
+    return scan.with_metadata(named.select("domain", F.col("idx").alias("certificate_index"), F.lit("2026-01-01T00:00:00Z").alias("observed_at")), "demo-log", "ct")
+
+
 @query("normalize_idn", f"WITH {_O_IDN} SELECT idx, domain FROM idn")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions import idn
@@ -469,9 +523,29 @@ shapes AS (SELECT *, CASE k WHEN 2 THEN 'paypal.corn' WHEN 6 THEN 'paypal.login'
 array_to_string(list_concat(list_concat(CASE WHEN protected IS NULL THEN [] ELSE ['decoded domain skeleton matches protected name `' || protected || '`'] END, {_o_glyph("'domain contains lookalike character `' || c || '` that may resemble `' || translate(c, 'ао', 'ao') || '`'")}), ['domain mixes ASCII and non-ASCII letters']), '|') AS reasons,
 array_to_string(list_concat(list_concat(list_concat(CASE WHEN protected IS NULL THEN [] ELSE ['homoglyph.skeleton=' || skeleton, 'homoglyph.protected_name=' || protected] END, ['idn.decoded=' || readable]), {_o_glyph("'glyph=' || c || '->' || translate(c, 'ао', 'ao')")}), ['idn.script_mixing=ascii+non_ascii']), '|') AS evidence FROM shapes""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    from ..functions import idn
-    from ..operators import detectors
+    """Through a whole scan: names are normalised, decoded, detected and merged."""
+    own = F.slice("evidence", 1, F.size("evidence") - 4)
+    hits = scan.findings(_idn_observed(spark, sf), CFG).where("detector = 'homoglyph'")
+    return hits.select(F.col("certificate_index").alias("idx"), "domain", "score", F.array_join("reasons", "|").alias("reasons"), _pairs(own).alias("evidence"))
+
+
+#: What the other detectors find in the ASCII forms: three hyphens and more, and parts an edit or two from official labels.
+@query("detect_all_idn", f"""WITH {_O_IDN_HITS},
+found AS (SELECT idx, domain, 'homoglyph' AS detector, CASE WHEN protected IS NULL THEN 45 ELSE 85 END AS score FROM shapes
+UNION ALL SELECT idx, domain, 'composition', 45 FROM idn WHERE k IN (2, 4, 7, 8)
+UNION ALL SELECT idx, domain, 'typosquat', CASE damerau_levenshtein(string_split(domain, '-')[3], CASE k WHEN 2 THEN 'paypal' ELSE 'microsoft' END) WHEN 1 THEN 85 ELSE 70 END FROM idn WHERE k IN (2, 8))
+SELECT idx, domain, detector, score FROM found""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = scan.findings(_idn_observed(spark, sf), CFG)
+    return rows.select(F.col("certificate_index").alias("idx"), "domain", "detector", "score")
+
+
+@query("san_idn", f"""WITH {_O_IDN}, raw AS (SELECT *, replace(list_extract({_list(_IDN)}, k), '{{n}}', CAST(idx AS VARCHAR)) AS original FROM idn)
+SELECT idx, 'plain' || idx || '.example' AS domain, 'plain' || idx || '.example' AS original, false AS is_idn FROM raw
+UNION ALL SELECT idx, domain, original, contains(domain, 'xn--') FROM raw WHERE domain IS NOT NULL""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of a certificate, one of them in another script or in punycode."""
+    from ..sources import mock
 
-    found_ = idn.readable(detectors.features(idn.normalize(_idn_names(spark, sf)).where("domain is not null")))
-    hits = found_.select("idx", "domain", F.explode(detectors.homoglyph(CFG)).alias("f"))
-    return hits.select("idx", "domain", "f.score", F.array_join("f.reasons", "|").alias("reasons"), _pairs("f.evidence").alias("evidence"))
+    rows = _idn_names(spark, sf).select(F.col("idx").alias("index"), F.array(F.concat(F.lit("plain"), F.col("idx").cast("string"), F.lit(".example")), "raw").alias("san_dns_names"), F.lit("2026-01-01T00:00:00Z").alias("observed_at"))
+    return mock.events_from(rows).select(F.col("index").alias("idx"), F.explode("domains").alias("d")).select("idx", F.col("d.normalized").alias("domain"), F.col("d.original").alias("original"), F.col("d.is_idn").alias("is_idn"))

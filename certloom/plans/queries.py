@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ACTION_TERMS, DEFAULT_KEYWORDS, demo
-from ..functions import checkpoints, domains as D, merkle, tiles
-from ..operators import decode, detectors, dns, list_detectors, scoring, sinks, state
+from ..functions import domains as D
+from ..functions import suffixes
+from ..operators import detection, detectors, list_detectors, scoring, sinks
 from . import fixtures, scan
 
 CFG = demo()
@@ -218,15 +219,36 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return names(spark, sf).select("idx", D.is_wildcard(F.col("raw")).alias("is_wildcard"), D.has_idn(F.col("domain")).alias("is_idn"))
 
 
-@query("normalize_pages", rf"SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?]+)', 1)) AS domain FROM pages")
+@query("normalize_pages", r"SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?]+)', 1)) AS domain FROM pages")
 def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _hosts(spark, sf)
+
+
+#: Rules of all kinds that the hosts of pages meet: registries, a private owner, a wildcard with an exception.
+SUFFIX_RULES = ("// a list", "com", "net", "org", "example.org", "*.example.net", "!ththon.example.net")
+_O_HOSTS = r"hosts AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?]+)', 1)) AS domain FROM pages), parts AS (SELECT *, string_split(domain, '.') AS p FROM hosts)"
+_O_PSL = f"""WITH {_O_HOSTS} SELECT page_id, domain, array_to_string(CASE WHEN p[-2:] = ['example', 'org'] THEN p[-3:]
+WHEN p[-2:] = ['example', 'net'] THEN CASE WHEN p[-3] = 'ththon' THEN p[-3:] ELSE p[-4:] END ELSE p[-2:] END, '.') AS registrable FROM parts"""
+
+
+def _hosts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", D.normalize(F.parse_url("url", F.lit("HOST"))).alias("domain"))
 
 
-@query("registrable_psl", f"WITH {_O_FEATURES} SELECT idx, registrable FROM features")
+@query("registrable_psl", _O_PSL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    rules = spark.createDataFrame([(s, "rule") for s in (*D.MULTI_SUFFIXES, "com", "net", "org", "io")], "suffix string, kind string")
-    return D.registrable_by_join(names(spark, sf), rules).select("idx", "registrable")
+    return suffixes.with_registrable(_hosts(spark, sf), suffixes.parsed(SUFFIX_RULES))
+
+
+@query("registrable_psl_join", _O_PSL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rules = spark.createDataFrame(D.public_suffix_rules(list(SUFFIX_RULES)), "suffix string, kind string")
+    return D.registrable_by_join(_hosts(spark, sf), rules)
+
+
+@query("registrable_known", f"WITH {_O_FEATURES} SELECT idx, registrable FROM features")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.with_registrable(names(spark, sf), suffixes.rules()).select("idx", "registrable")
 
 
 # --- filters -------------------------------------------------------------------------------------------------------
@@ -250,7 +272,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 # --- detectors -----------------------------------------------------------------------------------------------------
 def _detected(name: str) -> Run:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = detectors.detect(observed(spark, sf), CFG, {name: detectors.DETECTORS[name]})
+        rows = detection.detect(observed(spark, sf), CFG, [name])
         own = F.slice("evidence", 1, F.size("evidence") - 4)
         return rows.select(F.col("certificate_index").alias("idx"), "domain", "score", F.array_join("reasons", "|").alias("reasons"), _pairs(own).alias("evidence"))
 
@@ -266,8 +288,8 @@ def _listed(name: str) -> Run:
     """The same findings by joins with the lists as tables."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        kept = observed(spark, sf).where(~detectors.allowed(F.col("domain"), CFG))
-        rows = list_detectors.detect(kept, list_detectors.Lists.of(spark, CFG), [name])
+        seen = observed(spark, sf)
+        rows = detection.joined(seen, list_detectors.findings(detection.names_of(seen, CFG), list_detectors.Lists.of(spark, CFG), [name]))
         own = F.slice("evidence", 1, F.size("evidence") - 4)
         return rows.select(F.col("certificate_index").alias("idx"), "domain", "score", F.array_join("reasons", "|").alias("reasons"), _pairs(own).alias("evidence"))
 
@@ -283,7 +305,7 @@ def _rule(name: str, condition: str, score: str, reason: str, starts: str) -> No
     """One rule of composition: the findings that give its reason."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = detectors.detect(observed(spark, sf), CFG, {"composition": detectors.composition})
+        rows = detection.detect(observed(spark, sf), CFG, ["composition"])
         return rows.select(F.col("certificate_index").alias("idx"), F.explode("reasons").alias("reason")).where(F.col("reason").rlike(starts))
 
     QUERIES[name] = run
@@ -306,7 +328,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("detect_event", f"WITH {_O_FOUND} SELECT certificate_index // 4 AS event, domain, detector, CAST(max(score) AS INT) AS score, len(list_distinct(flatten(list(reasons)))) AS n_reasons FROM tidy GROUP BY ALL")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = observed(spark, sf).withColumns({"event": F.floor(F.col("certificate_index") / 4).cast("bigint"), "pos": (F.col("certificate_index") % 4).cast("int")})
-    merged = scoring.merge_findings(detectors.detect(rows, CFG), ["pos", "position"], ["event"])
+    merged = scoring.merge_findings(detection.detect(rows, CFG), ["pos", "position"], ["event"])
     return merged.select("event", "domain", "detector", "score", F.size(F.array_distinct("reasons")).cast("bigint").alias("n_reasons"))
 
 
@@ -366,11 +388,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return entries.join(hits, "tile", "left").select("tile", "entries", "parse_errors", F.coalesce("findings", F.lit(0)).alias("findings"))
 
 
-@query("scan_domain")
+@query("scan_domain", f"WITH {_O_ALERTS} SELECT domain, severity, score, array_to_string(detectors, '|') AS detectors FROM alerts")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.scan_domains(spark, ["paypa1-login.com", "github.com", "my-paypal.xyz", "login.account-reset.example.org"], CFG).select("domain", "severity", "score", F.array_join("detectors", "|").alias("detectors"))
-
+    """As names that a user gives, without certificates."""
+    return scan.scan_domains(spark, names(spark, sf).select("raw"), CFG).select("domain", "severity", "score", F.array_join("detectors", "|").alias("detectors"))
 
-ORACLES["scan_domain"] = "SELECT * FROM (VALUES ('paypa1-login.com', 'critical', 100, 'composition|homoglyph|keyword|typosquat'), ('my-paypal.xyz', 'critical', 100, 'brand|composition|homoglyph'), ('login.account-reset.example.org', 'medium', 65, 'composition|keyword')) t(domain, severity, score, detectors)"
 
 from . import log_queries  # noqa: E402, F401  registers the rest

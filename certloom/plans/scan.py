@@ -7,20 +7,22 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import domains as D
-from ..operators import decode, detectors, dns, scoring
+from ..functions import idn
+from ..operators import decode, detection, dns, scoring
 
 #: Says which finding of a domain came first.
 ORDER = ["certificate_index", "pos", "position"]
 META = ("certificate_sha256", "serial_number", "issuer", "not_before", "not_after")
 
 
-def manual_observations(spark: SparkSession, names: list[str]) -> DataFrame:
-    """Observations of names that a user gives; ValueError if one is not a domain."""
-    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "pos int, raw string")
-    bad = rows.select("raw", D.problem(F.col("raw")).alias("problem")).where("problem is not null").limit(1).collect()
+def manual_observations(spark: SparkSession, names: list[str] | DataFrame) -> DataFrame:
+    """Observations of names that a user gives, a list or a table (raw); ValueError if one is not a domain. Names of other scripts count by their ASCII form."""
+    given = names.withColumn("pos", F.monotonically_increasing_id()) if isinstance(names, DataFrame) else spark.createDataFrame(list(enumerate(names)), "pos bigint, raw string")
+    rows = idn.normalize(given)
+    bad = rows.where("domain is null").select("raw", F.when(idn.is_plain(F.col("raw")), D.problem(F.col("raw"))).otherwise("no valid internationalised name").alias("problem")).limit(1).collect()
     if bad:
         raise ValueError(f"{bad[0][0]!r}: {bad[0][1]}")
-    return with_metadata(rows.select(D.normalize(F.col("raw")).alias("domain"), "pos"), "manual", "manual")
+    return with_metadata(rows.select("domain", "pos"), "manual", "manual")
 
 
 def with_metadata(rows: DataFrame, source_log: str, source_type: str) -> DataFrame:
@@ -33,7 +35,7 @@ def with_metadata(rows: DataFrame, source_log: str, source_type: str) -> DataFra
 
 def findings(observations: DataFrame, cfg: Config) -> DataFrame:
     """Merged findings of each observation that reach the score, per certificate and domain."""
-    found = detectors.detect(observations, cfg)
+    found = detection.detect(observations, cfg)
     merged = scoring.merge_findings(found, ["pos", "position"], ["certificate_index"])
     return merged.where(F.col("score") >= cfg.rules.min_score)
 
@@ -42,7 +44,7 @@ def enriched(found: DataFrame, observed: DataFrame, cfg: Config, answers: DataFr
     """Findings with DNS evidence, and takeover findings, as the configuration asks. answers: a table to use instead of live lookups."""
     if not (cfg.dns.enabled or cfg.dns.takeover):
         return found
-    names = dns.lookup_domains(found, observed.where(~detectors.allowed(F.col("domain"), cfg)) if cfg.dns.takeover else None)
+    names = dns.lookup_domains(found, detection.kept(observed, cfg) if cfg.dns.takeover else None)
     answers = names.join(answers, "domain") if answers is not None else dns.resolve(names, cfg.dns.concurrency)
     out = dns.apply_dns(found, answers)
     if cfg.dns.takeover:
@@ -59,7 +61,7 @@ def alerts(found: DataFrame, cfg: Config) -> DataFrame:
     return scoring.group_alerts(merged).where(F.col("score") >= cfg.rules.min_alert_score)
 
 
-def scan_domains(spark: SparkSession, names: list[str], cfg: Config, answers: DataFrame | None = None) -> DataFrame:
+def scan_domains(spark: SparkSession, names: list[str] | DataFrame, cfg: Config, answers: DataFrame | None = None) -> DataFrame:
     """Ranked alerts for names that a user gives."""
     observed = manual_observations(spark, names)
     return scoring.ranked(alerts(enriched(findings(observed, cfg), observed, cfg, answers), cfg))

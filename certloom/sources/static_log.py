@@ -12,9 +12,12 @@ import hashlib
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -157,7 +160,8 @@ class Log:
 
 
 def mirror(folder: str) -> Log:
-    """A log mirrored under a folder that Python can open."""
+    """A log mirrored under a folder that Python can open, on all machines."""
+    folder = folder.removeprefix("file://")
 
     def get(path: str) -> bytes:
         with open(f"{folder}/{path}", "rb") as f:
@@ -166,6 +170,27 @@ def mirror(folder: str) -> Log:
     return Log(folder, get)
 
 
+def write_mirror(tiles: DataFrame, folder: str) -> int:
+    """Write data tiles (index, width, bytes) and the hash tiles of their entries as a mirror; how many. Tasks write them; one that is tried again puts the same files in place."""
+    top = Path(folder.removeprefix("file://"))
+
+    def put(path: str, data: bytes) -> None:
+        at = top / path
+        at.parent.mkdir(parents=True, exist_ok=True)
+        part = at.with_name(f".{at.name}-{uuid.uuid4().hex}")
+        part.write_bytes(data)
+        part.replace(at)
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for index, width, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                put(tile_path(None, index, width), data)
+                put(tile_path(0, index, width), b"".join(bytes.fromhex(row["merkle_leaf_hash"]) for row in decode.read_tile(data, index, width)))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return tiles.select("index", "width", "bytes").mapInArrow(written, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def read_mirror(spark: SparkSession, folder: str, first: int = 0, last: int | None = None) -> DataFrame:
     """(index, width, bytes) of the data tiles under a folder of any file system that Spark reads; a full tile goes before partial ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/tile/data")

@@ -1,10 +1,12 @@
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from certloom import config
 from certloom.config import Config
-from certloom.operators import detectors, list_detectors
+from certloom.operators import detection, list_detectors
 from certloom.plans import scan
 
 
@@ -35,9 +37,10 @@ CONFIGS = [
 def test_lists_as_tables_find_the_same(spark, names, monkeypatch, cfg, few):
     monkeypatch.setattr(list_detectors, "FEW", few)  # 0: no list is broadcast
     cfg = cfg.validated()
-    kept = names.where(~detectors.allowed(F.col("domain"), cfg))
-    got = rows(list_detectors.detect(kept, list_detectors.Lists.of(spark, cfg)))
-    want = rows(detectors.detect(kept, cfg))
+    monkeypatch.setattr(detection, "LITERALS", 0)
+    got = rows(detection.detect(names, cfg))
+    monkeypatch.setattr(detection, "LITERALS", 200)
+    want = rows(detection.detect(names, cfg))
     assert len(want) > 50 and [x[2] for x in got] == [x[2] for x in want]
 
 
@@ -45,7 +48,7 @@ def test_plans_do_not_grow_with_the_lists(spark, names):
     size = {}
     for n in (10, 10_000):
         cfg = Config(brands=[f"brand{i}" for i in range(n)] + ["paypal"], official_domains=[f"official{i}.com" for i in range(n)], keywords=[f"key{i}" for i in range(n)] + ["login"])
-        found = list_detectors.detect(names, list_detectors.Lists.of(spark, cfg))
+        found = detection.joined(names, list_detectors.findings(detection.names_of(names, cfg), list_detectors.Lists.of(spark, cfg)))
         size[n] = len(found._jdf.queryExecution().optimizedPlan().toString())
     assert size[10_000] < 1.2 * size[10]
     assert found.where("detector = 'brand'").count() > 20
@@ -54,3 +57,18 @@ def test_plans_do_not_grow_with_the_lists(spark, names):
 def test_deletions(spark):
     got = spark.range(1).select(list_detectors.deletions(F.lit("abcd"), 2).alias("x"), list_detectors.deletions(F.lit("a"), 1).alias("y")).first()
     assert sorted(got["x"]) == sorted({"abcd", "bcd", "acd", "abd", "abc", "cd", "bd", "bc", "ad", "ac", "ab"}) and sorted(got["y"]) == ["", "a"]
+
+
+def test_long_lists_of_a_configuration_are_tables(spark):
+    """Literals or joins by the lengths of the lists, reached from the configuration, with the same alerts."""
+    text = {"brands": ["paypal"], "official_domains": ["paypal.com"], "allowlist": ["fine.com"], "rules": {"allowlist_suffixes": ["ok.example"]}}
+    long = {"brands": ["paypal"] + [f"brand{i}x" for i in range(500)], "official_domains": ["paypal.com"] + [f"official{i}.com" for i in range(500)], "allowlist": ["fine.com"] + [f"a{i}.com" for i in range(500)], "rules": {"allowlist_suffixes": ["ok.example"] + [f"s{i}.example" for i in range(500)]}}
+    given = ["paypa1-login.com", "my-paypal.xyz", "fine.com", "x.ok.example", "paypal.com", "xn--pypal-4ve.com", "a7.com"]
+    shown = {}
+    for name, values in (("short", text), ("long", long)):
+        cfg = config.from_yaml(json.dumps(values))
+        assert detection.by_tables(cfg) == (name == "long")
+        alerts = scan.scan_domains(spark, given, cfg)
+        shown[name] = [(r["domain"], r["score"], r["detectors"], r["reasons"], sorted((e["kind"], e["value"] or "") for e in r["evidence"] if e["kind"] != "ct.observed_at")) for r in alerts.collect()]
+    assert [x for x in shown["long"] if x[0] != "a7.com"] == shown["short"]
+    assert [x[0] for x in shown["short"]] == ["paypa1-login.com", "xn--pypal-4ve.com", "my-paypal.xyz"]

@@ -1,3 +1,4 @@
+import dataclasses
 import random
 
 import pytest
@@ -5,9 +6,9 @@ from pyspark.sql import functions as F
 
 from certloom.config import Config, ConfigError, Rules, ct_base_url, demo, from_mapping
 from certloom.functions import domains as D
-from certloom.functions import idn
-from certloom.operators import detectors, dns, scoring, sinks, state
-from certloom.plans import scan
+from certloom.functions import idn, suffixes
+from certloom.operators import decode, detection, detectors, dns, scoring, sinks, state
+from certloom.plans import fixtures, scan
 
 
 def apply(spark, values, make):
@@ -152,7 +153,7 @@ def test_lookalikes_of_ones_own(spark):
     assert D.lookalikes_of('{"ø": "o", "а": "a"}') == {"ø": "o", "а": "a"}
     for bad in ("", "[]", '{"ab": "c"}', '{"a": "bc"}', '{"a": 1}', "{", '{"": "a"}'):
         assert D.lookalikes_of(bad) == D.FEW_LOOKALIKES
-    rows = detectors.features(spark.createDataFrame([("xn--x-4ga.com",)], "domain string")).withColumn("unicode", F.lit("xø.com"))
+    rows = detectors.features(spark.createDataFrame([("xn--x-4ga.com",)], "domain string"), demo()).withColumn("unicode", F.lit("xø.com"))
     found = rows.select(F.explode(detectors.homoglyph(Config(brands=["x"], lookalikes='{"ø": "o"}'))).alias("f")).first()["f"]
     assert "domain contains lookalike character `ø` that may resemble `o`" in found["reasons"]
 
@@ -166,3 +167,90 @@ def test_skeletons_of_unicode_names(spark):
     table = idn.confusables(spark)
     shapes = {"pаypаl.com": "paypal.corn", "раураl": "paypal", "micrоsоft": "rnicrosoft", "gοοgle": "google", "paypa1": "paypal", "ｇithub": "github"}
     assert {k: idn.skeleton_of(k, table) for k in shapes} == shapes
+
+
+SUFFIX_LIST = """// comment
+com
+uk
+co.uk
+github.io
+*.ck
+!www.ck
+kawasaki.jp
+*.kawasaki.jp
+!city.kawasaki.jp
+jp
+公司.cn
+cn
+"""
+
+
+def test_public_suffixes(spark, tmp_path, monkeypatch):
+    """Tasks and the driver agree, on rules of all kinds: the longest ending counts, exceptions go before it."""
+    (tmp_path / "list.dat").write_text(SUFFIX_LIST)
+    known = suffixes.rules(str(tmp_path / "list.dat"))
+    want = {
+        "secure.example.co.uk": "example.co.uk", "co.uk": "co.uk", "a.b.com": "b.com", "com": "com", "x.y.ck": "x.y.ck", "a.x.y.ck": "x.y.ck", "ck": "ck", "y.ck": "y.ck", "a.www.ck": "www.ck", "www.ck": "www.ck",
+        "me.github.io": "me.github.io", "deep.me.github.io": "me.github.io", "github.io": "github.io", "host.test": "host.test", "a.host.test": "host.test", "a.b.c.kawasaki.jp": "b.c.kawasaki.jp", "a.city.kawasaki.jp": "city.kawasaki.jp",
+        "kawasaki.jp": "kawasaki.jp", "x.jp": "x.jp", "a.b.xn--55qx5d.cn": "b.xn--55qx5d.cn",
+    }
+    rows = spark.createDataFrame([(x,) for x in [*want, None]], "domain string")
+    for most in (suffixes.MAX_BROADCAST, 0):
+        monkeypatch.setattr(suffixes, "MAX_BROADCAST", most)
+        found = suffixes.with_registrable(rows, known)
+        assert {r["domain"]: r["registrable"] for r in found.collect() if r["domain"]} == want
+        assert found.where("domain is null").first()["registrable"] is None
+    assert {d: suffixes.registrable(d, known) for d in want} == want
+    (tmp_path / "list.dat").write_text("com\nb.com\n")
+    assert suffixes.rules(str(tmp_path / "list.dat")) == known
+    suffixes.refresh(str(tmp_path / "list.dat"))
+    assert suffixes.rules(str(tmp_path / "list.dat")) == {"com": 1, "b.com": 1}
+
+
+def test_suffix_rules_reach_the_detectors(spark, tmp_path):
+    """A private suffix of the configuration's list moves the registrable label, and with it what detectors see."""
+    (tmp_path / "own.dat").write_text("com\nshop.example\n*.wild.example\n")
+    plan = lambda path: [(r["detector"], r["reasons"]) for r in scan.findings(scan.manual_observations(spark, ["payapl.shop.example"]), dataclasses.replace(demo(), public_suffixes=path)).collect()]
+    assert [d for d, _ in plan(str(tmp_path / "own.dat"))] == ["typosquat"]
+    assert plan(None) == []
+    assert len(suffixes.rules()) > 5000  # a whole list comes with Spark
+    joined = suffixes.with_registrable(spark.createDataFrame([("a.b.com",)], "domain string"), suffixes.rules())
+    text = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_names_of_other_scripts_in_a_scan(spark):
+    """Given by a user, or in certificates, raw or in punycode: decoded, and found by their skeleton."""
+    given = ["pаypal.com", "XN--PYPAL-4VE.net", "plain.example"]
+    alerts = {r["domain"]: r for r in scan.scan_domains(spark, given, demo()).collect()}
+    assert set(alerts) == {"xn--pypal-4ve.com", "xn--pypal-4ve.net"}
+    for domain, alert in alerts.items():
+        (found,) = [f for f in alert["findings"] if f["detector"] == "homoglyph"]
+        assert (found["score"], found["severity"]) == (85, "high") and ("idn.decoded", domain.replace("xn--pypal-4ve", "pаypal")) in [tuple(e) for e in found["evidence"]]
+    for bad in ("xn--paypa1-4ve.com", "xn--a.com", "a�.com"):
+        with pytest.raises(ValueError, match="internationalised"):
+            scan.manual_observations(spark, ["ok.com", bad])
+    names = ["pаypal.com", "*.xn--bcher-kva.example", "xn--paypa1-4ve.com", "bad_name.example", "Plain.example", "bücher.example"]
+    raw = spark.createDataFrame([(1, names), (2, ["only.example"]), (3, None)], "index bigint, san_dns_names array<string>")
+    null = F.lit(None).cast("string")
+    raw = raw.withColumns(dict.fromkeys(("source_log", "observed_at", "source_type", "certificate_sha256", "serial_number", "issuer", "not_before", "not_after"), null))
+    rows = {r["index"]: r for r in decode.certificate_events(raw).collect()}
+    assert [(d["normalized"], d["is_wildcard"], d["is_idn"]) for d in rows[1]["domains"]] == [("xn--pypal-4ve.com", False, True), ("xn--bcher-kva.example", True, True), ("plain.example", False, False)]
+    assert {r["value"]: r["error"] for r in rows[1]["rejected_domains"]} == {"xn--paypa1-4ve.com": "no valid internationalised name", "bad_name.example": "invalid characters in label"}
+    assert [d["normalized"] for d in rows[2]["domains"]] == ["only.example"]
+
+
+def test_certificates_with_names_of_other_scripts(spark):
+    """Through tiles: what Python reads anyway also gives the ASCII forms."""
+    tile = b"".join(fixtures.entry(1_700_000_000_000 + i, fixtures.certificate(names, i + 1)) for i, names in enumerate([["xn--pypal-4ve.com"], ["plain.example"], ["xn--paypa1-4ve.com"]]))
+    tiles = spark.createDataFrame([(0, 3, bytearray(tile))], "index bigint, width int, bytes binary")
+    alerts, errors = scan.scan_tiles(tiles, "log", demo())
+    assert [(r["domain"], "homoglyph" in r["detectors"]) for r in alerts.collect()] == [("xn--pypal-4ve.com", True)] and errors.count() == 0
+
+
+def test_plain_names_stay_in_the_jvm(spark):
+    """The branch of plain names has no Python in it: Arrow stands behind the filter for other scripts only."""
+    names = scan.with_metadata(spark.range(5).select(F.concat(F.lit("paypa1-"), F.col("id").cast("string"), F.lit(".com")).alias("domain")), "log", "ct")
+    plan = detection.detect(names, demo())._jdf.queryExecution().optimizedPlan().toString()
+    branches = plan.split("Union")[1]
+    assert plan.count("ArrowEvalPython") == 1 and branches.index("NOT (StartsWith") < branches.index("ArrowEvalPython")
