@@ -1,13 +1,16 @@
 """The join of all documents whose word n-gram sets have a Jaccard likeness of 80 % or more, exact.
 
-Equal sets are one class. Two linked sets share one of their rarest shingles at least: of a set of s the first
-s - ceil(0.8 s) + 1 in an order that all sets use, rarest first, by counts of all shingles in buckets. Only such
-shingles that two sets have leave their task. A shingle and a size band then name sets that may link; what hangs
-together by them is a region, and its sets meet in tiles: all of a small region, or two blocks of the same or of
-neighbouring size bands. A task looks at one tile. There bitmap signatures, in which each shingle flips a hashed bit,
-bound what two sets share from above, as all bits that differ are of shingles that one has and the other lacks; what
-passes is intersected exactly. Tiles give sums of links for each set and as few links as hold its components together,
-never pairs.
+Equal sets are one class. In an order that all sets use, rarest shingles first by counts of all shingles in buckets,
+two linked sets share `shared(size)` shingles at least among the first size - ceil(0.8 size) + shared(size) of each. So
+a set of whose first shingles fewer occur in other sets is linked with none; most sets go no further, and of the
+others only these shingles leave their task. A shingle and a size band then name sets that may link. Each key has a
+hub, its least set; a set forgets the hubs that it has the fewest keys with, as long as what two sets forget is less than
+what linked ones share. So sets that share a phrase by chance do not hang together. What does is a region.
+
+The sets of a region meet in tiles: all of a small region, or two blocks of the same or of neighbouring size bands. A
+task looks at one tile. There bitmap signatures, in which each shingle flips a hashed bit, bound what two sets share
+from above, as all bits that differ are of shingles that one has and the other lacks; what passes is intersected
+exactly. Tiles give sums of links for each set and as few links as hold its components together, never pairs.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom, common
@@ -94,42 +97,99 @@ def bucket_counts(docs: DataFrame) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(out)
 
 
+def least_shared(size: np.ndarray) -> np.ndarray:
+    """Shingles that a set has in its first ones beyond those that it could miss in a linked set."""
+    return np.maximum(-(-size // 10), np.minimum(needed(size), 8))
+
+
+def needed(size: np.ndarray) -> np.ndarray:
+    """What a set shares with a linked one at least."""
+    return -(-size * PERCENT // 100)
+
+
+def shared(size: np.ndarray) -> np.ndarray:
+    """What a set shares with any linked set among the first shingles of both: least_shared of the smallest set that it can be linked with."""
+    return least_shared(needed(size))
+
+
 def rarest(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of which two linked sets share one: the first in the order of (count of the bucket, hash)."""
-    n = len(own) - (len(own) * PERCENT + 99) // 100 + 1
+    """The first shingles of a set in the order of (count of the bucket, hash)."""
+    n = len(own) - int(needed(np.int64(len(own)))) + int(least_shared(np.int64(len(own))))
     return own[np.lexsort((own, counts[own >> U64(64 - BUCKET_BITS)]))[:n]]
 
 
-_MET = pa.schema([("key", pa.int64()), ("set", pa.int64())])
+_FIRST = pa.schema([("shingle", pa.int64()), ("set", pa.int64()), ("hot", pa.bool_())])
+
+
+def firsts(docs: DataFrame, counts: Broadcast) -> DataFrame:
+    """(shingle, set, hot) of docs (doc_id, text): the rarest shingles of each set. hot: its bucket is so full that other sets have it for sure, or as good as."""
+    most = 1000 + 8 * int(counts.value.mean())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [s for s in sets(batch.column(1)) if len(s)]
+            first = [rarest(s, counts.value) for s in own]
+            all_ = np.concatenate([*first, np.zeros(0, U64)])
+            names = np.repeat(np.array([_name(s)[0] for s in own], np.int64), [len(x) for x in first])
+            yield common.batch_of(_FIRST, [all_.view(np.int64), names, counts.value[all_ >> U64(64 - BUCKET_BITS)] > most])
+
+    return docs.mapInArrow(run, "shingle bigint, set bigint, hot boolean")
+
+
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set, shingle) of rows (shingle, set, hot) in order whose shingle is hot or has another set beside it. A row that batches part from the next is let through."""
+    for batch in batches:
+        shingle, name = (np.asarray(batch.column(i)) for i in (0, 1))
+        if not len(shingle):
+            continue
+        same = shingle[1:] == shingle[:-1]
+        first = np.flatnonzero(np.append(True, ~same))
+        mixed = np.logical_or.reduceat(np.append(False, same & (name[1:] != name[:-1])), first)
+        out = np.repeat(mixed, np.diff(first, append=len(shingle))) | np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
+        out |= (shingle == shingle[0]) | (shingle == shingle[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(name[out]), pa.array(shingle[out])], names=["set", "shingle"])
+
+
+def repeated(first: DataFrame) -> DataFrame:
+    """(set, shingle) of firsts that several sets have, and a few more. Rows meet by shingle, but for hot ones, which are spread."""
+    n = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    to = F.when(F.col("hot"), F.xxhash64("shingle", "set")).otherwise(F.col("shingle"))
+    return first.repartition(n, to).sortWithinPartitions("shingle", "set").mapInArrow(_again, "set bigint, shingle bigint")
+
+
+def _needed(size: Column) -> Column:
+    """As needed()."""
+    return F.ceil(size * PERCENT / 100)
+
 
+def _shared(size: Column) -> Column:
+    """As shared()."""
+    n = _needed(size)
+    return F.greatest(F.ceil(n / 10), F.least(_needed(n), F.lit(8)))
 
-def meetings(docs: DataFrame, counts: Broadcast) -> DataFrame:
-    """(key, set) of docs (doc_id, text), key naming a shingle and a size band: linked sets have a key in common. Shingles that one set alone has are left out, but for a few."""
 
-    def values(batch: pa.RecordBatch) -> bloom.Values:
-        own = [s for s in sets(batch.column(1))]
-        first = [rarest(s, counts.value) if len(s) else s for s in own]
-        n = np.array([len(x) for x in first], np.int64)
-        size = np.repeat(np.array([len(s) for s in own], np.int64), n)
-        name = np.repeat(np.array([_name(s)[0] if len(s) else 0 for s in own], np.int64), n)
-        return np.repeat(np.arange(len(own)), n), np.concatenate([*first, np.zeros(0, U64)]), (size, name)
+def _band(size: Column) -> Column:
+    """As band_of()."""
+    return F.lit(len(BANDS) - 1) - F.size(F.filter(F.array(*map(F.lit, BANDS.tolist())), lambda least: least > size))
 
-    def met(batch: pa.RecordBatch, own: bloom.Values, suspected: np.ndarray) -> pa.RecordBatch:
-        _, shingle, (size, name) = own
-        shingle, size, name = shingle[suspected], size[suspected], name[suspected]
-        band = band_of(size)
-        lower = np.flatnonzero(band_of((size * PERCENT + 99) // 100) < band)  # may be the larger one of a pair that the band below names
-        key = common.mix(np.concatenate([shingle, shingle[lower]]) ^ common.mix(np.concatenate([band, band[lower] - 1]).astype(U64)))
-        return common.batch_of(_MET, [key.view(np.int64), np.concatenate([name, name[lower]])])
 
-    return bloom.suspects(docs, values, met, "key bigint, set bigint")
+def meetings(again: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(key, set, band) of sets with shared(size) shingles that others have too: linked sets have as many keys of a band in common. sizes: (set, n_shingles)."""
+    held = again.groupBy("set").agg(F.collect_set("shingle").alias("shingles")).join(sizes, "set").where(F.size("shingles") >= _shared(F.col("n_shingles")))
+    own, low = _band(F.col("n_shingles")), _band(_needed(F.col("n_shingles")))  # the larger one of a pair may be what the band below names
+    bands = F.when(low < own, F.array(own, own - 1)).otherwise(F.array(own))
+    rows = held.select("set", F.explode(bands.cast("array<tinyint>")).alias("band"), "shingles").select("set", "band", F.explode("shingles").alias("shingle"))
+    return rows.select(F.xxhash64("shingle", "band").alias("key"), "set", "band")
 
 
-def regions(met: DataFrame) -> DataFrame:
-    """(node, component) of sets that hang together by keys."""
+def regions(met: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, component) of sets that hang together by hubs of keys that they have not forgotten."""
     met = common.shared_table(met, "met")
-    least = met.groupBy("key").agg(F.min("set").alias("a"), F.max("set").alias("b")).where("a <> b").select("key", "a")
-    return components(met.join(least, "key").select("a", F.col("set").alias("b")).distinct())
+    hubs = met.groupBy("key").agg(F.min("set").alias("hub"), F.max("set").alias("last")).where("hub <> last").select("key", "hub")
+    ways = met.join(hubs, "key").where("set <> hub").groupBy("set", "band", "hub").agg(F.count("*").alias("n")).join(sizes, "set")
+    before = F.sum("n").over(Window.partitionBy("set", "band").orderBy("n", "hub").rowsBetween(Window.unboundedPreceding, 0))
+    kept = ways.withColumn("so_far", before).where(F.col("so_far") > F.floor((_shared(F.col("n_shingles")) - 1) / 2))
+    return components(kept.select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct())
 
 
 def signatures(own: list[np.ndarray], bits: int) -> np.ndarray:
@@ -215,8 +275,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def tiled(members: DataFrame) -> DataFrame:
     """members (region, node, n_shingles, ...) with TILE and side, a row for each tile that a set is in."""
-    band = F.lit(len(BANDS)) - F.size(F.filter(F.array(*map(F.lit, BANDS.tolist())), lambda e: e > F.col("n_shingles")))
-    members = members.withColumn("band", band)
+    members = members.withColumn("band", _band(F.col("n_shingles")))
     blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK_SETS), F.ceil(s / BLOCK_SHINGLES)).cast("bigint")
     by_band = members.groupBy("region", "band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     large = by_band.groupBy("region").agg(blocks(F.sum("n"), F.sum("s")).alias("all"), F.map_from_entries(F.collect_list(F.struct("band", blocks(F.col("n"), F.col("s"))))).alias("blocks")).where("all > 1").drop("all")
@@ -253,7 +312,9 @@ def links(docs: DataFrame, text: str = "text") -> DataFrame:
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     one_each = bloom.holding(texts, bloom.members(classes.select("doc_id")))
-    region = common.shared_table(regions(meetings(one_each, bucket_counts(one_each))), "regions")
+    sizes = classes.groupBy("set").agg(F.max("n_shingles").alias("n_shingles"))
+    again = repeated(firsts(one_each, bucket_counts(one_each)))
+    region = common.shared_table(regions(meetings(again, sizes), sizes), "regions")
     members = common.shared_table(classes.join(region, classes["set"] == region["node"]).select(F.col("component").alias("region"), classes["node"], "doc_id", "n_shingles", "copies"), "members")
 
     wanted = bloom.members(members.select("doc_id"))

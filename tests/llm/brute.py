@@ -208,11 +208,15 @@ def alignment(docs, left, right):
                 links.append((ids_a[i], ids_b[m]))
                 m += 1
         cuts = sorted({e for _, e in spans_a} & {e for _, e in spans_b})
-        groups, lo = [], 0
-        for hi in cuts:
-            inside = lambda ids, spans: ",".join(str(x) for x, s in zip(ids, spans, strict=True) if lo <= s[0] < hi)  # noqa: B023, E731
-            groups.append(f"{inside(ids_a, spans_a)}|{inside(ids_b, spans_b)}")
-            lo = hi
+        sides = []
+        for ids, spans in ((ids_a, spans_a), (ids_b, spans_b)):
+            group = [[]]
+            for x, (_, hi) in zip(ids, spans, strict=True):
+                group[-1].append(str(x))
+                if hi == cuts[len(group) - 1]:
+                    group.append([])
+            sides.append([",".join(g) for g in group[:-1]])
+        groups = ["|".join(g) for g in zip(*sides, strict=True)]
         held.update(set(links))
         out.append([doc, len(ids_a), len(ids_b), len(cuts), links, sha(";".join(groups))])
     top = Counter()

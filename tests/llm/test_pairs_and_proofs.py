@@ -102,6 +102,22 @@ def test_bands_hold_all_links():
     assert (band[(size * 5 // 4).clip(max=size[-1]) - 1] - band <= 1).all()
 
 
+def test_linked_sets_share_first_shingles():
+    """At least shared(size) of both, and so more than what two sets forget."""
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 9, 1 << jaccard_join.BUCKET_BITS)
+    for _ in range(1500):
+        n = int(rng.integers(1, 130))
+        a = rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)
+        out, more = int(rng.integers(0, n // 5 + 1)), int(rng.integers(0, n // 4 + 1))
+        a, b = np.unique(a), np.unique(np.concatenate([a[out:], rng.integers(0, 2**63, more).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 80 * (len(a) + len(b) - both):
+            met = len(np.intersect1d(jaccard_join.rarest(a, counts), jaccard_join.rarest(b, counts)))
+            x, y = (int(jaccard_join.shared(np.int64(len(s)))) for s in (a, b))
+            assert met >= max(x, y) and (x - 1) // 2 + (y - 1) // 2 < met
+
+
 def test_signatures_bound_from_above():
     rng = np.random.default_rng(1)
     for n in (3, 50, 900):
