@@ -142,18 +142,19 @@ def build(items: list[tuple[str, str | None]], window: int = WINDOW) -> Automato
     return out.finish()
 
 
-def _shards(items: DataFrame, window: int, most: int) -> list[Broadcast]:
-    """The automata, each of a bounded number of words; broadcast one by one."""
-    spark = items.sparkSession
+def _shards(items: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """(item_id, text, shard) of items, and the number of shards, of about `most` words each. Several are written by shard, so that each is read by itself."""
     words = F.length(F.coalesce(F.col("text"), F.lit(""))) / 2 + 1  # no text has more words
     total = items.agg(F.sum(words)).first()[0] or 0
     n = max(1, -(-int(total) // most))
-    item = F.col("item_id").cast("string")
-    out = []
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).select(item.alias("item_id"), "text").where("item_id is not null").collect()
-        out.append(spark.sparkContext.broadcast(build([(r[0], r[1]) for r in rows], window)))
-    return out
+    rows = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text", F.pmod(F.xxhash64("item_id"), F.lit(n)).alias("shard"))
+    return (common.shared_table(rows.repartitionByRange(n, "shard").sortWithinPartitions("shard"), "items") if n > 1 else rows), n
+
+
+def _automaton(rows: DataFrame, shard: int, window: int) -> Broadcast:
+    """The automaton of one shard: the driver builds it, and tasks get it once."""
+    own = rows.where(F.col("shard") == shard).select("item_id", "text").collect()  # bounded by the words of a shard
+    return rows.sparkSession.sparkContext.broadcast(build([(r[0], r[1]) for r in own], window))
 
 
 def _spans(hit: np.ndarray) -> np.ndarray:
@@ -209,8 +210,10 @@ def _pass(shard: Broadcast, first: bool, schema: pa.Schema, text: int):
 def find(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, most: int = MAX_WORDS) -> tuple[DataFrame, list[str]]:
     """docs with three more columns, whose names are returned: words, hit spans (words and UTF-8 bytes), items met.
 
-    items has (item_id, text); items without words or id are ignored. A document without text has no words. All rows
-    and columns of docs stay, repeated ones too.
+    items has (item_id, text); items without words or id are ignored. A document without text has no words. Texts of any
+    length are taken whole, and of words that several items hit all items count. All rows and columns of docs stay,
+    repeated ones too. Items of more than `most` words are several automata, of which one is in memory at a time: the
+    documents pass each in turn, and what was found is written in between.
     """
     common.prepare(docs.sparkSession)
     names = common.fresh(docs, "n_words", "spans", "items")
@@ -218,8 +221,16 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WI
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow, at = to_arrow_schema(schema), docs.columns.index(text)
-    for k, shard in enumerate(_shards(items, window, most)):
-        docs = docs.mapInArrow(_pass(shard, k == 0, arrow, at), schema)
+    rows, n = _shards(items, most)
+    for k in range(n):
+        automaton = _automaton(rows, k, window)
+        found = docs.mapInArrow(_pass(automaton, k == 0, arrow, at), schema)
+        if k + 1 < n:
+            found = common.shared_table(found, "met")
+            automaton.destroy()
+            if k:
+                common.forget(docs)
+        docs = found
     return docs, names
 
 

@@ -54,6 +54,30 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
+def test_one_automaton_at_a_time(spark, docs, plain, monkeypatch):
+    """Items of five shards: what they hit together is that of all at once, and no two automata are there."""
+    long = max((t for _, t in plain if t), key=len).split(" ")
+    items = [(i, " ".join(long[40 * i : 40 * i + 20])) for i in range(40)] + [(99, "one two three")]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    alive, most, made, plain_broadcast = [], [0], [0], spark.sparkContext.broadcast
+
+    def broadcast(value):
+        out = plain_broadcast(value)
+        made[0] += 1
+        alive.append(out)
+        most[0] = max(most[0], len(alive))
+        destroy = out.destroy
+        out.destroy = lambda *a: (alive.remove(out), destroy(*a))
+        return out
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    total = sum(len(t) / 2 + 1 for _, t in items)
+    found, (n_words, spans, met) = decontamination.find(docs.select("doc_id", "text"), table, most=int(total / 4.5))
+    got = rows(found.select("doc_id", F.col(n_words), decontamination._hits(spans), F.size(met).cast("bigint"), F.sha2(F.array_join(F.array_sort(met), ",").cast("binary"), 256), decontamination.is_contaminated(n_words, spans)))
+    assert got == sorted(brute.decontamination(plain, items), key=repr)
+    assert made[0] == 5 and most[0] == 1
+
+
 def test_decontamination(spark, docs, plain, none):
     long = max((t for _, t in plain if t), key=len).split(" ")
     items = [(1, " ".join(long[100:140])), (2, "one two three"), (10, " ".join(long[110:123]).upper()), (3, None), (4, " . "), (5, "zzz"), (2, "one two three")]
