@@ -42,7 +42,14 @@ class Outputs:
 class Dns:
     enabled: bool = False
     takeover: bool = False
+    #: Lookups under way at once, over all tasks.
     concurrency: int = 16
+    #: Lookups a second, over all tasks; no limit if it is not set.
+    per_second: float | None = None
+    #: A folder of answers, which later scans ask again only when they have expired.
+    cache: str | None = None
+    #: Seconds for which it is kept that a name has no address.
+    negative_ttl: int = 900
 
 
 @dataclass
@@ -87,6 +94,8 @@ class Config:
                 raise ConfigError(f"rules.{name} must be 0 to 100")
         if not 1 <= self.dns.concurrency <= 128:
             raise ConfigError("dns.concurrency must be 1 to 128")
+        if self.dns.per_second is not None and not self.dns.per_second > 0 or self.dns.negative_ttl < 0:
+            raise ConfigError("dns.per_second must be over 0 and dns.negative_ttl not under it")
         for url in (self.outputs.webhook_url, self.outputs.slack_webhook_url):
             if url is not None and (urlsplit(url).scheme not in ("http", "https") or not urlsplit(url).netloc):
                 raise ConfigError("outputs need http(s) URLs")

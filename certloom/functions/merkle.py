@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +73,57 @@ def subtree_plan(size: int) -> list[tuple[int, int, int]]:
     return out
 
 
+@dataclass(frozen=True)
+class Frontier:
+    """The roots of the perfect subtrees of a tree of `size` leaves, largest first: all that a tree needs of its past to grow."""
+
+    size: int = 0
+    roots: tuple[bytes, ...] = ()
+
+    def grown(self, size: int, root_of: Callable[[int, int], bytes]) -> Frontier:
+        """The frontier at a larger size. root_of(start, n) is the root of n leaves from start on, a perfect subtree of what is new: nothing older is asked for."""
+        sizes, roots, at = [n for _, n, _ in subtree_plan(self.size)], list(self.roots), self.size
+        while at < size:
+            n = at & -at if at else 1 << (size.bit_length() - 1)
+            while at + n > size:
+                n >>= 1
+            sizes.append(n)
+            roots.append(root_of(at, n))
+            at += n
+            while len(sizes) > 1 and sizes[-1] == sizes[-2]:
+                right = roots.pop()
+                sizes.pop()
+                roots[-1] = hashlib.sha256(b"\x01" + roots[-1] + right).digest()
+                sizes[-1] *= 2
+        return Frontier(at, tuple(roots))
+
+    def root(self) -> bytes:
+        """Of the whole tree; that of no leaves is the hash of nothing."""
+        if not self.roots:
+            return hashlib.sha256(b"").digest()
+        out = self.roots[-1]
+        for left in reversed(self.roots[:-1]):
+            out = hashlib.sha256(b"\x01" + left + out).digest()
+        return out
+
+
+def frontiers(hashes: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """(size, roots): the frontier at each of the sizes (size, at most `most`), of leaf hashes (index, hash).
+
+    The nodes of all levels are a table; a size asks for its subtrees by (level, place) in one equi-join.
+    """
+    nodes, level, count = hashes.select(F.lit(0).alias("level"), "index", "hash"), hashes, most
+    for k in range(1, max(most, 1).bit_length()):
+        count //= 2
+        level = next_level(level).where(F.col("index") < count)  # an odd last one is no perfect subtree
+        nodes = nodes.unionByName(level.select(F.lit(k).alias("level"), "index", "hash"))
+    wanted = sizes.where("size > 0").select("size", F.explode(subtree_plans(F.col("size"))).alias("s"))
+    wanted = wanted.select("size", F.col("s.start").alias("start"), (F.length(F.bin("s.subtree")) - 1).alias("level"), (F.col("s.start") / F.col("s.subtree")).cast("bigint").alias("index"))
+    met = wanted.join(nodes, ["level", "index"]).groupBy("size").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "hash"))), lambda x: x["hash"]).alias("roots"))
+    none = sizes.where("size = 0").select("size", F.array().cast("array<binary>").alias("roots"))
+    return met.unionByName(none)
+
+
 def subtree_plans(size: Column) -> Column:
     """subtree_plan of a column of sizes (bigint): array<struct<start, subtree, level>>, largest first; empty for 0."""
     bits = F.filter(F.sequence(F.lit(62), F.lit(0)), lambda b: F.call_function("shiftright", size, b).bitwiseAND(1) == 1)

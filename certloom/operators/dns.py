@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..config import Dns
 from ..functions import domains as D
 from ..ship import ship
 
@@ -70,27 +74,95 @@ def lookup_domains(findings: DataFrame, observed: DataFrame | None) -> DataFrame
     return (names if observed is None else names.union(observed.select("domain"))).distinct()
 
 
-def resolve(domains: DataFrame, concurrency: int = 16, lookup: Callable[[str], dict] | None = None) -> DataFrame:
-    """schemas.DNS of each name by live lookups, `concurrency` at a time in each task.
+class Pace:
+    """Starts of lookups in a task, at least so many seconds apart; for several threads."""
 
-    lookup gives (domain, ips, cname_chain, error) of a name; without one, the servers that the machine of the task names
-    are asked.
+    def __init__(self, seconds: float):
+        self.seconds, self.next, self.lock = seconds, 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        with self.lock:
+            now = time.monotonic()
+            at = max(now, self.next)
+            self.next = at + self.seconds
+        time.sleep(at - now)
+
+
+def resolve(domains: DataFrame, concurrency: int = 16, lookup: Callable[[str], dict] | None = None, per_second: float | None = None) -> DataFrame:
+    """schemas.DNS and ttl of each name by live lookups, `concurrency` at a time and `per_second` a second over all tasks.
+
+    There are no more tasks than lookups at a time, and each has its share of both, so that a larger cluster does not ask
+    more. lookup gives (domain, ips, cname_chain, error, ttl) of a name; without one, the servers that the machine of the
+    task names are asked.
     """
+    tasks = max(1, min(concurrency, int(domains.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    threads, pause = max(1, concurrency // tasks), tasks / per_second if per_second else 0.0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from concurrent.futures import ThreadPoolExecutor
 
         from ..sources.resolver import Resolver
 
-        ask = lookup or Resolver()
-        with ThreadPoolExecutor(concurrency) as pool:
+        ask, pace = lookup or Resolver(), Pace(pause)
+
+        def one(domain: str) -> dict:
+            pace.wait()
+            return {"ttl": None} | ask(domain)
+
+        with ThreadPoolExecutor(threads) as pool:
             for batch in batches:
-                rows = list(pool.map(ask, batch["domain"]))
-                yield pd.DataFrame(rows, columns=["domain", "ips", "cname_chain", "error"], dtype=object)
+                rows = list(pool.map(one, batch["domain"]))
+                yield pd.DataFrame(rows, columns=["domain", "ips", "cname_chain", "error", "ttl"], dtype=object)
 
     ship(domains.sparkSession)
-    told = domains.select("domain").mapInPandas(run, "domain string, ips array<string>, cname_chain array<string>, error string")
-    return told.select("domain", (F.size("ips") > 0).alias("resolved"), answer(F.col("ips"), D.classify_dns_error(F.col("error"))).alias("status"), "ips", "cname_chain", errors_of(F.col("error")).alias("errors"))
+    told = domains.select("domain").repartition(tasks, "domain").mapInPandas(run, "domain string, ips array<string>, cname_chain array<string>, error string, ttl bigint")
+    return told.select("domain", "ttl", (F.size("ips") > 0).alias("resolved"), answer(F.col("ips"), D.classify_dns_error(F.col("error"))).alias("status"), "ips", "cname_chain", errors_of(F.col("error")).alias("errors"))
+
+
+#: Seconds for which an answer is kept: at least, at most, and where it does not say; and what failed for a reason that may pass.
+LEAST_TTL, MOST_TTL, USUAL_TTL, FAILED_TTL = 60, 86_400, 300, 60
+
+
+def kept_until(answers: DataFrame, now: int, negative_ttl: int) -> DataFrame:
+    """answers of resolve() with asked_at and expires_at (seconds since 1970)."""
+    found = F.least(F.greatest(F.coalesce("ttl", F.lit(USUAL_TTL)), F.lit(LEAST_TTL)), F.lit(MOST_TTL))
+    seconds = F.when(F.col("resolved"), found).when(F.col("status").isin("nx_domain", "no_data"), negative_ttl).otherwise(FAILED_TTL)
+    return answers.withColumns({"asked_at": F.lit(now).cast("bigint"), "expires_at": F.lit(now).cast("bigint") + seconds.cast("bigint")}).drop("ttl")
+
+
+def last_answers(rows: DataFrame, now: int) -> DataFrame:
+    """Of kept answers the last of each name, if it was asked now or has not expired; one sum by name."""
+    last = rows.where((F.col("expires_at") > now) | (F.col("asked_at") == now)).groupBy("domain").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "domain"]), "asked_at").alias("x"))
+    return last.select("domain", "x.*")
+
+
+CACHED = f"{schemas.DNS}, asked_at bigint, expires_at bigint"
+
+
+def answered(names: DataFrame, options: Dns, now: int | None = None, lookup: Callable[[str], dict] | None = None) -> DataFrame:
+    """schemas.DNS of names, by a table of answers kept in options.cache where there is one: only names without an answer, or with one that has expired, are looked up, once, and added to it."""
+    spark, now = names.sparkSession, int(time.time()) if now is None else now
+    columns = [c.split()[0] for c in schemas.DNS.split(", ")]
+    asking = lambda rows: resolve(rows, options.concurrency, lookup, options.per_second)
+    if not options.cache:
+        return asking(names).select(*columns).persist()  # what uses the answers twice does not ask twice
+    path = spark._jvm.org.apache.hadoop.fs.Path(options.cache)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    table = lambda: last_answers(spark.read.schema(CACHED).parquet(options.cache), now)
+    due = names.join(table(), "domain", "left_anti") if there else names
+    kept_until(asking(due), now, options.negative_ttl).select(*[c.split()[0] for c in CACHED.split(", ")]).write.mode("append").parquet(options.cache)
+    return names.join(table(), "domain").select(*columns)
+
+
+def compact_answers(spark: SparkSession, options: Dns, now: int | None = None) -> None:
+    """Write the table of answers anew beside itself, without what has expired or was asked again, and put it in place."""
+    now = int(time.time()) if now is None else now
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    old, new = fs_path(options.cache), fs_path(f"{options.cache}-{uuid.uuid4().hex}")
+    last_answers(spark.read.schema(CACHED).parquet(options.cache), now).write.parquet(new.toString())
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    fs.rename(new, old)
 
 
 def errors_of(error: Column) -> Column:

@@ -2,23 +2,30 @@
 
 Findings depend on the name alone, so each distinct name is looked at once and its findings are joined to the
 observations. A list is broadcast if it has at most FEW rows, else shuffled. What a name could match is exploded: its
-tokens, the substrings of its label, the strings that deletions leave of a candidate. The results are those of
-`detectors`.
+tokens, the strings that deletions leave of a candidate; protected names inside a label are found by an automaton. The
+results are those of `detectors`.
 """
 
 from __future__ import annotations
 
+import importlib.util
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ACTION_TERMS, Config
 from ..functions import domains as D
 from ..functions import suffixes
+from ..ship import ship
 from . import detectors as base
 
 FEW = 100_000
+#: Bytes of words whose automaton each worker builds at most.
+MAX_WORD_BYTES = 8 << 20
 
 
 def _side(table: DataFrame, few: int | None = None) -> DataFrame:
@@ -152,6 +159,50 @@ def typosquat(names: DataFrame, lists: Lists, max_distance: int = base.MAX_DISTA
     return best.select("domain", F.col("official_at").alias("at"), base.typosquat_finding(F.col("official"), F.col("label"), F.col("x.candidate"), F.col("x.distance")).alias("f"))
 
 
+_automata: dict[int, object] = {}
+
+
+def _automaton(words: Broadcast):  # noqa: ANN202
+    """The automaton of the words of a broadcast variable, built once in each Python worker."""
+    import ahocorasick
+
+    key = id(words.value)
+    if key not in _automata:
+        _automata.clear()
+        made = ahocorasick.Automaton()
+        for word in words.value:
+            made.add_word(word, word)
+        made.make_automaton()
+        _automata[key] = made
+    return _automata[key]
+
+
+def contained(names: DataFrame, words: DataFrame, shortest: int, longest: int) -> DataFrame:
+    """(domain, reg_label, word): the words that each label has in it, each once.
+
+    One pass of an Aho-Corasick automaton over the label, whatever the number of words; rows are matches only. The
+    automaton's words are broadcast if they are counted to have MAX_WORD_BYTES at most. Beyond that, the substrings of
+    each label that are as long as words meet the words in an equi-join.
+    """
+    bytes_ = words.agg(F.sum(F.octet_length("word"))).first()[0] or 0
+    if importlib.util.find_spec("ahocorasick") is None or bytes_ > MAX_WORD_BYTES:
+        label, n = F.col("reg_label"), F.length("reg_label")
+        sizes = F.sequence(F.lit(shortest), F.lit(longest))
+        parts = F.array_distinct(F.flatten(F.transform(sizes, lambda size: _upto(n - size + 1, lambda i: F.substr(label, i, size)))))
+        return names.select("domain", "reg_label", F.explode(parts).alias("word")).join(_side(words.select("word")), "word")
+    ship(names.sparkSession)
+    sent = names.sparkSession.sparkContext.broadcast([r[0] for r in words.select("word").collect()])
+    schema = pa.schema([(c, pa.string()) for c in ("domain", "reg_label", "word")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _automaton(sent)
+            rows = [(domain, label, word) for domain, label in zip(*(c.to_pylist() for c in batch.columns), strict=True) for word in dict.fromkeys(w for _, w in found.iter(label or ""))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], schema=schema)
+
+    return names.select("domain", "reg_label").mapInArrow(run, "domain string, reg_label string, word string")
+
+
 def composition(names: DataFrame, lists: Lists) -> DataFrame:
     terms = names.select("domain", F.posexplode("tokens").alias("i", "word")).join(_side(lists.terms()), "word")
     terms = terms.groupBy("domain").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]).alias("terms"))
@@ -159,15 +210,14 @@ def composition(names: DataFrame, lists: Lists) -> DataFrame:
 
     protected = lists.protected()
     shortest, longest = protected.agg(F.min(F.length("word")), F.max(F.length("word"))).first()
-    label, n = F.col("reg_label"), F.length("reg_label")
+    label = F.col("reg_label")
     fired = "array<struct<at: struct<list: int, at: bigint>, kind: int, protected: string, token: string>>"
     if longest is None:
         hits = own.select("domain", F.lit(None).cast(fired).alias("hits")).limit(0)
     else:
-        sizes = F.sequence(F.lit(shortest), F.lit(longest))
-        parts = F.array_distinct(F.flatten(F.transform(sizes, lambda size: _upto(n - size + 1, lambda i: F.substr(label, i, size)))))
         none = F.lit(None).cast("string")
-        held = own.where(F.size("terms") > 0).select("domain", label, F.lit(0).alias("kind"), F.explode(parts).alias("word"), none.alias("token"), F.lit(0).alias("i"))
+        inside = own.where(F.size("terms") > 0).select("domain", label)
+        held = contained(inside, protected, shortest, longest).select("domain", label, F.lit(0).alias("kind"), "word", none.alias("token"), F.lit(0).alias("i"))
         digits = own.select("domain", label, F.lit(1).alias("kind"), D.undo_digits(label).alias("word"), none.alias("token"), F.lit(0).alias("i"))
         tokens = own.select("domain", label, F.lit(2).alias("kind"), F.posexplode("tokens").alias("i", "token")).select("domain", "reg_label", "kind", D.undo_digits(F.col("token")).alias("word"), "token", "i")
         met = held.union(digits).union(tokens).join(_side(protected), "word").where(F.when(F.col("kind") == 2, F.col("token") != F.col("word")).otherwise(label != F.col("word")))

@@ -96,6 +96,26 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.tree_root(_leaves(spark, sf), events(spark, sf).count()).select(F.lower(F.hex("root")).alias("root"))
 
 
+def _o_frontiers() -> str:
+    """Roots of perfect subtrees by level and place, and for each size those that it is made of, folded from the last."""
+    levels = 18
+    out = [f"p0 AS (SELECT event_id AS i, {_LEAF} AS h FROM events)"]
+    out += [f"p{k + 1} AS (SELECT a.i // 2 AS i, {_NODE.format('a.h', 'b.h')} AS h FROM p{k} a JOIN p{k} b ON b.i = a.i + 1 WHERE a.i % 2 = 0)" for k in range(levels)]
+    nodes = " UNION ALL ".join(f"SELECT {k} AS level, i, h FROM p{k}" for k in range(levels + 1))
+    plan = f"plan AS (SELECT event_id + 1 AS size, unnest(list_filter(range({levels + 1}), lambda k: ((event_id + 1) >> k) % 2 = 1)) AS level FROM events)"
+    own = "own AS (SELECT size, list(h ORDER BY plan.level) AS hs FROM plan JOIN nodes ON nodes.level = plan.level AND nodes.i = ((size >> plan.level) - 1) GROUP BY size)"
+    return ", ".join([*out, f"nodes AS ({nodes})", plan, own])
+
+
+#: The last root of a frontier is of the smallest subtree, which others are put to the left of.
+@query("frontier_root", f"WITH {_o_frontiers()} SELECT size, len(hs) AS n_roots, lower(hex(list_reduce(hs, lambda acc, x: {_NODE.format('x', 'acc')}))) AS root FROM own")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The root of the tree at each size that it has had."""
+    rows = events(spark, sf)
+    found = merkle.frontiers(_leaves(spark, sf), rows.select((F.col("event_id") + 1).alias("size")), rows.count())
+    return found.select("size", F.size("roots").cast("bigint").alias("n_roots"), F.lower(F.hex(merkle.compact_root(F.col("roots")))).alias("root"))
+
+
 def _groups(spark: SparkSession, sf: str, size: int) -> DataFrame:
     """(part, hashes) of each full group of neighbouring leaves."""
     grouped = _leaves(spark, sf).groupBy(F.floor(F.col("index") / size).cast("bigint").alias("part"))

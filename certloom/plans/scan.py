@@ -45,7 +45,7 @@ def enriched(found: DataFrame, observed: DataFrame, cfg: Config, answers: DataFr
     if not (cfg.dns.enabled or cfg.dns.takeover):
         return found
     names = dns.lookup_domains(found, detection.kept(observed, cfg) if cfg.dns.takeover else None)
-    answers = names.join(answers, "domain") if answers is not None else dns.resolve(names, cfg.dns.concurrency)
+    answers = names.join(answers, "domain") if answers is not None else dns.answered(names, cfg.dns)
     out = dns.apply_dns(found, answers)
     if cfg.dns.takeover:
         extra = dns.takeover_findings(dns.takeover_candidates(answers, dns.fingerprints(found.sparkSession)))

@@ -121,19 +121,20 @@ class Log:
 
     def root(self, size: int) -> bytes:
         """Root of the tree of so many entries, from a hash tile for each perfect subtree."""
-        roots = []
-        for start, n, level in merkle.subtree_plan(size):
-            first, count = start >> (8 * level), n >> (8 * level)
-            part = self.hashes(size, level, first // TILE)[first % TILE : first % TILE + count]
-            while len(part) > 1:
-                part = [hashlib.sha256(b"\x01" + part[i] + part[i + 1]).digest() for i in range(0, len(part), 2)]
-            roots.append(part[0])
-        if not roots:
-            return hashlib.sha256(b"").digest()
-        out = roots.pop()
-        while roots:
-            out = hashlib.sha256(b"\x01" + roots.pop() + out).digest()
-        return out
+        return self.frontier(size).root()
+
+    def subtree_root(self, size: int, start: int, n: int) -> bytes:
+        """Root of the perfect subtree of n entries from start on, in a tree of size entries: of the hashes of one tile."""
+        level, count = merkle.subtree(n)
+        first = start >> (8 * level)
+        part = self.hashes(size, level, first // TILE)[first % TILE : first % TILE + count]
+        while len(part) > 1:
+            part = [hashlib.sha256(b"\x01" + part[i] + part[i + 1]).digest() for i in range(0, len(part), 2)]
+        return part[0]
+
+    def frontier(self, size: int, after: merkle.Frontier | None = None) -> merkle.Frontier:
+        """The frontier of the tree now; of entries before `after` no hash is read."""
+        return (after or merkle.Frontier()).grown(size, lambda start, n: self.subtree_root(size, start, n))
 
     def root_hash(self, size: int) -> str:
         return base64.b64encode(self.root(size)).decode()
@@ -148,6 +149,21 @@ class Log:
             raise LogError("the checkpoint's root is not the tree's")
         return now
 
+    def followed(self, key: Key | None, before: merkle.Frontier) -> tuple[Checkpoint, merkle.Frontier]:
+        """The log's checkpoint now, and the frontier of its tree: signed by the key (if one is given), and the root of a tree that goes on from `before`.
+
+        Only hashes of new entries are read. A log that is smaller than before, that has another root for the same size, or
+        whose root is not that of the old tree and the new entries, is a CheckpointError.
+        """
+        now = Checkpoint.of(self.checkpoint())
+        if key is not None and not verify(now.origin, now.size, now.root_hash, now.signatures, key):
+            raise CheckpointError("bad signature")
+        consistent(before.size, base64.b64encode(before.root()).decode(), now.size, now.root_hash)
+        grown = self.frontier(now.size, before)
+        if base64.b64encode(grown.root()).decode() != now.root_hash:
+            raise CheckpointError(f"the checkpoint's root is not that of the {before.size} entries seen before and those after them" if before.size else "the checkpoint's root is not the tree's")
+        return now, grown
+
     def entries(self, size: int, index: int) -> list[dict]:
         """Entries of a data tile, each checked against the log's hash of it."""
         width = width_of(size, 0, index)

@@ -2,8 +2,12 @@
 
 State is three tables (records of alerts, dead letters, outbox) and the position in the log, under one folder. A step
 writes new files and then a manifest that names them; until that is there, the state is the one before. A result is
-therefore delivered at least once, and a repeat carries the same id. Records are kept as what each step changed, and
-gathered into one table now and then, so a step does not write the records of 90 days.
+therefore delivered at least once, and a repeat carries the same id.
+
+Records of alerts are kept by key: in buckets, named by the first digits of their keys (which are hashes), as what each
+step changed. A step reads the buckets that its own keys fall in and no others. A bucket of MAX_PARTS parts is gathered
+when a step reads it, without what has expired, and goes on by one more digit if it has grown over BUCKET_RECORDS; so
+what a step reads depends on its own findings, not on the records of 90 days.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -22,13 +27,20 @@ from .. import schemas
 from ..config import Config
 from ..functions import domains as D
 from ..functions.checkpoints import Key
+from ..functions.merkle import Frontier
 from ..operators import decode, sinks, state
 from ..plans import scan
 from ..sources.static_log import TILE, Log
 
 TABLES = {"records": schemas.ALERT_RECORDS, "dead_letters": schemas.DEAD_LETTERS, "outbox": schemas.OUTBOX}
-#: Parts of the records after which they are written as one.
+#: Parts of a bucket of records after which they are written as one.
 MAX_PARTS = 24
+#: Records of a bucket after which it is split, on average of the buckets that are gathered.
+BUCKET_RECORDS = 50_000
+#: Digits of keys that name buckets: 16^digits buckets.
+FIRST_DIGITS, MAX_DIGITS = 1, 6
+#: Buckets that a step names one by one; one that needs more reads all.
+MAX_NAMED = 4096
 
 
 @dataclass
@@ -70,36 +82,64 @@ class Store:
     def versions(self) -> list[int]:
         return sorted({v for v, _ in self._names()})
 
-    def load(self, name: str, before: int | None = None) -> DataFrame:
-        found = self.manifest(before)
-        paths = found["tables"].get(name) if found else None
+    def load(self, name: str, before: int | None = None, paths: list[str] | None = None) -> DataFrame:
+        """A table of the version; paths: some of its files only."""
+        if paths is None:
+            found = self.manifest(before)
+            paths = found["tables"].get(name) if found else None
         if not paths:
             return self.spark.createDataFrame([], TABLES[name])
         rows = self.spark.read.schema(TABLES[name]).parquet(*paths)
         return state.newest_records(rows) if name == "records" and len(paths) > 1 else rows
 
+    def digits(self, before: int | None = None) -> int:
+        """How many digits of a key name the buckets that are written now."""
+        found = self.manifest(before)
+        return found.get("digits", FIRST_DIGITS) if found else FIRST_DIGITS
+
+    def buckets(self, keys: DataFrame, before: int | None = None) -> list[str]:
+        """The files of records of the buckets that keys (column key) fall in."""
+        found = self.manifest(before)
+        paths = found["tables"].get("records", []) if found else []
+        if not paths:
+            return []
+        wanted = [r[0] for r in keys.select(F.substring("key", 1, self.digits(before)).alias("name")).distinct().limit(MAX_NAMED + 1).collect()]
+        if len(wanted) > MAX_NAMED:
+            return paths
+        return [p for p in paths if any(w.startswith(n) or n.startswith(w) for n in [bucket_of(p)] for w in wanted)]
+
     def position(self, before: int | None = None) -> dict:
-        """last_entry, checkpoint_size and checkpoint_root of the version."""
+        """last_entry, checkpoint_size, checkpoint_root and frontier (hashes, see functions.merkle.Frontier) of the version."""
         found = self.manifest(before)
-        return found["position"] if found else {"last_entry": None, "checkpoint_size": 0, "checkpoint_root": None}
+        return found["position"] if found else {"last_entry": None, "checkpoint_size": 0, "checkpoint_root": None, "frontier": []}
 
     def _written(self, name: str, df: DataFrame) -> str:
         at = f"{self.folder}/d-{uuid.uuid4().hex}/{name}"
         df.select(*[f.split()[0] for f in TABLES[name].split(", ")]).write.parquet(at)
         return at
 
-    def save(self, version: int, tables: dict[str, DataFrame], position: dict | None = None, added: dict[str, DataFrame] | None = None, keep: int = 3, revision: bool = False) -> None:
-        """New files of tables, and parts added to others, then the manifest; what is not named stays as it is in the manifest before.
+    def _bucketed(self, records: DataFrame, digits: int) -> list[str]:
+        """Files of records, one for each bucket."""
+        at = f"{self.folder}/d-{uuid.uuid4().hex}/records"
+        rows = records.select(*[f.split()[0] for f in TABLES["records"].split(", ")]).withColumn("bucket", F.substring("key", 1, digits))
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(at)
+        fs, path = self._fs()
+        return sorted(str(x.getPath().toString()) for x in fs.listStatus(path(at)) if x.getPath().getName().startswith("bucket="))
+
+    def save(self, version: int, tables: dict[str, DataFrame], position: dict | None = None, records: DataFrame | None = None, instead_of: list[str] = (), split: bool = False, keep: int = 3, revision: bool = False) -> None:
+        """New files of tables and of records, then the manifest; what is not named stays as it is in the manifest before.
 
-        revision: another state of this version, not of the one before it. Older versions than the last `keep` go.
+        records: what is added to the buckets, or put in the place of these files (instead_of); split: buckets get names
+        of one more digit from now on. revision: another state of this version, not of the one before it. Older versions than the last `keep` go.
         """
         old = self.manifest(version + 1 if revision else version)
         made = dict(old["tables"]) if old else {}
         for name, df in tables.items():
             made[name] = [self._written(name, df)]
-        for name, df in (added or {}).items():
-            made[name] = [*made.get(name, []), self._written(name, df)]
-        self._publish(version, {"tables": made, "position": position or (old["position"] if old else self.position(0))})
+        digits = min(self.digits(version + 1 if revision else version) + split, MAX_DIGITS)
+        if records is not None:
+            made["records"] = [*(p for p in made.get("records", []) if p not in set(instead_of)), *self._bucketed(records, digits)]
+        self._publish(version, {"tables": made, "digits": digits, "position": position or (old["position"] if old else self.position(0))})
         self._clean(keep)
 
     def _publish(self, version: int, body: dict) -> None:
@@ -121,7 +161,7 @@ class Store:
         for v, r in names:
             if newest.get(v) != r:
                 fs.delete(path(f"{self.folder}/m-{v:012d}-{r:06d}.json"), True)
-        folders = {p.rsplit("/", 2)[1] for p in used}
+        folders = {name for p in used for name in p.split("/") if name.startswith("d-")}
         for x in fs.listStatus(path(self.folder)):
             if x.getPath().getName().startswith("d-") and x.getPath().getName() not in folders:
                 fs.delete(x.getPath(), True)
@@ -131,6 +171,11 @@ class Store:
         self._publish(max(self.versions(), default=-1) + 1, {"tables": {}, "position": None, "reset": True})
 
 
+def bucket_of(path: str) -> str:
+    """The digits that all keys of a file of records begin with."""
+    return path.rpartition("bucket=")[2]
+
+
 Deliver = Callable[[str, str], None]
 
 
@@ -157,7 +202,8 @@ class Watch:
         self.flush(batch - 1)
         observed = decode.observations(events)
         found = state.identity(scan.enriched(scan.findings(observed, self.cfg), observed, self.cfg, self.answers)).persist()
-        records = state.prune(self.store.load("records", batch), now)
+        held = self.store.buckets(found, batch)
+        records = state.prune(self.store.load("records", batch, held), now)
         fresh = state.unseen(found, records, now).persist()
         alerts = state.new_alerts(scan.alerts(found.drop("key"), self.cfg), fresh, self.cfg.rules.min_alert_score).persist() if self.grouped else None
         body = sinks.payload(alerts, "alerts") if self.grouped else sinks.payload(fresh, "findings")
@@ -167,11 +213,13 @@ class Watch:
             letters = letters.unionByName(errors.select(F.lit(self.log_url).alias("log_url"), "index", "error", F.lit(now).cast("bigint").alias("recorded_at_unix"))).dropDuplicates(["log_url", "index"])
         report = {"batch": batch, "findings": found.count(), "new_findings": fresh.count(), "alerts": alerts.count() if self.grouped else 0, "outgoing": outgoing.count()}
         tables = {"dead_letters": state.newest(letters), "outbox": state.enqueue(self.store.load("outbox", batch), outgoing, now)}
-        old = self.store.manifest(batch)
-        if old and len(old["tables"].get("records", [])) < MAX_PARTS:
-            self.store.save(batch, tables, position, {"records": state.changed(records, fresh, now)})
+        if max(Counter(map(bucket_of, held)).values(), default=0) < MAX_PARTS:
+            self.store.save(batch, tables, position, state.changed(records, fresh, now))
         else:
-            self.store.save(batch, tables | {"records": state.remember(records, fresh, now)}, position)
+            gathered = state.remember(records, fresh, now).persist()
+            grown = gathered.count() > BUCKET_RECORDS * len(set(map(bucket_of, held)))
+            self.store.save(batch, tables, position, gathered, held, grown)
+            gathered.unpersist()
         for df in (found, fresh, alerts, outgoing):
             if df is not None:
                 df.unpersist()
@@ -209,9 +257,14 @@ class Watch:
         """
         self.flush()
         at, version = self.store.position(), max(self.store.versions(), default=-1) + 1
-        now = log.verified(key, (at["checkpoint_size"], at["checkpoint_root"]))
+        if at.get("frontier") is None and at["checkpoint_size"]:  # of a state without one: once, from the old tree's tiles
+            log.verified(key, (at["checkpoint_size"], at["checkpoint_root"]))
+            before = log.frontier(at["checkpoint_size"])
+        else:
+            before = Frontier(at["checkpoint_size"], tuple(map(bytes.fromhex, at.get("frontier") or ())))
+        now, grown = log.followed(key, before)
         report = {"log_url": self.log_url, "checkpoint_size": now.size, "first_tile": None, "last_tile": None, "entries": 0, "parse_errors": 0, "findings": 0, "new_findings": 0, "alerts": 0, "last_entry": at["last_entry"], "message": "no new entries"}
-        position = {"last_entry": at["last_entry"], "checkpoint_size": now.size, "checkpoint_root": now.root_hash}
+        position = {"last_entry": at["last_entry"], "checkpoint_size": now.size, "checkpoint_root": now.root_hash, "frontier": [x.hex() for x in grown.roots]}
         window = next_tiles(at["last_entry"], now.size, max_tiles, seed_tile)
         if window is None:
             self.store.save(version, {}, position)

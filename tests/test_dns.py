@@ -2,9 +2,12 @@ import socket
 import struct
 import threading
 import time
+import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
+from certloom.config import Dns
 from certloom.operators import dns
 from certloom.sources import resolver
 
@@ -77,7 +80,7 @@ def ask():
 
 
 def test_lookups(ask):
-    assert ask("ok.example") == {"domain": "ok.example", "ips": ["192.0.2.1", "192.0.2.2", "2001:db8::1"], "cname_chain": [], "error": None}
+    assert ask("ok.example") == {"domain": "ok.example", "ips": ["192.0.2.1", "192.0.2.2", "2001:db8::1"], "cname_chain": [], "error": None, "ttl": 60}
     assert ask("long.example")["ips"] == ["192.0.2.9"]  # by TCP
     assert ask("a.loop")["cname_chain"] == ["b.loop", "a.loop", "b.loop"]
     assert ask("n0.deep")["cname_chain"] == [f"n{i}.deep" for i in range(1, 9)]
@@ -107,3 +110,47 @@ def test_dangling_names_are_takeover_candidates(spark, ask):
     assert got["ok.example"]["resolved"] and got["ok.example"]["errors"] == [] and got["shop.example"]["errors"] == ["NXDOMAIN"]
     found = dns.takeover_candidates(answers, dns.fingerprints(spark)).collect()
     assert sorted((r["domain"], r["cname"], r["provider"]) for r in found) == [("shop.example", "gone.herokuapp.com", "Heroku"), ("two.example", "x.github.io", "GitHub Pages")]
+
+
+def test_only_expired_answers_are_asked_again(spark, tmp_path):
+    """Answers stay for as long as they say, names without address for the configured time, failures shortly; nothing is asked twice."""
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def lookup(domain):
+        (log / f"{domain}-{uuid.uuid4().hex}").touch()
+        ttl = {"long.example": 5000, "short.example": 1, "forever.example": 10**7}.get(domain)
+        return {"domain": domain, "ips": ["192.0.2.1"] if ttl else [], "cname_chain": [], "error": None if ttl else "NXDOMAIN" if domain == "gone.example" else "timed out", "ttl": ttl}
+
+    def asked(now):
+        before = {p.name for p in log.iterdir()}
+        rows = {r["domain"]: (r["status"], r["ips"]) for r in dns.answered(names, options, now, lookup).collect()}
+        assert {d: s for d, (s, _) in rows.items()} == {"long.example": "resolved", "short.example": "resolved", "forever.example": "resolved", "gone.example": "nx_domain", "slow.example": "timeout"}
+        return sorted(p.name.rpartition("-")[0].split(".")[0] for p in log.iterdir() if p.name not in before)
+
+    names = spark.createDataFrame([(f"{x}.example",) for x in ("long", "short", "forever", "gone", "slow")], "domain string")
+    options = Dns(enabled=True, concurrency=2, cache=str(tmp_path / "cache"), negative_ttl=900)
+    assert asked(1000) == ["forever", "gone", "long", "short", "slow"]
+    assert asked(1010) == []
+    assert asked(1061) == ["short", "slow"]  # sixty seconds at least
+    assert asked(2000) == ["gone", "short", "slow"]
+    assert asked(6001) == ["gone", "long", "short", "slow"]
+    dns.compact_answers(spark, options, 6001)
+    assert spark.read.parquet(options.cache).count() == 5 and asked(6002) == []
+    assert asked(1000 + 86_400) == ["forever", "gone", "long", "short", "slow"]  # a day at most
+
+
+def test_limits_hold_over_all_tasks(spark, tmp_path):
+    """However many partitions ask: no more at once, and no more a second, than the configuration says."""
+
+    def lookup(domain):
+        began = time.time()
+        time.sleep(0.05)
+        (tmp_path / f"{began}-{time.time()}-{domain}").touch()
+        return {"domain": domain, "ips": [], "cname_chain": [], "error": "x", "ttl": None}
+
+    names = spark.range(40).select(F.concat(F.lit("n"), F.col("id").cast("string"), F.lit(".example")).alias("domain")).repartition(16)
+    assert dns.resolve(names, 3, lookup, 20.0).count() == 40
+    spans = sorted(tuple(map(float, p.name.split("-")[:2])) for p in tmp_path.iterdir())
+    assert len(spans) == 40 and spans[-1][0] - spans[0][0] > 0.5 * 40 / 20
+    assert max(sum(a <= t < b for a, b in spans) for t, _ in spans) <= 3

@@ -46,11 +46,11 @@ def test_lists_as_tables_find_the_same(spark, names, monkeypatch, cfg, few):
 
 def test_plans_do_not_grow_with_the_lists(spark, names):
     size = {}
-    for n in (10, 10_000):
+    for n in (300, 10_000):
         cfg = Config(brands=[f"brand{i}" for i in range(n)] + ["paypal"], official_domains=[f"official{i}.com" for i in range(n)], keywords=[f"key{i}" for i in range(n)] + ["login"])
         found = detection.joined(names, list_detectors.findings(detection.names_of(names, cfg), list_detectors.Lists.of(spark, cfg)))
         size[n] = len(found._jdf.queryExecution().optimizedPlan().toString())
-    assert size[10_000] < 1.2 * size[10]
+    assert size[10_000] < 1.2 * size[300]
     assert found.where("detector = 'brand'").count() > 20
 
 
@@ -72,3 +72,18 @@ def test_long_lists_of_a_configuration_are_tables(spark):
         shown[name] = [(r["domain"], r["score"], r["detectors"], r["reasons"], sorted((e["kind"], e["value"] or "") for e in r["evidence"] if e["kind"] != "ct.observed_at")) for r in alerts.collect()]
     assert [x for x in shown["long"] if x[0] != "a7.com"] == shown["short"]
     assert [x[0] for x in shown["short"]] == ["paypa1-login.com", "xn--pypal-4ve.com", "my-paypal.xyz"]
+
+
+def test_words_inside_labels(spark, monkeypatch):
+    """The automaton and the substrings find the same; a list a hundred times as long gives no more rows and no larger plan."""
+    labels = ["paypal-login", "xpaypalx", "my", "paypaypal", "", "aaaa", "pay-pal", "a-mypaypal-mypaypal"]
+    names = spark.createDataFrame([(f"{x}.com", x) for x in labels], "domain string, reg_label string")
+    plans, want = {}, sorted((f"{x}.com", x, w) for x in labels for w in ("paypal", "pay", "mypaypal", "aaa") if w in x)
+    for n in (10, 20_000):
+        words = spark.createDataFrame([(w,) for w in ["paypal", "pay", "mypaypal", "aaa", *(f"zz{i}q" for i in range(n))]], "word string").persist()
+        for most in (8 << 20, 0):
+            monkeypatch.setattr(list_detectors, "MAX_WORD_BYTES", most)
+            found = list_detectors.contained(names, words, 3, 8)
+            assert sorted(map(tuple, found.select("domain", "reg_label", "word").collect())) == want
+            plans.setdefault(most, []).append(len(found._jdf.queryExecution().optimizedPlan().toString()))
+    assert all(b < 1.2 * a for a, b in plans.values())

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import struct
 
 import pytest
@@ -176,3 +177,53 @@ def test_log_source(spark, mirror, tmp_path):
         query.stop()
     got = [r["index"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(got) == list(range(300))
+
+
+def test_frontier_follows_a_growing_tree():
+    """At each size the root of the whole tree, whatever the sizes in between; only new subtrees are asked for; forks and rollbacks are found."""
+    leaves = [hashlib.sha256(bytes([i % 256, i // 256])).digest() for i in range(600)]
+    rng, asked = random.Random(4), []
+
+    def root(start, n):
+        asked.append(start)
+        return root_of(leaves[start : start + n])
+
+    assert merkle.Frontier().root() == hashlib.sha256(b"").digest()
+    for _ in range(20):
+        own = merkle.Frontier()
+        while own.size < 600:
+            old, asked[:] = own, []
+            own = own.grown(min(600, own.size + rng.choice([0, 1, 2, 17, 256])), root)
+            assert all(x >= old.size for x in asked) and len(asked) < 20
+            assert own.size == 0 or own.root() == root_of(leaves[: own.size]) and len(own.roots) == own.size.bit_count()
+
+
+def test_a_log_is_followed_by_its_frontier(tmp_path):
+    fetched = []
+
+    def log_of(leaves, root=None):
+        tiles = {static_log.tile_path(0, i // 256, (len(leaves) - i) if len(leaves) - i < 256 else None): b"".join(leaves[i : i + 256]) for i in range(0, len(leaves), 256)}
+        full = [root_of(leaves[i : i + 256]) for i in range(0, len(leaves) - 255, 256)]
+        if full:
+            tiles[static_log.tile_path(1, 0, len(full))] = b"".join(full)
+        tiles["checkpoint"] = fixtures.checkpoint("log", len(leaves), root or root_of(leaves)).encode()
+
+        def get(path):
+            fetched.append(path)
+            if path not in tiles:
+                raise FileNotFoundError(path)
+            return tiles[path]
+
+        return static_log.Log("log", get)
+
+    leaves = [hashlib.sha256(str(i).encode()).digest() for i in range(1000)]
+    now, at = log_of(leaves[:700]).followed(None, merkle.Frontier())
+    assert now.size == 700 and at.root() == root_of(leaves[:700])
+    fetched.clear()
+    now, grown = log_of(leaves[:720]).followed(None, at)
+    assert grown.root() == root_of(leaves[:720]) and set(fetched) == {"checkpoint", "tile/0/002.p/208"}  # nothing of the old full tiles
+    assert log_of(leaves[:720]).followed(None, grown)[1] == grown
+    other = [hashlib.sha256(b"x").digest(), *leaves[1:]]
+    for wrong, why in ((log_of(leaves[:690]), "rolled back"), (log_of(other[:720]), "two roots"), (log_of(other[:730]), "seen before"), (log_of(leaves[:730], leaves[0]), "seen before")):
+        with pytest.raises(checkpoints.CheckpointError, match=why):
+            wrong.followed(None, grown)

@@ -78,6 +78,31 @@ def test_a_crash_before_the_manifest_changes_nothing(spark, tmp_path, monkeypatc
     assert watch.store.load("records").count() == 4 and len(sent) == 2
 
 
+def test_a_step_reads_the_buckets_of_its_keys(spark, tmp_path, monkeypatch):
+    """Old records of other buckets are not read, whatever their number; crowded buckets are gathered and split, and nothing is lost."""
+    monkeypatch.setattr("certloom.streaming.watch.MAX_PARTS", 1)
+    monkeypatch.setattr("certloom.streaming.watch.BUCKET_RECORDS", 400)
+    store = Store(spark, str(tmp_path / "state"), "log")
+    watch = Watch(spark, demo(), store, "log", lambda *x: None, clock=lambda: 1000)
+    hexes = F.sha2(F.col("id").cast("string"), 256)
+    old = lambda n: spark.range(n).select(hexes.alias("key"), F.lit("low").alias("highest_severity"), F.lit(1).cast("bigint").alias("first_seen_unix"), F.lit(1).cast("bigint").alias("last_seen_unix"), F.lit(10**9).cast("bigint").alias("expires_at_unix"))
+    own = spark.createDataFrame([("a" * 64,), ("b" * 64,)], "key string")
+    read = []
+    for version, n in enumerate((1000, 8000)):
+        store.save(version, {}, {"last_entry": None, "checkpoint_size": 0, "checkpoint_root": None}, old(n), store.manifest()["tables"]["records"] if version else [])
+        paths = store.buckets(own)
+        assert {p.rpartition("=")[2] for p in paths} == {"a", "b"}
+        read.append(store.load("records", paths=paths).count() / n)
+    assert max(read) < 0.2  # two buckets of 16
+    for version in range(2, 5):
+        assert watch.step(mock.events_of(spark, [(version, ["paypa1-login.com"], "2026-01-01T00:00:00Z")]), None, version)["new_findings"] == 4
+    names = {p.rpartition("=")[2] for p in store.manifest()["tables"]["records"]}
+    assert store.digits() >= 2 and {1, 2} <= {len(n) for n in names}
+    rows = store.load("records")
+    assert rows.count() == 8000 + 3 * 4 == rows.select("key").distinct().count()
+    assert watch.step(mock.events_of(spark, [(2, ["paypa1-login.com"], "2026-01-01T00:00:00Z")]), None, 5)["new_findings"] == 0
+
+
 def test_records_are_gathered_now_and_then(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("certloom.streaming.watch.MAX_PARTS", 2)
     watch = Watch(spark, demo(), Store(spark, str(tmp_path / "state")), "log", lambda *_: None, clock=lambda: 1000)
@@ -86,7 +111,7 @@ def test_records_are_gathered_now_and_then(spark, tmp_path, monkeypatch):
         watch.step(mock.events_of(spark, [(n, ["paypa1-login.com"], "2026-01-01T00:00:00Z")]), None, n)
         parts.append(len(watch.store.manifest()["tables"]["records"]))
         assert watch.store.load("records").count() == 4 * (n + 1)
-    assert parts == [1, 2, 1, 2, 1] and len(list((tmp_path / "state").glob("d-*"))) < 20
+    assert max(parts) <= 4 * 2 and len(parts) == 5 and len(list((tmp_path / "state").glob("d-*"))) < 20
 
 
 @pytest.fixture
@@ -133,7 +158,8 @@ def test_cycles(spark, tmp_path, grown):
     first = watch.cycle(log, key)  # at the latest tile
     assert (first["first_tile"], first["last_tile"], first["entries"], first["last_entry"]) == (1, 1, 44, 299) and first["alerts"] > 0 and sent
     idle = watch.cycle(log, key)
-    assert idle["entries"] == 0 and idle["message"] == "no new entries" and watch.store.position() == {"last_entry": 299, "checkpoint_size": 300, "checkpoint_root": log.root_hash(300)}
+    assert idle["entries"] == 0 and idle["message"] == "no new entries" and {k: v for k, v in watch.store.position().items() if k != "frontier"} == {"last_entry": 299, "checkpoint_size": 300, "checkpoint_root": log.root_hash(300)}
+    assert watch.store.position()["frontier"] == [x.hex() for x in log.frontier(300).roots]
     grow(700)
     assert [watch.cycle(log, key)["last_entry"] for _ in range(3)] == [511, 699, 699]
     for wrong in (lambda: grow(690), lambda: grow(700, b"\1" * 32), lambda: grow(720, salt=1), lambda: grow(720, signed=False), lambda: grow(720, b"\1" * 32)):
