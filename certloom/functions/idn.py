@@ -148,9 +148,9 @@ def with_forms(df: DataFrame, names: str = "san_dns_names", out: str = "forms")
     return df.where(~odd).withColumn(out, none).unionByName(df.where(odd).withColumn(out, _forms(names)))
 
 
-def readable(features: DataFrame) -> DataFrame:
-    """features with unicode and skeleton of IDN rows by Unicode rules."""
+def readable(features: DataFrame, idn: Column | None = None) -> DataFrame:
+    """features with unicode and skeleton of IDN rows by Unicode rules. idn: tells which rows these are, by the domain if it is not given."""
     ship(features.sparkSession)
-    idn = D.has_idn(F.col("domain"))
+    idn = D.has_idn(F.col("domain")) if idn is None else idn
     rest = features.where(idn).withColumn("unicode", _unicode("domain"))
     return features.where(~idn).unionByName(rest.withColumn("skeleton", _skeletons(confusables(features.sparkSession))("unicode")))

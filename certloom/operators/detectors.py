@@ -188,24 +188,24 @@ def composition_finding(terms: Column, protected: Callable[[Column], Column]) ->
 
 
 def composition(cfg: Config) -> Column:
-    label = F.col("reg_label")
+    label, protected_ = F.col("reg_label"), protected_names(cfg)
+
+    def fired(terms: Column, p: Column) -> Column:
+        """The rules of one protected name, in order, null where one does not hold; the plan has them once for all names."""
+        token = F.get(F.filter("tokens", lambda t: (t != p) & (D.undo_digits(t) == p)), F.lit(0))
+        hit = lambda kind, token: F.struct(F.lit(kind).alias("kind"), p.alias("protected"), token.alias("token"))
+        other, none = label != p, F.lit(None).cast("string")
+        return F.array(F.when(other & F.contains(label, p) & (F.size(terms) > 0), hit(0, none)), F.when(other & (D.undo_digits(label) == p), hit(1, none)), F.when(token.isNotNull(), hit(2, token)))
 
     def protected(terms: Column) -> Column:
-        fired = []
-        for p in protected_names(cfg):
-            token, name = F.get(_unlike(p), F.lit(0)), F.lit(p)
-            fired.append(F.when((label != p) & F.contains(label, name) & (F.size(terms) > 0), protected_rule(F.lit(0), name, token)))
-            fired.append(F.when((label != p) & (D.undo_digits(label) == p), protected_rule(F.lit(1), name, token)))
-            fired.append(F.when(token.isNotNull(), protected_rule(F.lit(2), name, token)))
-        return F.array(*fired) if fired else F.array().cast(RULES)
+        if not protected_:
+            return F.array().cast(RULES)
+        hits = F.filter(F.flatten(F.transform(_strings(protected_), lambda p: fired(terms, p))), lambda h: h.isNotNull())
+        return F.transform(hits, lambda h: protected_rule(h["kind"], h["protected"], h["token"]))
 
     return composition_finding(action_terms(cfg), protected)
 
 
-def _unlike(p: str) -> Column:
-    return F.filter(F.col("tokens"), lambda t: (t != p) & (D.undo_digits(t) == p))
-
-
 Detector = Callable[[Config], Column]
 #: In the order in which they run.
 DETECTORS: dict[str, Detector] = {"keyword": keyword, "brand": brand, "typosquat": typosquat, "homoglyph": homoglyph, "composition": composition}

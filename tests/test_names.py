@@ -251,6 +251,9 @@ def test_certificates_with_names_of_other_scripts(spark):
 def test_plain_names_stay_in_the_jvm(spark):
     """The branch of plain names has no Python in it: Arrow stands behind the filter for other scripts only."""
     names = scan.with_metadata(spark.range(5).select(F.concat(F.lit("paypa1-"), F.col("id").cast("string"), F.lit(".com")).alias("domain")), "log", "ct")
-    plan = detection.detect(names, demo())._jdf.queryExecution().optimizedPlan().toString()
-    branches = plan.split("Union")[1]
-    assert plan.count("ArrowEvalPython") == 1 and branches.index("NOT (StartsWith") < branches.index("ArrowEvalPython")
+    found = detection.detect(names, demo())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("RepartitionByExpression") < plan.index("ArrowEvalPython")
+    assert found.where("detector = 'typosquat'").count() == 5
+    found.collect()
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()  # names are gathered once for both branches
