@@ -37,10 +37,16 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/events.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, if they come in fewer partitions: names are few bytes to move, and take their time to look at."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """(idx, raw, observed_at) of all events."""
     pick = F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.col("event_id") % len(TEMPLATES) + 1).cast("int"))
-    return events(spark, sf).select(F.col("event_id").alias("idx"), F.replace(pick, F.lit("{n}"), F.col("event_id").cast("string")).alias("raw"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("observed_at"))
+    return spread(events(spark, sf).select("event_id", "ts")).select(F.col("event_id").alias("idx"), F.replace(pick, F.lit("{n}"), F.col("event_id").cast("string")).alias("raw"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("observed_at"))
 
 
 def names(spark: SparkSession, sf: str) -> DataFrame:
