@@ -231,9 +231,11 @@ def certificate_events(parsed: DataFrame) -> DataFrame:
     def one(s: Column) -> Column:
         odd = F.coalesce(F.map_contains_key("forms", s), F.lit(False))
         form = F.try_element_at("forms", s)
-        name = F.when(odd, form).otherwise(s)
-        error = F.when(odd & form.isNull(), "no valid internationalised name").otherwise(D.problem(name))
-        return F.struct(s.alias("original"), D.normalize(name).alias("normalized"), D.is_wildcard(s).alias("is_wildcard"), error.alias("error"))
+        error = lambda name: F.when(odd & form.isNull(), "no valid internationalised name").otherwise(D.problem(name))
+        return D.bound(
+            F.when(odd, form).otherwise(s),
+            lambda name: F.struct(s.alias("original"), D.normalize(name).alias("normalized"), D.is_wildcard(s).alias("is_wildcard"), error(name).alias("error")),
+        )
 
     names = F.transform("san_dns_names", one)
     # a column for each step: as one expression the names would be looked at again wherever they are used
