@@ -15,3 +15,22 @@ def test_forms_of_a_name_are_computed_once(spark):
     assert plan(made).count("regexp_replace") <= 16  # each form was written out wherever it was used
     want = ["a.com", "a.com", "x.org", "a.com", "empty label", "label too long", "hyphen at the edge of label", "null", "white space or control character", "empty", "wildcard inside", "too long"]
     assert [r["name"] or r["problem"] for r in made.collect()] == want
+
+
+def test_distance_without_swaps_is_the_plain_one(spark):
+    import itertools
+    import random
+
+    def slow(a, b):
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+        for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rng = random.Random(3)
+    pairs = [("".join(rng.choices("abc", k=rng.randint(0, 6))), "".join(rng.choices("abc", k=rng.randint(0, 6)))) for _ in range(600)]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", D.osa_distance(F.col("a"), F.col("b")).alias("d"))
+    assert "levenshtein" in plan(got)  # the table of cells is for names with a swap only
+    assert [(r["a"], r["b"], r["d"]) for r in got.collect()] == [(a, b, slow(a, b)) for a, b in pairs]
