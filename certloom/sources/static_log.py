@@ -15,6 +15,7 @@ import urllib.request
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import pyarrow as pa
@@ -220,9 +221,16 @@ def read_mirror(spark: SparkSession, folder: str, first: int = 0, last: int | No
     return tiles.join(best, "index").where(F.coalesce("width", F.lit(TILE)) == F.col("__best")).drop("__best")
 
 
+#: Tiles that a task reads one after the other at most, and tasks that a read of many tiles has at least.
+MOST_TILES, LEAST_TASKS = 64, 256
+
+
 @dataclass
-class _Tile(InputPartition):
+class _Tiles(InputPartition):
+    """Tiles of a run: index is the first, read one after the other."""
+
     index: int
+    count: int
     size: int
     first: int
     end: int
@@ -235,18 +243,20 @@ class _Reader:
         self.key = Key.of(options["origin"], options["publickey"], options.get("logid")) if options.get("publickey") else None
         self.first = int(options.get("firstentry", 0))
 
-    def tiles(self, first: int, end: int, size: int) -> list[_Tile]:
+    def tiles(self, first: int, end: int, size: int) -> list[_Tiles]:
         """The tiles of entries first to before end of a tree of size entries."""
-        return [_Tile(i, size, first, end) for i in range(first // TILE, -(-end // TILE))]
+        start, stop = first // TILE, -(-end // TILE)
+        run = min(MOST_TILES, max(1, (stop - start) // LEAST_TASKS))
+        return [_Tiles(i, min(run, stop - i), size, first, end) for i in range(start, stop, run)]
 
-    def read(self, partition: _Tile) -> Iterator[tuple]:
-        for row in self.log.entries(partition.size, partition.index):
+    def read(self, partition: _Tiles) -> Iterator[tuple]:
+        for row in chain.from_iterable(self.log.entries(partition.size, i) for i in range(partition.index, partition.index + partition.count)):
             if partition.first <= row["index"] < partition.end:
                 yield (row["index"], row["timestamp_millis"], row["kind"], row["merkle_leaf_hash"], row["certificate_der"], row["chain_fingerprints"], row["extensions_len"])
 
 
 class _Batch(_Reader, DataSourceReader):
-    def partitions(self) -> list[_Tile]:
+    def partitions(self) -> list[_Tiles]:
         """Of the tree that the checkpoint now tells of, or, with size, of one that the caller has verified."""
         size = int(self.options["size"]) if self.options.get("size") else self.log.verified(self.key).size
         return self.tiles(self.first, min(size, int(self.options.get("end", size))), size)
@@ -272,7 +282,7 @@ class _Stream(_Reader, DataSourceStreamReader):
         self.at = {"entry": max(self.at["entry"], end), "size": now.size, "root": now.root_hash}
         return self.at
 
-    def partitions(self, start: dict, end: dict) -> list[_Tile]:
+    def partitions(self, start: dict, end: dict) -> list[_Tiles]:
         if end["entry"] > self.at["entry"]:  # a stream that goes on after a restart
             self.at = end
         return self.tiles(start["entry"], end["entry"], end["size"])

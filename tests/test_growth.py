@@ -2,7 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from certloom.config import demo
 from certloom.functions import domains as D
+from certloom.operators import decode, detection, scoring
+from certloom.plans import fixtures, scan
+from certloom.sources import static_log
 
 
 def plan(df) -> str:
@@ -13,7 +17,7 @@ def test_forms_of_a_name_are_computed_once(spark):
     names = spark.createDataFrame([(r,) for r in ("a.com", "A.com", " *.x.org. ", "a.com\n", "a..com", "x" * 64 + ".com", "-a.com", None, "a b.com", "*.", "a.*.com", "x." * 126 + "com")], "raw string")
     made = names.select("raw", D.normalize(F.col("raw")).alias("name"), D.problem(F.col("raw")).alias("problem"))
     assert plan(made).count("regexp_replace") <= 16  # each form was written out wherever it was used
-    want = ["a.com", "a.com", "x.org", "a.com", "empty label", "label too long", "hyphen at the edge of label", "null", "white space or control character", "empty", "wildcard inside", "too long"]
+    want = ["a.com", "a.com", "x.org", "a.com", "empty label", "label too long", "hyphen at the edge of label", "null", "white space or control character", "wildcard inside", "wildcard inside", "too long"]
     assert [r["name"] or r["problem"] for r in made.collect()] == want
 
 
@@ -34,3 +38,37 @@ def test_distance_without_swaps_is_the_plain_one(spark):
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", D.osa_distance(F.col("a"), F.col("b")).alias("d"))
     assert "levenshtein" in plan(got)  # the table of cells is for names with a swap only
     assert [(r["a"], r["b"], r["d"]) for r in got.collect()] == [(a, b, slow(a, b)) for a, b in pairs]
+
+
+def _observed(spark):
+    rows = [(d, i % 7, i) for i in range(40) for d in ("paypa1-login.com", "payapl.com", f"my-paypal{i}.xyz", "plain.org")]
+    return scan.with_metadata(spark.createDataFrame(rows, "domain string, certificate_index bigint, pos int").withColumn("observed_at", F.concat(F.lit("t"), (F.col("pos") % 3).cast("string"))), "log", "ct")
+
+
+def test_findings_are_those_of_merging_each_observation(spark):
+    seen, cfg = _observed(spark), demo()
+    want = scoring.merge_findings(detection.detect(seen, cfg), ["pos", "position"], ["certificate_index"])
+    got = scan.findings(seen, cfg)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_heads_of_alerts_need_no_row_of_all_evidence(spark):
+    seen, cfg = _observed(spark), demo()
+    whole = {r["domain"]: r for r in scan.alerts(scan.findings(seen, cfg), cfg).collect()}
+    rows = scan.counted_heads(seen, cfg)
+    assert {r["domain"]: (r["severity"], r["score"], r["detectors"], r["reasons"], r["n_evidence"]) for r in rows.collect()} == {d: (r["severity"], r["score"], r["detectors"], r["reasons"], len(r["evidence"])) for d, r in whole.items()}
+    assert "observed_at" not in plan(scan.heads(seen, cfg))  # told by names alone
+
+
+def test_entries_of_one_tile_at_a_time():
+    import pyarrow as pa
+
+    tiles = pa.RecordBatch.from_pylist([{"index": i, "width": None, "bytes": fixtures.tile(i * 256, 256)} for i in range(3)])
+    assert [b.num_rows for b in decode.tile_entries([tiles], True)] == [256] * 3
+
+
+def test_tasks_of_a_log_are_runs_of_tiles(tmp_path):
+    reader = static_log._Batch({"mirror": str(tmp_path), "size": str(256 * 100_000 + 5)})
+    runs = reader.partitions()
+    assert len(runs) < 2_000 and [i for r in runs for i in range(r.index, r.index + r.count)] == list(range(100_001))
