@@ -83,23 +83,25 @@ def read_tile(data: bytes, index: int, width: int | None) -> list[dict]:
 _ENTRY = pa.schema([("index", pa.int64()), ("timestamp_millis", pa.int64()), ("kind", pa.string()), ("merkle_leaf_hash", pa.string()), ("certificate_der", pa.binary()), ("chain_fingerprints", pa.list_(pa.string())), ("extensions_len", pa.int32()), ("error", pa.string())])
 
 
+def tile_entries(batches: Iterator[pa.RecordBatch], strict: bool) -> Iterator[pa.RecordBatch]:
+    """A batch of entries for each tile: as objects they are of many times its bytes, so there are those of one at a time."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            tile, width, data = (c[at].as_py() for c in batch.columns)
+            try:
+                rows = read_tile(data, tile, width)
+            except DecodeError as e:
+                if strict:
+                    raise
+                rows = [{"index": tile * 256, "error": str(e)}]
+            yield pa.RecordBatch.from_pylist(rows, _ENTRY)
+
+
 def decode_tiles(tiles: DataFrame, strict: bool = True) -> DataFrame:
     """(index bigint, width int, bytes binary) -> schemas.ENTRIES and error. strict: a bad tile fails the query; else it is a row with index of its first entry and error."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for tile, width, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                try:
-                    rows += read_tile(data, tile, width)
-                except DecodeError as e:
-                    if strict:
-                        raise
-                    rows.append({"index": tile * 256, "error": str(e)})
-            yield pa.RecordBatch.from_pylist(rows, _ENTRY)
-
     ship(tiles.sparkSession)
-    return tiles.select(F.col("index").cast("bigint"), F.col("width").cast("int"), "bytes").mapInArrow(run, schemas.ENTRIES + ", error string")
+    return tiles.select(F.col("index").cast("bigint"), F.col("width").cast("int"), "bytes").mapInArrow(lambda batches: tile_entries(batches, strict), schemas.ENTRIES + ", error string")
 
 
 def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int]:
@@ -195,13 +197,19 @@ def read_certificate(der: bytes) -> dict:
 _CERTIFICATE = pa.schema([("index", pa.int64()), ("timestamp_millis", pa.int64()), ("certificate_sha256", pa.string()), ("serial_number", pa.string()), ("issuer", pa.string()), ("not_before", pa.string()), ("not_after", pa.string()), ("san_dns_names", pa.list_(pa.string())), ("forms", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
 
 
+#: Certificates that are Python objects at a time.
+CHUNK = 1024
+
+
 def parse_certificates(entries: DataFrame) -> DataFrame:
     """(index, timestamp_millis, certificate_der) -> certificate fields, or error; forms as functions.idn.ascii_forms has them, made where Python reads the names anyway."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"index": i, "timestamp_millis": t} | read_certificate(der or b"") for i, t, der in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
-            yield pa.RecordBatch.from_pylist(rows, _CERTIFICATE)
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                rows = [{"index": i, "timestamp_millis": t} | read_certificate(der or b"") for i, t, der in zip(*[c.to_pylist() for c in part.columns], strict=True)]
+                yield pa.RecordBatch.from_pylist(rows, _CERTIFICATE)
 
     ship(entries.sparkSession)
     parsed = entries.select("index", "timestamp_millis", "certificate_der").mapInArrow(run, f"index bigint, timestamp_millis bigint, {schemas.CERTIFICATE}, forms map<string, string>, error string")

@@ -204,7 +204,9 @@ def _tiles(spark: SparkSession, sf: str) -> DataFrame:
 
     def made(frames):
         for frame in frames:
-            yield frame.assign(bytes=[fixtures.tile(int(i) * tiles.TILE, int(n)) for i, n in zip(frame["index"], frame["n"], strict=True)])
+            for at in range(0, len(frame), 8):  # a few tiles at a time: a frame of rows is many bytes of tiles
+                part = frame.iloc[at : at + 8]
+                yield part.assign(bytes=[fixtures.tile(int(i) * tiles.TILE, int(n)) for i, n in zip(part["index"], part["n"], strict=True)])
 
     each = events(spark, sf).groupBy(F.floor(F.col("event_id") / tiles.TILE).cast("bigint").alias("index")).agg(F.count("*").alias("n"))
     each = each.repartition(spark.sparkContext.defaultParallelism, "index")  # few bytes here, many once a tile is made
