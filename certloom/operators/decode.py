@@ -101,7 +101,10 @@ def decode_tiles(tiles: DataFrame, strict: bool = True) -> DataFrame:
     """(index bigint, width int, bytes binary) -> schemas.ENTRIES and error. strict: a bad tile fails the query; else it is a row with index of its first entry and error."""
 
     ship(tiles.sparkSession)
-    return tiles.select(F.col("index").cast("bigint"), F.col("width").cast("int"), "bytes").mapInArrow(lambda batches: tile_entries(batches, strict), schemas.ENTRIES + ", error string")
+    types = dict(tiles.dtypes)
+    # a column of the right type as it is: under a needless cast Spark does not see that two uses of the tiles are the same
+    columns = [F.col(c) if types[c] == t else F.col(c).cast(t) for c, t in (("index", "bigint"), ("width", "int"), ("bytes", "binary"))]
+    return tiles.select(*columns).mapInArrow(lambda batches: tile_entries(batches, strict), schemas.ENTRIES + ", error string")
 
 
 def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int]:
@@ -239,18 +242,17 @@ def certificate_events(parsed: DataFrame) -> DataFrame:
     def one(s: Column) -> Column:
         odd = F.coalesce(F.map_contains_key("forms", s), F.lit(False))
         form = F.try_element_at("forms", s)
-        error = lambda name: F.when(odd & form.isNull(), "no valid internationalised name").otherwise(D.problem(name))
         return D.bound(
-            F.when(odd, form).otherwise(s),
-            lambda name: F.struct(s.alias("original"), D.normalize(name).alias("normalized"), D.is_wildcard(s).alias("is_wildcard"), error(name).alias("error")),
+            D.looked_at(F.when(odd, form).otherwise(s)),
+            lambda found: F.struct(s.alias("original"), F.when(found["problem"].isNull(), found["form"]).alias("normalized"), D.is_wildcard(s).alias("is_wildcard"), F.when(odd & form.isNull(), "no valid internationalised name").otherwise(found["problem"]).alias("error")),
         )
 
     names = F.transform("san_dns_names", one)
     # a column for each step: as one expression the names would be looked at again wherever they are used
     rows = parsed.withColumn("__names", names)
     rows = rows.withColumn("__valid", F.filter("__names", lambda n: n["normalized"].isNotNull()))
-    rows = rows.withColumn("__forms", F.transform("__valid", lambda n: n["normalized"]))
-    first = F.filter("__valid", lambda n, i: F.array_position("__forms", n["normalized"]) == i + 1)  # of equal forms
+    forms = F.transform("__valid", lambda n: n["normalized"])
+    first = D.bound(forms, lambda all_: F.filter("__valid", lambda n, i: F.array_position(all_, n["normalized"]) == i + 1))  # of equal forms
     domains = F.transform(first, lambda n: F.struct(n["original"].alias("original"), n["normalized"].alias("normalized"), n["is_wildcard"].alias("is_wildcard"), D.has_idn(n["normalized"]).alias("is_idn")))
     rejected = F.transform(F.filter("__names", lambda n: n["normalized"].isNull()), lambda n: F.struct(n["original"].alias("value"), n["error"].alias("error")))
     return rows.select("source_log", "index", domains.alias("domains"), "certificate_sha256", "serial_number", "issuer", "not_before", "not_after", "san_dns_names", "observed_at", "source_type", rejected.alias("rejected_domains"))
@@ -258,4 +260,6 @@ def certificate_events(parsed: DataFrame) -> DataFrame:
 
 def observations(events: DataFrame) -> DataFrame:
     """schemas.OBSERVATIONS: a row for each domain of each event, with its place in pos."""
-    return events.select("source_log", F.col("index").alias("certificate_index"), F.posexplode("domains").alias("pos", "d"), "certificate_sha256", "serial_number", "issuer", "not_before", "not_after", "san_dns_names", "observed_at", "source_type").select("source_log", "certificate_index", F.col("d.normalized").alias("domain"), "pos", "certificate_sha256", "serial_number", "issuer", "not_before", "not_after", "san_dns_names", "observed_at", "source_type")
+    # outer: of the other form Spark infers a filter by the size of the array, for which every name would be looked at once more
+    rows = events.select("source_log", F.col("index").alias("certificate_index"), F.posexplode_outer("domains").alias("pos", "d"), "certificate_sha256", "serial_number", "issuer", "not_before", "not_after", "san_dns_names", "observed_at", "source_type").where("pos is not null")
+    return rows.select("source_log", "certificate_index", F.col("d.normalized").alias("domain"), "pos", "certificate_sha256", "serial_number", "issuer", "not_before", "not_after", "san_dns_names", "observed_at", "source_type")

@@ -206,12 +206,13 @@ def _tiles(spark: SparkSession, sf: str) -> DataFrame:
         for frame in frames:
             for at in range(0, len(frame), 8):  # a few tiles at a time: a frame of rows is many bytes of tiles
                 part = frame.iloc[at : at + 8]
-                yield part.assign(bytes=[fixtures.tile(int(i) * tiles.TILE, int(n)) for i, n in zip(part["index"], part["n"], strict=True)])
+                made_ = [fixtures.tile(int(i) * tiles.TILE, int(n)) for i, n in zip(part["index"], part["n"], strict=True)]
+                yield part[["index"]].assign(width=part["n"].where(part["n"] < tiles.TILE).astype("Int32"), bytes=made_)
 
     each = events(spark, sf).groupBy(F.floor(F.col("event_id") / tiles.TILE).cast("bigint").alias("index")).agg(F.count("*").alias("n"))
     each = each.repartition(spark.sparkContext.defaultParallelism, "index")  # few bytes here, many once a tile is made
-    rows = each.mapInPandas(made, "index bigint, n bigint, bytes binary")
-    return rows.select("index", F.when(F.col("n") < tiles.TILE, F.col("n")).cast("int").alias("width"), "bytes")
+    # its columns as they are: under a projection Spark does not see that two uses of the tiles are the same
+    return each.mapInPandas(made, "index bigint, width int, bytes binary")
 
 
 @query("decode_tile", f"WITH {_O_ENTRIES} SELECT i AS index, 1700000000000 + i AS timestamp_millis, CASE WHEN i % 5 = 4 THEN 'precertificate' ELSE 'x509' END AS kind, 1 AS n_chain, 0 AS extensions_len FROM entries")

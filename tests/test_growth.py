@@ -61,6 +61,35 @@ def test_heads_of_alerts_need_no_row_of_all_evidence(spark):
     assert "observed_at" not in plan(scan.heads(seen, cfg))  # told by names alone
 
 
+def test_alerts_by_names_are_those_of_all_findings(spark):
+    seen, cfg = _observed(spark), demo()
+    whole, rows = scan.alerts(scan.findings(seen, cfg), cfg), scan.observed_alerts(seen, cfg)
+    assert rows.columns == whole.columns
+    assert sorted(map(repr, rows.collect())) == sorted(map(repr, whole.collect()))
+
+
+def test_alerts_of_tiles_read_each_tile_once(spark):
+    tiles = spark.createDataFrame([(0, 100, bytearray(fixtures.tile(0, 100)))], "index bigint, width int, bytes binary").repartition(2, "index")
+    rows = scan.scan_tiles(tiles, "log", demo())[0].where(F.col("domain").like("login%")).select("domain", "score")
+    assert sorted(map(tuple, rows.collect())) == sorted((f"login-paypa1-{i}.net", 100) for i in range(100) if i % 7 != 6)
+    last = rows._jdf.queryExecution().executedPlan().toString()
+    assert last.split("Initial Plan")[0].count("MapInArrow") == 2  # tiles, then certificates; it was six
+
+
+def test_names_of_a_certificate_are_looked_at_once(spark):
+    raw = spark.createDataFrame([(1, ["A.example", "a.example", "*.b.example", "bad_name.example", "a.example."])], "index bigint, san_dns_names array<string>")
+    raw = raw.withColumns(dict.fromkeys(("source_log", "observed_at", "source_type", "certificate_sha256", "serial_number", "issuer", "not_before", "not_after"), F.lit(None).cast("string")))
+    rows = decode.observations(decode.certificate_events(raw)).select("pos", "domain")
+    assert plan(rows).count("z0-9-]{0,61}") <= 4  # twice in a pattern, one for each branch; a filter inferred from the explosion looked at all names again
+    assert sorted(map(tuple, rows.collect())) == [(0, "a.example"), (1, "b.example")]
+
+
+def test_names_are_spread_though_they_are_few_bytes(spark):
+    names = detection.names_of(_observed(spark), demo())
+    names.collect()
+    assert "REPARTITION_BY_NUM" in names._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entries_of_one_tile_at_a_time():
     import pyarrow as pa
 
