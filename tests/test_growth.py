@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from certloom.config import demo
 from certloom.functions import domains as D
-from certloom.operators import decode, detection, scoring
+from certloom.operators import decode, detection, list_detectors, scoring
 from certloom.plans import fixtures, scan
 from certloom.sources import static_log
 
@@ -90,6 +90,14 @@ def test_names_are_spread_though_they_are_few_bytes(spark):
     assert "REPARTITION_BY_NUM" in names._jdf.queryExecution().executedPlan().toString()
 
 
+def test_features_of_names_are_not_made_where_they_come_from(spark):
+    cfg, seen = demo(), _observed(spark)
+    found = list_detectors.findings(detection.names_of(seen, cfg), list_detectors.Lists.of(spark, cfg), ["composition"])
+    filters = [line for line in plan(found).splitlines() if "Filter" in line and "array_distinct" in line and "size(" in line and "terms" not in line]
+    assert not filters  # tokens were made, for a filter, of each row of the observations
+    assert {r["domain"] for r in found.collect()} >= {"paypa1-login.com", "my-paypal0.xyz"}
+
+
 def test_entries_of_one_tile_at_a_time():
     import pyarrow as pa
 
