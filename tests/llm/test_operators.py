@@ -194,6 +194,32 @@ def test_repeats_of_one_passage_in_very_many_texts(spark, monkeypatch):
     assert rows(repeats.digest(table).drop("text")) == want
 
 
+def test_runs_of_one_anchor_are_spread(spark, monkeypatch):
+    rng = random.Random(13)
+    passage = words(rng, 110, 10**6)
+    data = [f"{words(rng, 60, 10**6)} {passage} {words(rng, 60, 10**6)}" for _ in range(400)]
+    dealt = {}
+
+    def kept(df, name, write=common.shared_table):
+        if name == "texts":  # 400 runs for each anchor next to an end of the passage
+            dealt["most"] = max(r[1] for r in df.groupBy(F.spark_partition_id()).count().collect())
+            dealt["all"], dealt["anchor"] = df.count(), max(r[1] for r in df.groupBy("anchor").count().collect())
+        return write(df, name)
+
+    monkeypatch.setattr(repeats.common, "shared_table", kept)
+    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        got = rows(repeats.digest(spark.createDataFrame(list(enumerate(data)), "doc_id bigint, text string").repartition(3)).drop("text"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == sorted(brute.repeats(list(enumerate(data))), key=repr)
+    assert dealt["anchor"] >= 400 and dealt["most"] < dealt["all"] / 8, dealt  # one task had all of an anchor
+
+
 @pytest.mark.parametrize("values", [50, 1 << 23])
 def test_filters_that_are_too_large_to_broadcast(docs, plain, monkeypatch, values):
     monkeypatch.setattr(bloom, "MAX_BITS", 1)
