@@ -107,21 +107,60 @@ class Frontier:
         return out
 
 
+def tile_of(index: Column) -> Column:
+    """The tile of 256 hashes that an index (bigint) is in. It is never null (-1 instead), so that Spark puts no filters of its own before shuffles by it, and shares them."""
+    return F.coalesce(F.shiftright(index, TILE_BITS), F.lit(-1).cast("bigint"))
+
+
+def tile_levels(leaves: Column) -> Column:
+    """array<array<binary>>: the leaves (place, hash) of a tile, which is 256 hashes, those of their pairs, and so on up to its root; null where a leaf is missing."""
+    last = 1 << TILE_BITS
+    placed = _bound(F.array_sort(leaves), lambda x: _bound(F.struct(x["place"].alias("places"), x["hash"].alias("hashes")), lambda y: F.transform(F.sequence(F.lit(0), F.lit(last - 1)), lambda i: F.get(y["hashes"], (F.array_position(y["places"], i) - 1).cast("int")))))
+
+    def up(levels: Column, k: Column) -> Column:
+        def pair(i: Column) -> Column:
+            return node_hash(F.get(F.get(levels, k), 2 * i), F.get(F.get(levels, k), 2 * i + 1))
+
+        return F.concat(levels, F.array(F.transform(F.sequence(F.lit(0), F.call_function("shiftright", F.lit(last // 2), k) - 1), pair)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(TILE_BITS - 1)), F.array(placed), up)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value being computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def frontiers(hashes: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     """(size, roots): the frontier at each of the sizes (size, at most `most`), of leaf hashes (index, hash).
 
-    The nodes of all levels are a table; a size asks for its subtrees by (level, place) in one equi-join.
+    Leaves and sizes meet once, by their tile. The low bits of a size ask for subtrees inside its tile; the others ask for
+    the frontier of the full tiles before it, which all sizes of the tile share: it is told in the same way from the roots
+    of tiles. So rows that move are as many as leaves and sizes, not as the subtrees of all sizes. A subtree in which a
+    leaf is missing has no root.
     """
-    nodes, level, count = hashes.select(F.lit(0).alias("level"), "index", "hash"), hashes, most
-    for k in range(1, max(most, 1).bit_length()):
-        count //= 2
-        level = next_level(level).where(F.col("index") < count)  # an odd last one is no perfect subtree
-        nodes = nodes.unionByName(level.select(F.lit(k).alias("level"), "index", "hash"))
-    wanted = sizes.where("size > 0").select("size", F.explode(subtree_plans(F.col("size"))).alias("s"))
-    wanted = wanted.select("size", F.col("s.start").alias("start"), (F.length(F.bin("s.subtree")) - 1).alias("level"), (F.col("s.start") / F.col("s.subtree")).cast("bigint").alias("index"))
-    met = wanted.join(nodes, ["level", "index"]).groupBy("size").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "hash"))), lambda x: x["hash"]).alias("roots"))
-    none = sizes.where("size = 0").select("size", F.array().cast("array<binary>").alias("roots"))
-    return met.unionByName(none)
+    return _frontiers(hashes.where("index >= 0"), sizes.where("size >= 0"), most)
+
+
+def _frontiers(hashes: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    place = F.col("index").bitwiseAND((1 << TILE_BITS) - 1).cast("int").alias("place")
+    tiles = hashes.groupBy(tile_of(F.col("index")).alias("tile")).agg(F.collect_list(F.struct(place, "hash")).alias("leaves"))
+    asked = sizes.groupBy(tile_of(F.col("size")).alias("tile")).agg(F.collect_set("size").alias("sizes"))
+    met, above = asked, F.array().cast("array<binary>")
+    if most >> TILE_BITS:
+        tops = tiles.select(F.col("tile").alias("index"), F.get(F.element_at(tile_levels(F.col("leaves")), -1), F.lit(0)).alias("hash"))
+        upper = _frontiers(tops, asked.select(F.col("tile").alias("size")), most >> TILE_BITS)
+        met, above = asked.join(upper.select(F.col("size").alias("tile"), F.col("roots").alias("above")), "tile", "left"), F.coalesce("above", above)
+
+    def own(levels: Column, size: Column) -> Column:
+        def root(k: Column) -> Column:
+            n = F.call_function("shiftright", size.bitwiseAND((1 << TILE_BITS) - 1).cast("int"), k)
+            return F.when(n.bitwiseAND(1) == 1, F.get(F.get(levels, k), n - 1))
+
+        return F.filter(F.transform(F.sequence(F.lit(TILE_BITS - 1), F.lit(0)), root), lambda x: x.isNotNull())
+
+    told = _bound(tile_levels(F.col("leaves")), lambda levels: F.transform("sizes", lambda size: F.struct(size.alias("size"), F.concat(above, own(levels, size)).alias("roots"))))
+    return met.join(tiles.hint("merge"), "tile", "left").select(F.inline(told)).where((F.size("roots") > 0) | (F.col("size") == 0))
 
 
 def subtree_plans(size: Column) -> Column:

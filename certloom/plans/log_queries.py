@@ -61,8 +61,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- Merkle trees --------------------------------------------------------------------------------------------------
+def _hashed(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("event_id").alias("index"), merkle.leaf_hash(F.lpad(F.col("event_id").cast("string"), 8, "0").cast("binary")).alias("hash"))
+
+
 def _leaves(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select(F.col("event_id").alias("index"), merkle.leaf_hash(F.lpad(F.col("event_id").cast("string"), 8, "0").cast("binary")).alias("hash"))
+    return _hashed(events(spark, sf))
 
 
 _LEAF = "unhex(sha256(unhex('000000') || encode(lpad(CAST(event_id AS VARCHAR), 8, '0'))))"
@@ -111,8 +115,10 @@ def _o_frontiers() -> str:
 @query("frontier_root", f"WITH {_o_frontiers()} SELECT size, len(hs) AS n_roots, lower(hex(list_reduce(hs, lambda acc, x: {_NODE.format('x', 'acc')}))) AS root FROM own")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """The root of the tree at each size that it has had."""
-    rows = events(spark, sf)
-    found = merkle.frontiers(_leaves(spark, sf), rows.select((F.col("event_id") + 1).alias("size")), rows.count())
+    rows = events(spark, sf).select("event_id")
+    most = rows.agg(F.max("event_id")).first()[0]
+    leaves = _hashed(rows.repartition(merkle.tile_of(F.col("event_id"))))  # ids move, not their hashes
+    found = merkle.frontiers(leaves, rows.select((F.col("event_id") + 1).alias("size")), 0 if most is None else most + 1)
     return found.select("size", F.size("roots").cast("bigint").alias("n_roots"), F.lower(F.hex(merkle.compact_root(F.col("roots")))).alias("root"))
 
 

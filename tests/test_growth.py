@@ -1,9 +1,12 @@
 """What keeps the work of a row, of a task and of a domain small on large tables."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from certloom.config import demo
 from certloom.functions import domains as D
+from certloom.functions import merkle
 from certloom.operators import decode, detection, list_detectors, scoring
 from certloom.plans import fixtures, scan
 from certloom.sources import static_log
@@ -109,3 +112,49 @@ def test_tasks_of_a_log_are_runs_of_tiles(tmp_path):
     reader = static_log._Batch({"mirror": str(tmp_path), "size": str(256 * 100_000 + 5)})
     runs = reader.partitions()
     assert len(runs) < 2_000 and [i for r in runs for i in range(r.index, r.index + r.count)] == list(range(100_001))
+
+
+def _frontier(leaves, size):
+    """Roots of the perfect subtrees of a size, largest first, of those whose leaves ({index: hash}) are all there."""
+    out = []
+    for start, n, _ in merkle.subtree_plan(size):
+        level = [leaves.get(i) for i in range(start, start + n)]
+        while len(level) > 1:
+            level = [None if a is None or b is None else hashlib.sha256(b"\x01" + a + b).digest() for a, b in zip(level[::2], level[1::2], strict=True)]
+        out += [x for x in level if x is not None]
+    return out
+
+
+def _leaf_rows(spark, n, missing=()):
+    made = spark.range(n).where(~F.col("id").isin(*missing)) if missing else spark.range(n)
+    return made.select(F.col("id").alias("index"), merkle.sha256(F.col("id").cast("string").cast("binary")).alias("hash"))
+
+
+def test_frontiers_at_any_size_and_with_leaves_missing(spark):
+    n, missing = 66_600, (3, 300, 1024, 66_000)
+    sizes = sorted({0, 1, 2, 3, 4, 5, 255, 256, 257, 511, 512, 1023, 1024, 1025, 4095, 65_535, 65_536, 65_537, 66_001, 66_048, n - 1, n})
+    asked = spark.createDataFrame([(s,) for s in (*sizes, 5)], "size bigint")  # one is asked for twice
+    for gone in ((), missing):
+        leaves = {i: hashlib.sha256(str(i).encode()).digest() for i in range(n) if i not in gone}
+        got = {r["size"]: [bytes(x) for x in r["roots"]] for r in merkle.frontiers(_leaf_rows(spark, n, gone), asked, n).collect()}
+        assert got == {s: _frontier(leaves, s) for s in sizes if s == 0 or _frontier(leaves, s)}
+
+
+def _moved(df):
+    """Bytes of rows that the shuffles of a collected table have dealt."""
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        own = node.metrics().apply("dataSize").value() if kind == "ShuffleExchangeExec" else 0
+        below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        below += [node.children().apply(i) for i in range(node.children().size())]
+        return own + sum(map(walk, below))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_subtrees_of_each_size_do_not_move(spark):
+    n = 20_000
+    found = merkle.frontiers(_leaf_rows(spark, n), spark.range(1, n + 1).select(F.col("id").alias("size")), n)
+    assert len(found.collect()) == n
+    assert 0 < _moved(found) < 200 * n  # all subtrees of each size were dealt twice
